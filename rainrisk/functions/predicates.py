@@ -24,33 +24,44 @@ LAYERS = {
 }
 
 
-def field_column(layer: str, field: str, columns: list[str]) -> Column:
-    """Column of a field; the level resolves to the channel of the layer. Unknown columns are null."""
+def field_column(layer: str, field: str, columns: list[str]) -> Column | None:
+    """Column of a field, None when absent; the level resolves to the channel of the layer."""
     if field == "rd" and layer in ("encosta", "inundacao"):
         own = "rd_geo" if layer == "encosta" else "rd_hid"
         found = [F.col(c) for c in (own, "rd") if c in columns]
-        return F.coalesce(*found) if found else F.lit(None)
-    return F.col(field) if field in columns else F.lit(None)
+        return F.coalesce(*found) if found else None
+    return F.col(field) if field in columns else None
 
 
-def condition(value: Column, op: str, target, kind: str = "text") -> Column:
-    """One atom as a non-null boolean Column."""
+def _number(target) -> float | None:
+    try:
+        return float(str(target).strip() or 0)
+    except ValueError:
+        return None
+
+
+def condition(value: Column | None, op: str, target, kind: str = "text") -> Column:
+    """One atom as a non-null boolean Column; an absent field never passes a number test."""
     if op not in OPERATORS:
         raise ValueError(f"unknown operator {op!r}")
+    if value is None:
+        if kind == "number" and op not in ("empty", "not_empty"):
+            return F.lit(False)
+        value = F.lit(None)
     as_text = value.cast("string")
     if op in ("empty", "not_empty"):
         empty = value.isNull() | (as_text == "") | (as_text == "NaN")
         return F.coalesce(empty if op == "empty" else ~empty, F.lit(op == "empty"))
     if kind == "bool":
-        have = F.coalesce(F.lower(as_text).isin("true", "1"), F.lit(False))
-        want = F.lit(str(target).lower() in ("true", "1"))
+        have = F.coalesce(as_text.isin("true", "1"), F.lit(False))
+        want = F.lit(target in ("true", "1"))
         return have == want if op == "eq" else have != want
     if kind == "number":
-        try:
-            want = F.lit(float(target))
-        except (TypeError, ValueError):
+        wanted = _number(target)
+        if wanted is None or wanted != wanted:
             return F.lit(False)
-        # an absent number counts as zero, as an empty text does
+        want = F.lit(wanted)
+        # null and empty text read as zero
         have = F.when(value.isNull() | (F.trim(as_text) == ""), F.lit(0.0)).otherwise(as_text.try_cast("double"))
         tests = {"eq": have == want, "ne": have != want, "gt": have > want, "gte": have >= want, "lt": have < want, "lte": have <= want}
         ok = have.isNotNull() & ~F.isnan(have)

@@ -112,15 +112,13 @@ def traffic_light(status: Column) -> Column:
 
 
 def mid_km(km0: Column, km1: Column) -> Column:
-    """Mean of both ends, or the one that is known."""
-    return F.when(km0.isNotNull() & km1.isNotNull(), (km0 + km1) / F.lit(2.0)).otherwise(F.coalesce(km0, km1))
+    """Mean of both ends; null unless both are known."""
+    return (km0 + km1) / F.lit(2.0)
 
 
-def km_text(km0: Column, km1: Column) -> Column:
-    one = F.concat(F.lit("km "), F.format_string("%.1f", F.coalesce(km0, km1)))
-    two = F.concat(F.lit("km "), F.format_string("%.1f", km0), F.lit("–"), F.format_string("%.1f", km1))
-    return F.when(km0.isNotNull() & km1.isNotNull(), two).when(
-        F.coalesce(km0, km1).isNotNull(), one).otherwise(F.lit(DASH))
+def km_text(km: Column) -> Column:
+    """One decimal with a decimal comma; a dash when unknown."""
+    return F.coalesce(F.translate(F.format_number(km, 1), ",.", ".,"), F.lit(DASH))
 
 
 def segment_id(*fields: Column) -> Column:
