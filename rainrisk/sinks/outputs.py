@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..constants import FIRE_HORIZONS
 from ..functions import fire, geo, rain
-from ..operators.scale import numbered
 
 HAZARD_LABELS = {"geo": "Encosta", "hidro": "Inundação"}
 # --- fixed values: accepted channel names -----------------------------------
@@ -96,9 +95,8 @@ def write_samples(samples: DataFrame, path: str) -> None:
     """Replace only the hours present; an empty batch is refused."""
     if samples.isEmpty():
         raise ValueError("refusing to write an empty sample set")
-    docs = sample_documents(samples).withColumns({"day": F.to_date("hour"), "at": F.col("hour")})
-    docs.withColumnRenamed("mesh", "mesh_id").withColumns({"mesh": F.col("mesh_id"), "mesh_key": F.col("mesh_id")}).drop("mesh_id", "at").write.mode(
-        "overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("mesh_key", "day").json(path)
+    docs = sample_documents(samples).withColumns({"mesh_key": F.col("mesh"), "hour_key": F.date_format("hour", "yyyyMMddHH")})
+    docs.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("mesh_key", "hour_key").json(path)
 
 
 def compact_tail(rows: DataFrame, keep: int, order: str, tie: str) -> DataFrame:
@@ -163,5 +161,3 @@ def run_record(df: DataFrame, step: str, day: Column, outcome: str) -> DataFrame
     """One status row of a step and date, with the number of rows produced."""
     return df.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(step).alias("step"), day.alias("day"), F.lit(outcome).alias("outcome"), "rows")
 
-
-__all__ = [n for n in dir() if not n.startswith("_") and n != "numbered"]
