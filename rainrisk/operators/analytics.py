@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..constants import AC24H_EDGES, AC96H_EDGES, INTENSITY_EDGES, OUT_OF_COVERAGE
 from ..functions import rain, risk
+from .rain import window_hours
 from .scale import exact_quantiles, top_per_group
 from .sequences import cycle_gaps
 
@@ -58,22 +59,22 @@ def unassigned_points(points: DataFrame, regions: DataFrame) -> DataFrame:
     return points.join(regions.select("regiao_id"), "regiao_id", "left_anti").agg(F.count(F.lit(1)).alias("points_unassigned"))
 
 
-def hourly_by_region(hourly: DataFrame, unit_regions: DataFrame, cell: list[str], hours: DataFrame | None = None) -> DataFrame:
+def hourly_by_region(hourly: DataFrame, unit_regions: DataFrame, cell: list[str], target: Column, frames: int = 96) -> DataFrame:
     """Mean and maximum rain per region and hour over all its units; absent hours are zero.
 
     Units collapse to counts per (region, cell) first, so the join is cells by hours.
     """
     weights = unit_regions.where(F.col("regiao_id").isNotNull()).groupBy("regiao_id", *cell).agg(F.count(F.lit(1)).alias("_n"))
     sizes = weights.groupBy("regiao_id").agg(F.sum("_n").alias("uas"))
-    reported = hourly.groupBy(*cell, "hr").agg(F.sum(rain.ticks(F.col("mm"))).alias("_t"))
+    reported = window_hours(hourly, target, frames).groupBy(*cell, "hr").agg(F.sum(rain.ticks(F.col("mm"))).alias("_t"))
     sums = weights.join(reported, cell).groupBy("regiao_id", "hr").agg(
         F.sum(F.col("_t") * F.col("_n")).alias("_sum"), F.max("_t").alias("_max"))
-    spine = sizes if hours is None else sizes.join(hours.select("hr").distinct().withColumn("_r", F.lit(1)),
-                                                   F.lit(1) == F.col("_r")).drop("_r")
-    out = sums.join(sizes, "regiao_id") if hours is None else spine.join(sums, ["regiao_id", "hr"], "left")
+    first = target - F.make_interval(hours=F.lit(frames - 1))
+    spine = sizes.withColumn("hr", F.explode(F.sequence(first, target, F.expr("INTERVAL 1 HOUR"))))
     mean = F.coalesce("_sum", F.lit(0)) / F.col("uas") / F.lit(float(rain.TICKS_PER_MM))
-    return out.select("regiao_id", "hr", "uas", F.round(mean, 2).alias("mean_mm"),
-                      rain.mm_from_ticks(F.greatest(F.coalesce("_max", F.lit(0)), F.lit(0))).alias("max_mm"))
+    return spine.join(sums, ["regiao_id", "hr"], "left").select(
+        "regiao_id", "hr", "uas", F.round(mean, 2).alias("mean_mm"),
+        rain.mm_from_ticks(F.greatest(F.coalesce("_max", F.lit(0)), F.lit(0))).alias("max_mm"))
 
 
 def region_hour_totals(by_hour: DataFrame) -> DataFrame:
@@ -156,7 +157,8 @@ def alert_deltas(cycles: DataFrame, hours: tuple[int, ...] = (1, 24), ts: str =
     """
     at = F.struct(ts, tie)
     last = cycles.agg(F.max(ts).alias("_last"), F.max_by("alert_count", at).alias("alert_count"), F.count(F.lit(1)).alias("_n"))
-    before = cycles.join(last.withColumnRenamed("alert_count", "_now"), F.col(ts) <= F.col("_last"))
+    # a one-row aggregate, attached by a constant key
+    before = cycles.withColumn("_one", F.lit(1)).join(last.withColumnRenamed("alert_count", "_now").withColumn("_one", F.lit(1)), "_one")
     cond = lambda h: F.col(ts) <= F.col("_last") - F.make_interval(hours=F.lit(h))
     refs = before.agg(*[F.max_by(F.when(cond(h), F.col("alert_count")), F.when(cond(h), at)).alias(f"_r{h}") for h in hours],
                       F.max("_now").alias("alert_count"), F.max("_n").alias("_n"))

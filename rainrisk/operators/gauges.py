@@ -195,7 +195,7 @@ def station_day(stations: DataFrame, hourly: DataFrame, target: Column) -> DataF
         F.coalesce("hours", F.lit(0)).alias("hours"))
 
 
-def suspect_stations(day: DataFrame, radius_km: float = SUSPECT["radius_km"]) -> DataFrame:
+def suspect_stations(day: DataFrame, radius_km: float = SUSPECT["radius_km"], min_hours: int = SUSPECT["min_hours"]) -> DataFrame:
     """Dry stations whose neighbours are wet: exact median of the other stations' totals.
 
     Works on counts per (position, total), so a crowd of identical neighbours is one
@@ -203,9 +203,9 @@ def suspect_stations(day: DataFrame, radius_km: float = SUSPECT["radius_km"]) ->
     """
     s = SUSPECT
     dry = day.where((F.col("hours") > 0) & (F.col("total_mm") <= s["dry_mm"])).withColumn(
-        "counts", F.col("hours") >= s["min_hours"])
+        "counts", F.col("hours") >= min_hours)
     kinds = dry.select("lat", "lon", "total_mm", "counts").distinct().withColumnRenamed("total_mm", "own_mm")
-    crowd = day.where(F.col("hours") >= s["min_hours"]).groupBy(
+    crowd = day.where(F.col("hours") >= min_hours).groupBy(
         F.col("lat").alias("s_lat"), F.col("lon").alias("s_lon"), "total_mm").agg(F.count(F.lit(1)).alias("n"))
     itself = (F.col("counts") & (F.col("lat") == F.col("s_lat")) & (F.col("lon") == F.col("s_lon"))
               & (F.col("own_mm") == F.col("total_mm")))

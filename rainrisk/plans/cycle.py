@@ -113,8 +113,9 @@ def timeline(data: Inputs, target: Column, frames: int = 96) -> DataFrame:
     windows = timeline_windows(data.grid, CELL, target, frames)
     kinds = risk.both_channels(placed.select(*CELL, "regiao_id", "RAGEO", "RAHID").distinct())
     kinds = kinds.select(*CELL, "regiao_id", "hazard", "ra_geo", "ra_hid").distinct()
-    hours = windows.select("hr").distinct().withColumn("_one", F.lit(1))
-    frames_of = kinds.withColumn("_one", F.lit(1)).join(hours, "_one").drop("_one").join(windows, [*CELL, "hr"], "left").fillna(
+    first = target - F.make_interval(hours=F.lit(frames - 1))
+    spine = kinds.withColumn("hr", F.explode(F.sequence(first, target, F.expr("INTERVAL 1 HOUR"))))
+    frames_of = spine.join(windows, [*CELL, "hr"], "left").fillna(
         0.0, ["intensity_mmh", "ac24h_mm", "ac96h_mm"])
     rated = risk.evaluate(frames_of, data.regions).select(
         *CELL, F.coalesce("regiao_id", F.lit(-1)).alias("_reg"), "hazard",
