@@ -135,8 +135,8 @@ def dissolved_roads(spark, sf):
     return network.dissolve(fx.segments(spark, sf), "road", "trecho_id", ["regional"])
 
 
-@query("AGG-40", fx.sql_with("segments stretches", {"o": "SELECT road, SUM(r1-r0) AS official FROM stretches GROUP BY road"}, """SELECT o.road, official, SUM(ROUND(extensao*1e6)::BIGINT)::DOUBLE/1e6 AS measured,
-    ROUND(COALESCE(SUM(ROUND(extensao*1e6)::BIGINT)::DOUBLE/1e6, 0e0) - official, 6) AS difference FROM o LEFT JOIN segments USING (road) GROUP BY ALL"""))
+@query("AGG-40", fx.sql_with("segments stretches", {"o": "SELECT road, SUM(r1-r0) AS official FROM stretches GROUP BY road"}, """SELECT road, official, measured, ROUND(COALESCE(measured, 0e0) - official, 6) AS difference
+    FROM o LEFT JOIN (SELECT road, SUM(ROUND(extensao*1e6)::BIGINT)::DOUBLE/1e6 AS measured FROM segments GROUP BY road) m USING (road)"""))
 def road_length_audit(spark, sf):
     official = fx.stretches(spark, sf).groupBy("road").agg(network.exact_total(F.col("r1") - F.col("r0")).alias("official"))
     return network.length_audit(fx.segments(spark, sf), official, "road", "extensao", "official")

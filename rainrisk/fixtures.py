@@ -127,7 +127,7 @@ def stretches(spark, sf):
     km0 = _d((s * 13) % 95)
     return table(spark, sf, "supplier").select(
         s.alias("ord"), F.concat(F.lit("Brand#"), (s % 25 + 1).cast("string")).alias("road"), km0.alias("r0"),
-        (km0 + _d(F.lit(3) + F.col("s_nationkey") % 5)).alias("r1"), (s % 5).cast("int").alias("ra"),
+        (km0 + _d(F.lit(3) + F.col("s_nationkey"))).alias("r1"), (s % 5).cast("int").alias("ra"),
         F.when(s % 2 == 0, "GEO").otherwise("HID").alias("kind"),
         F.create_map(*[x for i, n in enumerate((3, 7, 5, 2, 4)) for x in (F.lit(i), (s % n).cast("int"))]).alias("dist"), (s % 5).cast("int").alias("icc"))
 
@@ -199,7 +199,7 @@ _SQL = {
         CASE WHEN c_custkey%50=0 THEN 'NO_DATA' ELSE 'SATELLITE' END AS source
         FROM (SELECT *, ROUND(ABS(c_acctbal)*100)::BIGINT AS c FROM customer)) b, (VALUES ('geo'),('hidro')) h(hazard)""",
     "stretches": """SELECT s_suppkey AS ord, 'Brand#'||(s_suppkey%25+1) AS road, ((s_suppkey*13)%95)::DOUBLE AS r0,
-        ((s_suppkey*13)%95)::DOUBLE + (3+s_nationkey%5)::DOUBLE AS r1, (s_suppkey%5)::INT AS ra,
+        ((s_suppkey*13)%95)::DOUBLE + (3+s_nationkey)::DOUBLE AS r1, (s_suppkey%5)::INT AS ra,
         CASE WHEN s_suppkey%2=0 THEN 'GEO' ELSE 'HID' END AS kind,
         s_suppkey%3 AS d0, s_suppkey%7 AS d1, s_suppkey%5 AS d2, s_suppkey%2 AS d3, s_suppkey%4 AS d4, (s_suppkey%5)::INT AS icc FROM supplier""",
     "forecast_grid": """SELECT run, run + to_hours(lead) AS valid, lat_idx, lon_idx, (m*lead)::DOUBLE/2400e0 AS acc_mm FROM (

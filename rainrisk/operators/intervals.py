@@ -20,7 +20,7 @@ def first_overlap(left: DataFrame, right: DataFrame, order: str, take: list[str]
                   left_range: tuple[str, str] = ("km0", "km1"), right_range: tuple[str, str] = ("r0", "r1"),
                   width: float = 5.0) -> DataFrame:
     """Left join with the first right row (by ``order``) whose closed range overlaps."""
-    places = right.groupBy(road, *right_range).agg(F.min(F.struct(order, *take)).alias("_row"))
+    places = right.groupBy(road, *right_range).agg(F.min(F.struct(order, *[c for c in take if c != order])).alias("_row"))
     hit = (range_pairs(_ranges(left, road, *left_range), places, road, left_range, right_range, width)
            .groupBy(road, *left_range).agg(F.min("_row").alias("_row")))
     return left.join(hit, [road, *left_range], "left").select(*left.columns, *[F.col(f"_row.{c}").alias(c) for c in take])
@@ -30,7 +30,7 @@ def first_containing(left: DataFrame, right: DataFrame, order: str, take: list[s
                      right_range: tuple[str, str] = ("r0", "r1"), width: float = 5.0) -> DataFrame:
     """Left join with the first right row whose closed range holds the position."""
     spots = left.select(road, at).distinct().withColumn("_at2", F.col(at))
-    places = right.groupBy(road, *right_range).agg(F.min(F.struct(order, *take)).alias("_row"))
+    places = right.groupBy(road, *right_range).agg(F.min(F.struct(order, *[c for c in take if c != order])).alias("_row"))
     hit = range_pairs(spots, places, road, (at, "_at2"), right_range, width).groupBy(road, at).agg(F.min("_row").alias("_row"))
     return left.join(hit, [road, at], "left").select(*left.columns, *[F.col(f"_row.{c}").alias(c) for c in take])
 

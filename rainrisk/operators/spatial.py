@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..constants import AXIS_CUTOFF_KM
 from ..functions import geo
+from .scale import OrderedBlocks
 
 
 def _cells(lo: Column, hi: Column, size: float) -> Column:
@@ -166,3 +167,34 @@ def range_pairs(left: DataFrame, right: DataFrame, road: str, left_range: tuple[
 
 def overlap_length(a0: Column, a1: Column, b0: Column, b1: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(a1, b1) - F.greatest(a0, b0))
+
+
+def sample_line(segments: DataFrame, key: str, n: int = 7) -> DataFrame:
+    """``n`` evenly spaced points from the first to the last vertex of every line.
+
+    Each segment yields the samples that fall on it, so no join is needed; a sample
+    on a shared vertex belongs to the earlier segment.
+    """
+    size = F.sqrt(F.pow(F.col("lat2") - F.col("lat1"), 2) + F.pow(F.col("lon2") - F.col("lon1"), 2))
+    walk = OrderedBlocks.of(segments.withColumn("_len", size), [key], ["seq"]).cumulative({
+        "_before": ("sum", F.col("_len"), False), "_total": ("total", F.col("_len"), True)})
+    step = F.col("_total") / F.lit(float(n - 1))
+    eps = F.lit(1e-9)
+    first = F.ceil(F.col("_before") / step - eps).cast("int")
+    last = F.floor((F.col("_before") + F.col("_len")) / step + eps).cast("int")
+    picked = (walk.where("_len > 0").withColumns({"_f": first, "_l": F.least(last, F.lit(n - 1))}).where("_f <= _l")
+              .withColumn("sample", F.explode(F.sequence("_f", "_l")))
+              .withColumn("_t", (F.col("sample") * step - F.col("_before")) / F.col("_len")))
+    at = lambda a: F.col(f"{a}1") + (F.col(f"{a}2") - F.col(f"{a}1")) * F.col("_t")
+    best = F.min_by(F.struct(at("lat").alias("lat"), at("lon").alias("lon")), F.col("seq"))
+    return picked.groupBy(key, "sample").agg(best.alias("_p")).select(key, "sample", "_p.lat", "_p.lon")
+
+
+def densify(segments: DataFrame, steps: int) -> DataFrame:
+    """Points at a fixed number of steps per segment, interpolated linearly (km likewise when present)."""
+    t = F.col("step") / F.lit(float(steps))
+    out = segments.withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(steps - 1))))
+    for a in ("lat", "lon", "km"):
+        if f"{a}1" in segments.columns:
+            out = out.withColumn(a, F.col(f"{a}1") + (F.col(f"{a}2") - F.col(f"{a}1")) * t)
+    return out
