@@ -93,7 +93,7 @@ SERIES = f"""SELECT u.ua_id, g.hr, SUM(g.mm/pow(GREATEST({hav('u', 's')}, 0.5e0)
 @query("AGG-04 JOIN-07 STR-14", fx.sql_with("units stations gauge_hourly", {"sr": SERIES}, "SELECT ua_id, strftime(hr, '%Y-%m-%d %H:%M:%S') AS hr, ROUND(mm, 6) AS mm FROM sr"))
 def gauge_point_series(spark, sf):
     u = fx.units(spark, sf)
-    s = gauges.point_series(u, fx.stations(spark, sf), fx.gauge_hourly(spark, sf), fx.target(), 30.0)
+    s = gauges.point_series(u, fx.stations(spark, sf), fx.gauge_hourly(spark, sf, 96), fx.target(), 30.0)
     return u.join(s, ["lat", "lon"]).select("ua_id", F.date_format("hr", TXT).alias("hr"), F.round("mm", 6).alias("mm"))
 
 
@@ -105,7 +105,7 @@ COVER = f"""SELECT ua_id, {R(f"COALESCE(SUM(CASE WHEN {HOURS}=0 THEN {TICKS} END
     covered_target AND covered_24 >= 22 AND covered_96 >= 87 AS qualifies FROM cv"""))
 def gauge_coverage(spark, sf):
     u = fx.units(spark, sf)
-    s = gauges.point_series(u, fx.stations(spark, sf), fx.gauge_hourly(spark, sf), fx.target(), 30.0)
+    s = gauges.point_series(u, fx.stations(spark, sf), fx.gauge_hourly(spark, sf, 96), fx.target(), 30.0)
     c = gauges.point_coverage(s, fx.target()).withColumn("qualifies", gauges.qualifies())
     return u.join(c, ["lat", "lon"]).select("ua_id", "covered_24", "covered_96", "covered_target", "qualifies")
 
@@ -125,7 +125,7 @@ SUSPECT_SQL = f"""SELECT a.station_id, a.total_mm, COUNT(*) AS neighbors, ROUND(
 
 @query("AGG-07 JOIN-08", fx.sql_with("stations gauge_hourly", {"dy": DAY}, SUSPECT_SQL))
 def suspect_stations(spark, sf):
-    day = gauges.station_day(fx.stations(spark, sf), fx.gauge_hourly(spark, sf), fx.target())
+    day = gauges.station_day(fx.stations(spark, sf), fx.gauge_hourly(spark, sf, 96), fx.target())
     return gauges.suspect_stations(day, 30.0, 1).withColumn("median_mm", F.round("median_mm", 6))
 
 
@@ -135,7 +135,7 @@ def suspect_stations(spark, sf):
     (SELECT COUNT(*) FROM su) AS stations_suspect, (SELECT COUNT(*) FROM units) AS points_total, n AS points_gauge, (SELECT COUNT(*) FROM units) - n AS points_fallback
     FROM (SELECT COUNT(*) AS n FROM cv WHERE covered_target AND covered_24 >= 20 AND covered_96 >= 77)"""))
 def gauge_source_summary(spark, sf):
-    u, st, gh = fx.units(spark, sf), fx.stations(spark, sf), fx.gauge_hourly(spark, sf)
+    u, st, gh = fx.units(spark, sf), fx.stations(spark, sf), fx.gauge_hourly(spark, sf, 96)
     suspects = gauges.suspect_stations(gauges.station_day(st, gh, fx.target()), 30.0, 1)
     kept = st.join(suspects, "station_id", "left_anti")
     cover = gauges.point_coverage(gauges.point_series(u, kept, gh, fx.target(), 30.0), fx.target())
@@ -148,7 +148,7 @@ def gauge_source_summary(spark, sf):
     FROM uw LEFT JOIN (SELECT * FROM cv WHERE covered_target AND covered_24 >= 20 AND covered_96 >= 77) g USING (ua_id)"""))
 def primary_gauge_windows(spark, sf):
     data = inputs(spark, sf)
-    s = gauges.point_series(data.units, fx.stations(spark, sf), fx.gauge_hourly(spark, sf), fx.target(), 30.0)
+    s = gauges.point_series(data.units, fx.stations(spark, sf), fx.gauge_hourly(spark, sf, 96), fx.target(), 30.0)
     out = gauges.apply_primary(cycle.satellite_windows(data, fx.target()), gauges.point_coverage(s, fx.target()), 0.8)
     return out.select("ua_id", "source", F.when(~F.col("from_gauges"), F.col("ac96h_mm")).alias("kept_ac96h_mm"))
 

@@ -36,12 +36,12 @@ WINDOW_COLS = ["intensity_mmh", "ac18h_mm", "ac24h_mm", "ac72h_mm", "ac96h_mm"]
 def inputs(spark, sf, **more):
     from ..operators.risk import default_regions
 
-    return cycle.Inputs(fx.units(spark, sf), fx.grid_hourly(spark, sf), default_regions(spark), **more)
+    return cycle.Inputs(fx.units(spark, sf), fx.grid_hourly(spark, sf, 96), default_regions(spark), **more)
 
 
 @query("SRC-01 AGG-01 SCL-17", fx.sql_with("grid_hourly", {}, CELL_WINDOWS))
 def cell_rain_windows(spark, sf):
-    return rain.trailing_windows(fx.grid_hourly(spark, sf), ["lat_idx", "lon_idx"], fx.target())
+    return rain.trailing_windows(fx.grid_hourly(spark, sf, 96), ["lat_idx", "lon_idx"], fx.target())
 
 
 @query("JOIN-04 JOIN-09", fx.sql_with("grid_hourly units", {"cw": CELL_WINDOWS, "uw": UNIT_WINDOWS}, "SELECT ua_id, " + ", ".join(WINDOW_COLS) + " FROM uw"))
@@ -53,7 +53,7 @@ def unit_rain_windows(spark, sf):
     SELECT COUNT(*)::INT AS files_ok, (24 - COUNT(*) FILTER (h < 24))::INT AS missing_24h, (96 - COUNT(*))::INT AS missing_96h
     FROM (SELECT DISTINCT {HOURS} AS h FROM grid_hourly WHERE {HOURS} BETWEEN 0 AND 95))"""))
 def hour_completeness(spark, sf):
-    out = rain.hour_completeness(fx.grid_hourly(spark, sf), fx.target())
+    out = rain.hour_completeness(fx.grid_hourly(spark, sf, 96), fx.target())
     return out.withColumn("data_status", rf.data_status(F.col("missing_24h")))
 
 
@@ -73,7 +73,7 @@ TIMELINE = f"""SELECT lat_idx, lon_idx, hr, {R('t')} AS intensity_mmh, {R('s24')
 
 @query("WIN-01", fx.sql_with("grid_hourly", {"tl": TIMELINE}, "SELECT lat_idx, lon_idx, strftime(hr, '%Y-%m-%d %H:%M:%S') AS hr, intensity_mmh, ac24h_mm, ac96h_mm FROM tl"))
 def timeline_windows(spark, sf):
-    out = rain.timeline_windows(fx.grid_hourly(spark, sf), ["lat_idx", "lon_idx"], fx.target())
+    out = rain.timeline_windows(fx.grid_hourly(spark, sf, 96), ["lat_idx", "lon_idx"], fx.target())
     return out.withColumn("hr", F.date_format("hr", TXT))
 
 

@@ -90,7 +90,7 @@ def risk_points(spark, sf):
     (SELECT ua_id FROM w) AS max_rd_point, (SELECT rd FROM w) AS max_rd, (SELECT hazard FROM w) AS max_rd_hazard,
     (SELECT COUNT(DISTINCT hr)::INT FROM grid_hourly WHERE {HOURS} BETWEEN 0 AND 95) AS files_ok FROM ev"""))
 def risk_summary(spark, sf):
-    out = cycle.risk_summary(live(spark, sf), fx.grid_hourly(spark, sf), fx.target())
+    out = cycle.risk_summary(live(spark, sf), fx.grid_hourly(spark, sf, 96), fx.target())
     return out.select("total", "total_geo", "total_hidro", "all_rd4", "geo_rd0", "max_rd_point", "max_rd", "max_rd_hazard", "files_ok")
 
 
@@ -103,7 +103,8 @@ def risk_at_instant(spark, sf):
 
 @query("FLT-23 FLT-22 STR-10", fx.sql_with("units", {}, "SELECT ua_id, h.hazard, 0 AS rd, 'Sem dado' AS nivel, 'NO_DATA' AS source FROM units, (VALUES ('geo'),('hidro')) h(hazard)"))
 def risk_before_data(spark, sf):
-    out = cycle.snapshot_at(inputs(spark, sf), F.lit("2023-12-01 00:00:00").cast("timestamp"), fx.target())
+    data = cycle.Inputs(fx.units(spark, sf), fx.grid_hourly(spark, sf), risk.default_regions(spark))
+    out = cycle.snapshot_at(data, F.lit("2023-12-01 00:00:00").cast("timestamp"), fx.target())
     return out.select("ua_id", "hazard", "rd", "nivel", "source")
 
 
@@ -169,9 +170,11 @@ def feed_header(spark, sf):
     return outputs.feed_header(fx.points(spark, sf), "all", 2)
 
 
-@query("AGG-28", fx.sql_with("points", {}, """SELECT array_to_string([COUNT(*) FILTER (rd=i) FOR i IN []], '') AS x FROM points""".replace("""SELECT array_to_string([COUNT(*) FILTER (rd=i) FOR i IN []], '') AS x""",
-    "SELECT " + "||','||".join(f"COUNT(*) FILTER (rd={i})" for i in range(5)) + " AS by_level, COUNT(*) FILTER (rd>=3)::INT AS alert_count, MAX(rd) AS max_rd, MAX(ac24h_mm) FILTER (hazard='geo') AS ac24h_max, "
-    "ROUND(SUM(ROUND(ac24h_mm*10000)::BIGINT) FILTER (hazard='geo')::DOUBLE/COUNT(*) FILTER (hazard='geo')/10000e0, 2) AS ac24h_mean, MAX(intensity_mmh) AS intensity_max")))
+BY_LEVEL = "||','||".join(f"COUNT(*) FILTER (rd={i})" for i in range(5))
+
+
+@query("AGG-28", fx.sql_with("points", {}, f"""SELECT {BY_LEVEL} AS by_level, COUNT(*) FILTER (rd>=3)::INT AS alert_count, MAX(rd) AS max_rd, MAX(ac24h_mm) FILTER (hazard='geo') AS ac24h_max,
+    ROUND(SUM(ROUND(ac24h_mm*10000)::BIGINT) FILTER (hazard='geo')::DOUBLE/COUNT(*) FILTER (hazard='geo')/10000e0, 2) AS ac24h_mean, MAX(intensity_mmh) AS intensity_max FROM points"""))
 def cycle_record(spark, sf):
     out = risk.cycle_record(fx.points(spark, sf))
     return out.select(F.array_join("by_level", ",").alias("by_level"), "alert_count", "max_rd", "ac24h_max", "ac24h_mean", "intensity_max")

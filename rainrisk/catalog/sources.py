@@ -52,7 +52,6 @@ def gauge_hour_feed(spark, sf):
     return feeds.gauge_hours(_rows(spark, sf), "event_id").withColumn("hr", F.date_format("hr", TXT))
 
 
-ALT_DATE = "CASE event_id%4 WHEN 0 THEN '%Y-%m-%d %H:%M:%S' WHEN 1 THEN '%Y-%m-%d %H:%M:%S' WHEN 2 THEN '%Y-%m-%d %H:%M:%S' ELSE '%Y-%m-%d %H:%M:00' END"
 
 
 @query("SRC-19", f"""SELECT event_id::VARCHAR AS station_id, value AS value_mm, (user_id%90)::DOUBLE AS lat, (user_id%60)::DOUBLE AS lon, CASE event_id%4 WHEN 3 THEN strftime(ts, '%Y-%m-%d %H:%M:00') ELSE strftime(ts, '%Y-%m-%d %H:%M:%S') END AS observed_at
@@ -91,8 +90,8 @@ def telemetry_records(spark, sf):
     return tables.telemetry_rows(parsed.where(F.col("outcome").isNotNull())).select("k", "outcome")
 
 
-@query("SRC-16 STR-13", """SELECT 'INPE_FireRisk_20' || lpad(((event_id*7)%9 + 10)::VARCHAR, 2, '0') || '0' || (event_id%9+1) || '15.nc' AS n FROM events ORDER BY n DESC LIMIT 1""".replace("INPE_FireRisk_", "observed_")
-       .replace("SELECT", "SELECT n AS name, strftime(strptime(substr(n, 10, 8), '%Y%m%d'), '%Y-%m-%d') AS reference_date FROM (SELECT", 1) + ")")
+@query("SRC-16 STR-13", """SELECT n AS name, strftime(strptime(substr(n, 10, 8), '%Y%m%d'), '%Y-%m-%d') AS reference_date FROM (
+    SELECT MAX('observed_20' || lpad(((event_id*7)%9 + 10)::VARCHAR, 2, '0') || '0' || (event_id%9+1) || '15.nc') AS n FROM events)""")
 def newest_product(spark, sf):
     i = F.col("event_id")
     name = F.concat(F.lit("observed_20"), F.lpad(((i * 7) % 9 + 10).cast("string"), 2, "0"), F.lit("0"), (i % 9 + 1).cast("string"), F.lit("15.nc"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .constants import REGIONS
@@ -31,13 +33,24 @@ def stations(spark, sf):
         u.alias("station_id"), (F.lit(-24.0) + _d((u * 37) % 100, 100.0)).alias("lat"), (F.lit(-46.4) + _d((u * 53) % 160, 100.0)).alias("lon"))
 
 
-def gauge_hourly(spark, sf):
-    return table(spark, sf, "events").groupBy(F.col("user_id").alias("station_id"), F.date_trunc("hour", "ts").alias("hr")).agg(
+def recent_events(spark, sf, hours: int | None):
+    """Events, or only those of the last hours up to the target: a range on ``ts`` that the scan prunes with."""
+    events = table(spark, sf, "events")
+    if hours is None:
+        return events
+    kind = events.schema["ts"].dataType.simpleString()
+    end = datetime.fromisoformat(TARGET) + timedelta(hours=1)
+    bound = lambda t: F.lit(str(t)).cast(kind)
+    return events.where((F.col("ts") >= bound(end - timedelta(hours=hours))) & (F.col("ts") < bound(end)))
+
+
+def gauge_hourly(spark, sf, hours: int | None = None):
+    return recent_events(spark, sf, hours).groupBy(F.col("user_id").alias("station_id"), F.date_trunc("hour", "ts").alias("hr")).agg(
         (F.sum(F.round(F.col("value") * 100).cast("long")) / F.lit(1000.0)).alias("mm"), F.count(F.lit(1)).alias("qtd"))
 
 
-def grid_hourly(spark, sf):
-    return table(spark, sf, "events").groupBy(
+def grid_hourly(spark, sf, hours: int | None = None):
+    return recent_events(spark, sf, hours).groupBy(
         (F.col("user_id") % 9).cast("int").alias("lat_idx"), (F.col("event_id") % 16).cast("int").alias("lon_idx"),
         F.date_trunc("hour", "ts").alias("hr")).agg((F.sum(F.round(F.col("value") * 100).cast("long")) / F.lit(200.0)).alias("mm"))
 
@@ -90,7 +103,7 @@ def fire_classes(spark, sf):
 def cycles(spark, sf):
     o, c = F.col("o_orderkey"), F.col("o_custkey")
     s = F.col("o_orderstatus")
-    started = F.lit("2024-01-01 00:00:00").cast("timestamp") + F.make_interval(mins=(o * 10 + c % 7).cast("int"))
+    started = F.timestamp_seconds(F.lit(1704067200) + ((o % 50_000_000) * 10 + c % 7) * 60)
     return table(spark, sf, "orders").select(
         o.alias("cycle_id"), started.alias("started_at"),
         F.when(s == "F", "ok").when(s == "O", "error").otherwise("skipped").alias("outcome"),
@@ -143,7 +156,7 @@ def forecast_grid(spark, sf):
 
 
 def stations_24h(spark, sf):
-    day = gauge_hourly(spark, sf).where((F.col("hr") > target() - F.expr("INTERVAL 24 HOURS")) & (F.col("hr") <= target()))
+    day = gauge_hourly(spark, sf, 24).where((F.col("hr") > target() - F.expr("INTERVAL 24 HOURS")) & (F.col("hr") <= target()))
     sums = day.groupBy("station_id").agg((F.sum(F.round(F.col("mm") * 1000).cast("long")) / F.lit(1000.0)).alias("value_mm"),
                                          (F.count(F.lit(1)) * 8.0).alias("coverage_hours"))
     # the south of the area stays dry
@@ -184,7 +197,7 @@ _SQL = {
         q::DOUBLE/50e0 AS rf_valor, 'CGR.'||(s%9) AS regional FROM (
         SELECT l_partkey AS trecho_id, CASE l_returnflag WHEN 'A' THEN 'observado' WHEN 'N' THEN 'D+1' ELSE 'D+2' END AS horizonte,
         MAX(l_quantity::BIGINT) AS q, MAX(l_suppkey) AS s FROM lineitem GROUP BY ALL)""",
-    "cycles": """SELECT o_orderkey AS cycle_id, TIMESTAMP '2024-01-01 00:00:00' + to_minutes(o_orderkey*10 + o_custkey%7) AS started_at,
+    "cycles": """SELECT o_orderkey AS cycle_id, TIMESTAMP '2024-01-01 00:00:00' + to_minutes((o_orderkey%50000000)*10 + o_custkey%7) AS started_at,
         CASE o_orderstatus WHEN 'F' THEN 'ok' WHEN 'O' THEN 'error' ELSE 'skipped' END AS outcome, o_totalprice/1000e0 AS duration_s,
         (96-o_custkey%10)::INT AS files_ok, (o_custkey%7)::INT AS alert_count, (o_custkey%8)::INT AS missing_24h,
         [((o_custkey+i)%9)::INT FOR i IN [0,1,2,3,4]] AS by_level, (o_orderkey%5)::INT AS max_rd FROM orders""",

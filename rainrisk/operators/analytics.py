@@ -150,20 +150,24 @@ def recent_window(cycles: DataFrame, now: Column, hours: int, ts: str = "started
     return cycles.where(F.coalesce(F.col(ts), cutoff) >= cutoff)
 
 
-def alert_deltas(cycles: DataFrame, hours: tuple[int, ...] = (1, 24), ts: str = "started_at", tie: str = "cycle_id") -> DataFrame:
+def alert_deltas(cycles: DataFrame, hours: tuple[int, ...] = (1, 24), ts: str = "started_at", tie: str = "cycle_id",
+                 last_values: tuple[str, ...] = ()) -> DataFrame:
     """One row: alerts of the last cycle and the change against the last cycle h hours earlier.
 
     Cycles are in time order, so the last row at or before the cutoff is the as-of row.
+    ``last_values`` adds further columns of the last cycle.
     """
     at = F.struct(ts, tie)
-    last = cycles.agg(F.max(ts).alias("_last"), F.max_by("alert_count", at).alias("alert_count"), F.count(F.lit(1)).alias("_n"))
+    last = cycles.agg(F.max(ts).alias("_last"), F.count(F.lit(1)).alias("_n"), F.max_by("alert_count", at).alias("alert_count"),
+                      *[F.max_by(c, at).alias(c) for c in last_values])
     # a one-row aggregate, attached by a constant key
-    before = cycles.withColumn("_one", F.lit(1)).join(last.withColumnRenamed("alert_count", "_now").withColumn("_one", F.lit(1)), "_one")
+    tagged = cycles.select(ts, tie, "alert_count", F.lit(1).alias("_one")).join(
+        last.select("_last", F.lit(1).alias("_one")), "_one")
     cond = lambda h: F.col(ts) <= F.col("_last") - F.make_interval(hours=F.lit(h))
-    refs = before.agg(*[F.max_by(F.when(cond(h), F.col("alert_count")), F.when(cond(h), at)).alias(f"_r{h}") for h in hours],
-                      F.max("_now").alias("alert_count"), F.max("_n").alias("_n"))
-    return refs.select("alert_count", *[
-        F.when(F.col("_n") >= 2, F.col("alert_count") - F.col(f"_r{h}")).alias(f"alert_delta_{h}h") for h in hours])
+    refs = tagged.agg(*[F.max_by(F.when(cond(h), F.col("alert_count")), F.when(cond(h), at)).alias(f"_r{h}") for h in hours])
+    both = last.withColumn("_one", F.lit(1)).join(refs.withColumn("_one", F.lit(1)), "_one")
+    return both.select("alert_count", *[
+        F.when(F.col("_n") >= 2, F.col("alert_count") - F.col(f"_r{h}")).alias(f"alert_delta_{h}h") for h in hours], *last_values)
 
 
 def operations(cycles: DataFrame, ts: str = "started_at", tie: str = "cycle_id") -> DataFrame:
@@ -251,10 +255,5 @@ def latest_cycles(cycles: DataFrame, n: int = 12, ts: str = "started_at", tie: s
 def headline(points: DataFrame, cycles: DataFrame) -> DataFrame:
     """One row: alerts now, changes, worst level and the maxima of the last cycle."""
     now = points.agg(F.count_if(F.col("rd") >= 3).alias("alerts_now"), F.max("rd").alias("max_rd"))
-    last = cycles.agg(F.max_by("files_ok", F.struct("started_at", "cycle_id")).alias("files_ok"),
-                      F.max_by("duration_s", F.struct("started_at", "cycle_id")).alias("duration_s"))
-    deltas = alert_deltas(cycles).drop("alert_count")
-    out = now.withColumn("_one", F.lit(1))
-    for part in (deltas, last):
-        out = out.join(part.withColumn("_one", F.lit(1)), "_one")
-    return out.drop("_one")
+    deltas = alert_deltas(cycles, last_values=("files_ok", "duration_s")).drop("alert_count")
+    return now.withColumn("_one", F.lit(1)).join(deltas.withColumn("_one", F.lit(1)), "_one").drop("_one")

@@ -140,13 +140,14 @@ def point_series(units: DataFrame, stations: DataFrame, hourly: DataFrame, targe
 
     Only covered hours appear: an hour nobody measured is absent, never zero.
     """
+    # at most one entry per hour and place, so a place carries at most 96 entries to its neighbours
     located = window_hours(hourly, target).join(stations.select("station_id", "lat", "lon"), "station_id")
     place_hours = located.groupBy(F.col("lat").alias("s_lat"), F.col("lon").alias("s_lon"), "hr").agg(
         F.sum(rain.ticks(F.col("mm"))).alias("_sum"), F.count(F.lit(1)).alias("n"))
-    spots = positions(stations).withColumnsRenamed({"lat": "s_lat", "lon": "s_lon"})
+    places = place_hours.groupBy("s_lat", "s_lon").agg(F.collect_list(F.struct("hr", "_sum", "n")).alias("_hours"))
     d = F.greatest(F.col("distance_km"), F.lit(min_km))
-    pairs = pairs_within(positions(units), spots, radius_km).withColumn("w", F.lit(1.0) / (d * d))
-    return (pairs.join(place_hours, ["s_lat", "s_lon"])
+    pairs = pairs_within(positions(units), places, radius_km).withColumn("w", F.lit(1.0) / (d * d))
+    return (pairs.select("lat", "lon", "w", F.inline("_hours"))
             .groupBy("lat", "lon", "hr").agg(
                 (F.sum(F.col("w") * F.col("_sum")) / F.sum(F.col("w") * F.col("n")) / F.lit(float(rain.TICKS_PER_MM))).alias("mm")))
 

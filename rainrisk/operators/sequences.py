@@ -7,11 +7,14 @@ stretches that are provably independent of each other.
 
 from __future__ import annotations
 
+from itertools import groupby
+from operator import itemgetter
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import geo
-from .scale import OrderedBlocks, neighbour_chunks, numbered, own_rows
+from .scale import BLOCK, OrderedBlocks, neighbour_chunks, numbered, own_rows
 
 TRUST = 0.35
 
@@ -27,12 +30,13 @@ def moving_mode(rows: DataFrame, keys: list[str], order: list[str], value: str,
                 fill: bool = False) -> DataFrame:
     """Mode of a centred window; nulls have no vote; optionally fill gaps forward, then backward."""
     half = size // 2
-    chunks, w = neighbour_chunks(numbered(rows, keys, order, "_rn"), keys, "_rn", half)
+    blocks = OrderedBlocks.of(rows, keys, order).extend({"_rn": ("sum", F.lit(1).cast("long"), True)})
+    chunks, w = neighbour_chunks(blocks.rows, keys, "_rn", half)
     seen = F.collect_list(value).over(w.rowsBetween(-half, half))
     out = own_rows(chunks.withColumn(name, _mode_first_seen(seen)))
     if not fill:
-        return out.drop("_rn")
-    out = OrderedBlocks.of(out, keys, ["_rn"]).cumulative({"_ff": ("last", F.col(name), True)})
+        return out.drop("_rn", BLOCK)
+    out = OrderedBlocks(out, keys, ["_rn"]).cumulative({"_ff": ("last", F.col(name), True)})
     first = out.where(F.col(name).isNotNull()).groupBy(*keys).agg(F.min_by(name, "_rn").alias("_first"))
     return out.join(first, keys, "left").withColumn(name, F.coalesce("_ff", "_first")).drop("_ff", "_first", "_rn")
 
@@ -49,9 +53,24 @@ def run_lengths(rows: DataFrame, keys: list[str], order: list[str], cls: str, st
     return runs if drop is None else runs.where(F.col(cls) != drop)
 
 
-def _absorb(stretch: pd.DataFrame, allowed_col: str | None, min_km: float) -> pd.DataFrame:
-    """Leftmost unwanted run joins its longer neighbour (left on a tie) until none is left."""
-    runs = stretch.sort_values("run").to_dict("records")
+def _per_stretch(pdf: pd.DataFrame, order: str, rule) -> pd.DataFrame:
+    """Apply a rule on lists of row dicts to every stretch of a bundle."""
+    done: list[dict] = []
+    rows = pdf.sort_values(["_part", order]).to_dict("records")
+    for _, stretch in groupby(rows, key=itemgetter("_part")):
+        done.extend(rule(list(stretch)))
+    return pd.DataFrame(done, columns=pdf.columns)
+
+
+def _bundled(parts: DataFrame, keys: list[str], order: str, rule, stretches: int = 256) -> DataFrame:
+    """Run a rule over consecutive stretches, many per Python call."""
+    schema = parts.schema
+    bundle = F.floor(F.col("_part") / F.lit(stretches))
+    return parts.groupBy(*keys, bundle).applyInPandas(lambda pdf: _per_stretch(pdf, order, rule), schema)
+
+
+def _absorb(runs: list[dict], cls: str, allowed_col: str | None, min_km: float) -> list[dict]:
+    """Leftmost unwanted run joins its longer neighbour (left on a tie) until none is left; then equal ones fuse."""
 
     def unwanted(r):
         return not r[allowed_col] if allowed_col else (r["run_stop"] - r["run_start"]) < min_km
@@ -68,14 +87,21 @@ def _absorb(stretch: pd.DataFrame, allowed_col: str | None, min_km: float) -> pd
             runs[i - 1]["run_stop"] = gone["run_stop"]
         else:
             runs[i]["run_start"] = gone["run_start"]
-    return pd.DataFrame(runs, columns=stretch.columns)
+    fused = runs[:1]
+    for r in runs[1:]:
+        if r[cls] == fused[-1][cls]:
+            fused[-1]["run_stop"] = r["run_stop"]
+        else:
+            fused.append(r)
+    return fused
 
 
 def absorb_runs(runs: DataFrame, keys: list[str], cls: str, min_km: float = 0.15, allowed: str | None = None) -> DataFrame:
     """Absorb runs shorter than ``min_km`` (or not ``allowed``, a boolean column), then fuse equal neighbours.
 
-    Where two wanted runs touch, nothing on one side can change the other side, so
-    the sequence is cut there and the stretches run in parallel.
+    Where two wanted runs touch, nothing on one side can change the other side, and
+    both stay with their different classes, so the sequence is cut there and the
+    stretches run in parallel. ``run`` keeps the order of the result.
     """
     wanted = F.col(allowed) if allowed else (F.col("run_stop") - F.col("run_start")) >= F.lit(min_km)
     blocks = OrderedBlocks.of(runs.withColumn("_w", wanted), keys, ["run"]).extend({"_pw": ("last", F.col("_w"), False)})
@@ -86,12 +112,8 @@ def absorb_runs(runs: DataFrame, keys: list[str], cls: str, min_km: float = 0.15
     lone = parts.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_size"))
     sized = parts.join(lone, [*keys, "_part"])
     quiet = sized.where("_size = 1").select(*schema.names)
-    busy = sized.where("_size > 1").select(*schema.names).groupBy(*keys, "_part").applyInPandas(
-        lambda pdf: _absorb(pdf, allowed, min_km), schema)
-    settled = quiet.unionByName(busy).drop("_part", "n")
-    fused = run_lengths(settled.withColumnsRenamed({"run": "_seq", "run_start": "_a", "run_stop": "_b"}),
-                        keys, ["_seq"], cls, "_a", "_b", drop=None)
-    return fused.drop("n")
+    busy = _bundled(sized.where("_size > 1").select(*schema.names), keys, "run", lambda runs: _absorb(runs, cls, allowed, min_km))
+    return quiet.unionByName(busy).drop("_part", "n")
 
 
 def fill_from_neighbours(rows: DataFrame, keys: list[str], order: list[str], score: str = "score", conf: str = "conf",
@@ -103,30 +125,33 @@ def fill_from_neighbours(rows: DataFrame, keys: list[str], order: list[str], sco
     trusted. Rows before the first trusted score only look right. Filled rows get
     confidence 0.5 and a whole-number ``mode``.
     """
-    rows = numbered(rows, keys, order, "_rn")
+    return _filled_blocks(rows, keys, order, score, conf, trust).rows.drop(BLOCK)
+
+
+def _filled_blocks(rows: DataFrame, keys: list[str], order: list[str], score: str, conf: str, trust: float) -> OrderedBlocks:
     known = F.when(F.col(conf) >= trust, F.col(score))
-    left = OrderedBlocks.of(rows, keys, ["_rn"]).cumulative({"_left": ("last", known, False)})
-    chunks, w = neighbour_chunks(left, keys, "_rn", 1)
+    blocks = OrderedBlocks.of(rows, keys, order).extend({
+        "_rn": ("sum", F.lit(1).cast("long"), True), "_left": ("last", known, False)})
+    chunks, w = neighbour_chunks(blocks.rows, keys, "_rn", 1)
     right = F.lead(F.struct(known.alias("v"))).over(w)["v"]
     out = own_rows(chunks.withColumn("_right", right))
     mean = (F.when(F.col("_left").isNotNull() & F.col("_right").isNotNull(), (F.col("_left") + F.col("_right")) / F.lit(2.0))
             .otherwise(F.coalesce("_left", "_right")))
     filled = (F.col(conf) < trust) & mean.isNotNull()
-    return out.withColumn("_filled", filled).withColumns({
+    out = out.withColumn("_filled", filled).withColumns({
         score: F.when(F.col("_filled"), mean).otherwise(F.col(score)),
         conf: F.when(F.col("_filled"), F.lit(0.5)).otherwise(F.col(conf))}).drop("_left", "_right")
+    return OrderedBlocks(out, keys, ["_rn"])
 
 
-def _fix_outliers(stretch: pd.DataFrame, trust: float) -> pd.DataFrame:
-    s = stretch.sort_values("_rn").reset_index(drop=True)
-    score, conf, fixed = s["score"].to_list(), s["conf"].to_list(), [False] * len(s)
-    left_s, left_c = s["_ls"].iloc[0], s["_lc"].iloc[0]
-    for i, (right_s, right_c, inner) in enumerate(zip(s["_rs"], s["_rc"], s["_inner"])):
-        if inner and conf[i] >= trust and abs(left_s - right_s) <= 1.0 and abs(score[i] - left_s) > 1.5:
-            score[i], fixed[i] = (left_s if left_c >= right_c else right_s), True
-            conf[i] = min(conf[i], 0.6)
-        left_s, left_c = score[i], conf[i]
-    return s.assign(score=score, conf=conf, _fixed=fixed)
+def _fix_outliers(rows: list[dict], trust: float) -> list[dict]:
+    left_s, left_c = rows[0]["_ls"], rows[0]["_lc"]
+    for r in rows:
+        if (r["_inner"] and r["conf"] >= trust and abs(left_s - r["_rs"]) <= 1.0 and abs(r["score"] - left_s) > 1.5):
+            r["score"], r["_fixed"] = (left_s if left_c >= r["_rc"] else r["_rs"]), True
+            r["conf"] = min(r["conf"], 0.6)
+        left_s, left_c = r["score"], r["conf"]
+    return rows
 
 
 def smooth_neighbours(rows: DataFrame, keys: list[str], order: list[str], trust: float = TRUST) -> DataFrame:
@@ -136,21 +161,20 @@ def smooth_neighbours(rows: DataFrame, keys: list[str], order: list[str], trust:
     A row whose right neighbour is within 0.5 can never change, whatever its left
     value is, so the sequence is cut after such rows and after untrusted ones.
     """
-    filled = fill_from_neighbours(rows, keys, order, trust=trust)
-    chunks, w = neighbour_chunks(filled, keys, "_rn", 1)
+    filled = _filled_blocks(rows, keys, order, "score", "conf", trust)
+    chunks, w = neighbour_chunks(filled.rows, keys, "_rn", 1)
     shift = lambda f, c: f(c).over(w)
     near = own_rows(chunks.withColumns({
         "_ls": shift(F.lag, "score"), "_lc": shift(F.lag, "conf"), "_rs": shift(F.lead, "score"), "_rc": shift(F.lead, "conf")}))
     near = near.withColumn("_inner", F.col("_ls").isNotNull() & F.col("_rs").isNotNull())
     frozen = ~F.col("_inner") | (F.col("conf") < trust) | (F.abs(F.col("score") - F.col("_rs")) <= 0.5)
-    blocks = OrderedBlocks.of(near.withColumn("_frozen", frozen), keys, ["_rn"])
+    blocks = OrderedBlocks(near.withColumn("_frozen", frozen), keys, ["_rn"])
     parts = blocks.cumulative({"_part": ("sum", F.when(F.col("_frozen"), 1).otherwise(0).cast("long"), False)})
     parts = parts.withColumn("_fixed", F.lit(False))
     still = parts.groupBy(*keys, "_part").agg((F.count_if(~F.col("_frozen")) == 0).alias("_still"))
     tagged = parts.join(still, [*keys, "_part"])
     quiet = tagged.where("_still").select(*parts.columns)
-    busy = tagged.where("NOT _still").select(*parts.columns).groupBy(*keys, "_part").applyInPandas(
-        lambda pdf: _fix_outliers(pdf, trust)[pdf.columns.tolist()], parts.schema)
+    busy = _bundled(tagged.where("NOT _still").select(*parts.columns), keys, "_rn", lambda rows: _fix_outliers(rows, trust))
     out = quiet.unionByName(busy)
     mode = F.when(F.col("_filled") | F.col("_fixed"), F.bround("score").cast("int")).otherwise(F.col("mode"))
     return out.withColumn("mode", mode).select(*rows.columns)

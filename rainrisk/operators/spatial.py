@@ -6,9 +6,11 @@ and results come back to the rows by key. Hot cells are salted.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..constants import AXIS_CUTOFF_KM
+from ..constants import AXIS_CUTOFF_KM, EARTH_RADIUS_KM
 from ..functions import geo
 from .scale import OrderedBlocks
 
@@ -34,15 +36,32 @@ def pairs_within(left: DataFrame, right: DataFrame, radius_km: float,
     r_dlon = F.lit(degrees) / shrink
     tagged = left.withColumns({
         "_cy": F.floor(lat / F.lit(size)).cast("long"), "_cx": F.floor(lon / F.lit(size)).cast("long"),
-        "_salt": F.pmod(F.xxhash64(lat, lon), F.lit(salts)).cast("int")})
-    spread = (right
+        "_salt": F.pmod(F.xxhash64(lat, lon), F.lit(salts)).cast("int"), **_unit_vector(lat, lon, "_l")})
+    tagged = spread_out(tagged, "_cy", "_cx", "_salt")
+    spread = (right.withColumns(_unit_vector(r_lat, r_lon, "_r"))
               .withColumn("_cy", F.explode(_cells(r_lat - F.lit(degrees), r_lat + F.lit(degrees), size)))
               .withColumn("_cx", F.explode(_cells(r_lon - r_dlon, r_lon + r_dlon, size)))
               .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))))
-    distance = geo.haversine_km(lat, lon, r_lat, r_lon)
-    return (tagged.join(spread, ["_cy", "_cx", "_salt"])
-            .withColumn("distance_km", distance).where(F.col("distance_km") <= radius_km)
-            .drop("_cy", "_cx", "_salt"))
+    # candidates are cut by their chord (no trigonometry per pair), survivors by the distance itself
+    chord2 = sum(((F.col(f"_l{a}") - F.col(f"_r{a}")) * (F.col(f"_l{a}") - F.col(f"_r{a}")) for a in "xyz"), F.lit(0.0))
+    limit = (2 * math.sin(min(radius_km / (2 * EARTH_RADIUS_KM), math.pi / 2))) ** 2 * (1 + 1e-6) + 1e-18
+    return (tagged.join(spread, ["_cy", "_cx", "_salt"]).where(chord2 <= limit)
+            .drop("_cy", "_cx", "_salt", *[f"{side}{a}" for side in ("_l", "_r") for a in "xyz"])
+            .withColumn("distance_km", geo.haversine_km(lat, lon, r_lat, r_lon)).where(F.col("distance_km") <= radius_km))
+
+
+def spread_out(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash partition at the session's full width.
+
+    Adaptive execution would merge these small inputs into a few tasks, although the
+    join behind them multiplies the rows; an explicit number keeps the width.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
+def _unit_vector(lat: Column, lon: Column, prefix: str) -> dict[str, Column]:
+    phi, lam = F.radians(lat), F.radians(lon)
+    return {f"{prefix}x": F.cos(phi) * F.cos(lam), f"{prefix}y": F.cos(phi) * F.sin(lam), f"{prefix}z": F.sin(phi)}
 
 
 def positions(df: DataFrame, lat: str = "lat", lon: str = "lon") -> DataFrame:
@@ -158,6 +177,7 @@ def range_pairs(left: DataFrame, right: DataFrame, road: str, left_range: tuple[
     bucket = lambda c: F.floor(c / F.lit(width)).cast("long")
     a = (left.withColumn("_lb", bucket(l0)).withColumn("_bucket", F.explode(F.sequence("_lb", bucket(l1))))
          .withColumn("_salt", F.pmod(F.xxhash64(*left_range), F.lit(salts)).cast("int")))
+    a = spread_out(a, road, "_bucket", "_salt")
     b = (right.withColumn("_rb", bucket(r0)).withColumn("_bucket", F.explode(F.sequence("_rb", bucket(r1))))
          .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))))
     return (a.join(b, [road, "_bucket", "_salt"])

@@ -75,14 +75,13 @@ def risk_summary(points: DataFrame, grid: DataFrame, target: Column) -> DataFram
     """One row: totals per channel and level, worst unit, data status."""
     g = F.col("hazard") == "geo"
     level = lambda c, p: [F.count_if(c & (F.col("rd") == i)).alias(f"{p}_rd{i}") for i in range(5)]
+    # level first, then the slope channel, then 96 h rain, then input order
+    worst = F.min(F.struct((-F.col("rd")).alias("r"), "hazard", (-F.col("ac96h_mm")).alias("a"), "ua_id"))
     totals = points.agg(F.count(F.lit(1)).alias("total"), F.count_if(g).alias("total_geo"), F.count_if(~g).alias("total_hidro"),
-                        *level(F.lit(True), "all"), *level(g, "geo"), *level(~g, "hidro"))
-    worst = risk.worst_unit(points).select(F.col("ua_id").alias("max_rd_point"), F.col("rd").alias("max_rd"), F.col("hazard").alias("max_rd_hazard"))
+                        *level(F.lit(True), "all"), *level(g, "geo"), *level(~g, "hidro"), worst.alias("_w"))
+    totals = totals.select("*", F.col("_w.ua_id").alias("max_rd_point"), (-F.col("_w.r")).alias("max_rd"), F.col("_w.hazard").alias("max_rd_hazard")).drop("_w")
     hours = hour_completeness(grid, target).withColumn("data_status", rain.data_status(F.col("missing_24h")))
-    out = totals.withColumn("_one", F.lit(1))
-    for part in (worst, hours):
-        out = out.join(part.withColumn("_one", F.lit(1)), "_one")
-    return out.drop("_one")
+    return totals.withColumn("_one", F.lit(1)).join(hours.withColumn("_one", F.lit(1)), "_one").drop("_one")
 
 
 def snapshot_at(data: Inputs, instant: Column, now: Column, max_days: int = HISTORY_MAX_DAYS) -> DataFrame:
