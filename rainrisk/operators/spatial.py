@@ -42,6 +42,7 @@ def pairs_within(left: DataFrame, right: DataFrame, radius_km: float,
               .withColumn("_cy", F.explode(_cells(r_lat - F.lit(degrees), r_lat + F.lit(degrees), size)))
               .withColumn("_cx", F.explode(_cells(r_lon - r_dlon, r_lon + r_dlon, size)))
               .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))))
+    spread = spread_out(spread, "_cy", "_cx", "_salt")
     # candidates are cut by their chord (no trigonometry per pair), survivors by the distance itself
     chord2 = sum(((F.col(f"_l{a}") - F.col(f"_r{a}")) * (F.col(f"_l{a}") - F.col(f"_r{a}")) for a in "xyz"), F.lit(0.0))
     limit = (2 * math.sin(min(radius_km / (2 * EARTH_RADIUS_KM), math.pi / 2))) ** 2 * (1 + 1e-6) + 1e-18
@@ -180,6 +181,7 @@ def range_pairs(left: DataFrame, right: DataFrame, road: str, left_range: tuple[
     a = spread_out(a, road, "_bucket", "_salt")
     b = (right.withColumn("_rb", bucket(r0)).withColumn("_bucket", F.explode(F.sequence("_rb", bucket(r1))))
          .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))))
+    b = spread_out(b, road, "_bucket", "_salt")
     return (a.join(b, [road, "_bucket", "_salt"])
             .where((F.col("_bucket") == F.greatest("_lb", "_rb")) & (F.greatest(l0, r0) <= F.least(l1, r1)))
             .drop("_bucket", "_salt", "_lb", "_rb"))
