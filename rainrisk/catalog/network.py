@@ -251,6 +251,7 @@ def ordered_units(spark, sf):
 @query("AGG-36 SRC-20", fx.sql_with("units", {}, "SELECT escala, COUNT(*) AS observed, CASE escala WHEN '25K' THEN 63 WHEN '10K' THEN 335 ELSE 411 END::BIGINT AS official FROM units GROUP BY escala"))
 def scale_totals(spark, sf):
     from ..constants import UNIT_QUOTAS
+    from ..operators.scale import constant_table
 
-    official = spark.createDataFrame([(s, n) for _, _, s, n, _ in UNIT_QUOTAS], "escala string, n int").groupBy("escala").agg(F.sum("n").alias("official"))
+    official = constant_table(spark, [(s, n) for _, _, s, n, _ in UNIT_QUOTAS], "escala string, n int").groupBy("escala").agg(F.sum("n").alias("official"))
     return fx.units(spark, sf).groupBy("escala").agg(F.count(F.lit(1)).alias("observed")).join(official, "escala")

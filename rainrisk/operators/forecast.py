@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..constants import FORECAST
+from .scale import attach
 
 
 def choose_run(grid: DataFrame, t0: Column) -> DataFrame:
@@ -37,7 +38,7 @@ def accumulate(grid: DataFrame, t0: Column, cell: list[str], acc: str = "acc_mm"
 def attach_forecast(units: DataFrame, forecast: DataFrame, on: list[str]) -> DataFrame:
     """Left join of forecast sums as ``prev6h_mm``, ``prev24h_mm``; null when absent."""
     renamed = forecast.select(*on, F.col("ac6h_prev").alias("prev6h_mm"), F.col("ac24h_prev").alias("prev24h_mm"))
-    return units.join(renamed, on, "left")
+    return attach(units, renamed, on)
 
 
 def forecast_view(units: DataFrame) -> DataFrame:

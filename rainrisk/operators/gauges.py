@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..constants import CORRECTION, DRY_GUARD, PRIMARY, SUSPECT
 from ..functions import rain
 from .rain import window_hours
-from .scale import OrderedBlocks, quantiles_of_ranked
+from .scale import OrderedBlocks, attach, quantiles_of_ranked
 from .spatial import pairs_within, positions
 
 
@@ -80,7 +80,7 @@ def correct_rain(windows: DataFrame, estimates: DataFrame) -> DataFrame:
     Otherwise scale by the clamped blend, or add the blend when the satellite is dry.
     """
     c = CORRECTION
-    joined = windows.join(estimates, ["lat", "lon"], "left")
+    joined = attach(windows, estimates, ["lat", "lon"])
     g, s = F.col("g24_mm"), F.col("ac24h_mm")
     weight = rain.anchor_weight(F.col("d_min_km"))
     blend = weight * g + (F.lit(1.0) - weight) * s
@@ -181,7 +181,7 @@ def apply_primary(windows: DataFrame, coverage: DataFrame, min_coverage: float =
     """Replace the windows of units whose position qualifies; adds ``source`` and ``from_gauges``."""
     names = ["intensity_mmh", "ac18h_mm", "ac24h_mm", "ac72h_mm", "ac96h_mm"]
     good = coverage.where(qualifies(min_coverage)).select("lat", "lon", *[F.col(n).alias(f"_g_{n}") for n in names])
-    out = windows.join(good, ["lat", "lon"], "left")
+    out = attach(windows, good, ["lat", "lon"])
     used = F.col("_g_ac24h_mm").isNotNull()
     return out.withColumns({n: F.coalesce(F.col(f"_g_{n}"), F.col(n)) for n in names} | {
         "from_gauges": used, "source": F.when(used, F.lit(label)).otherwise(F.lit("SATELLITE"))}).drop(*[f"_g_{n}" for n in names])

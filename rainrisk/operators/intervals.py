@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..constants import SAME_ROAD_CUTOFF_KM
-from .scale import OrderedBlocks
+from .scale import OrderedBlocks, attach, numbered
 from .spatial import overlap_length, range_pairs
 
 
@@ -23,7 +23,7 @@ def first_overlap(left: DataFrame, right: DataFrame, order: str, take: list[str]
     places = right.groupBy(road, *right_range).agg(F.min(F.struct(order, *[c for c in take if c != order])).alias("_row"))
     hit = (range_pairs(_ranges(left, road, *left_range), places, road, left_range, right_range, width)
            .groupBy(road, *left_range).agg(F.min("_row").alias("_row")))
-    return left.join(hit, [road, *left_range], "left").select(*left.columns, *[F.col(f"_row.{c}").alias(c) for c in take])
+    return attach(left, hit, [road, *left_range]).select(*left.columns, *[F.col(f"_row.{c}").alias(c) for c in take])
 
 
 def first_containing(left: DataFrame, right: DataFrame, order: str, take: list[str], at: str, road: str = "road",
@@ -32,7 +32,7 @@ def first_containing(left: DataFrame, right: DataFrame, order: str, take: list[s
     spots = left.select(road, at).distinct().withColumn("_at2", F.col(at))
     places = right.groupBy(road, *right_range).agg(F.min(F.struct(order, *[c for c in take if c != order])).alias("_row"))
     hit = range_pairs(spots, places, road, (at, "_at2"), right_range, width).groupBy(road, at).agg(F.min("_row").alias("_row"))
-    return left.join(hit, [road, at], "left").select(*left.columns, *[F.col(f"_row.{c}").alias(c) for c in take])
+    return attach(left, hit, [road, at]).select(*left.columns, *[F.col(f"_row.{c}").alias(c) for c in take])
 
 
 def longest_overlap(left: DataFrame, right: DataFrame, label: str, road: str = "road",
@@ -44,7 +44,7 @@ def longest_overlap(left: DataFrame, right: DataFrame, label: str, road: str = "
     best = (range_pairs(_ranges(left, road, *left_range), places, road, left_range, right_range, width)
             .withColumn("_o", o).where("_o > 0")
             .groupBy(road, *left_range).agg(F.min(F.struct((-F.col("_o")).alias("o"), "_label")).alias("_b")))
-    return left.join(best, [road, *left_range], "left").select(
+    return attach(left, best, [road, *left_range]).select(
         *left.columns, F.col("_b._label").alias(label), (-F.col("_b.o")).alias("overlap_km"))
 
 
@@ -58,7 +58,7 @@ def majority_class(left: DataFrame, right: DataFrame, cls: str, road: str = "roa
                  .groupBy(road, *left_range, cls).agg(F.sum(o).alias("_o")).where("_o > 0"))
     best = per_class.groupBy(road, *left_range).agg(F.max(F.struct("_o", cls)).alias("_b")).select(
         road, *left_range, F.col(f"_b.{cls}").alias(cls), (F.col("_b._o") / F.lit(1e6)).alias("overlap_km"))
-    return left.join(best, [road, *left_range], "left")
+    return attach(left, best, [road, *left_range])
 
 
 def nearest_on_road(units: DataFrame, segments: DataFrame, segment_id: str, road: str = "road",
@@ -75,7 +75,7 @@ def nearest_on_road(units: DataFrame, segments: DataFrame, segment_id: str, road
     best = (range_pairs(spots, places, road, ("_m", "_m2"), segment_range, width, pad=cutoff_km)
             .withColumn("_d", gap).where(F.col("_d") <= cutoff_km)
             .groupBy(road, "_m").agg(F.min(F.struct("_d", "_seg")).alias("_b")))
-    return units.withColumn("_m", mid).join(best, [road, "_m"], "left").select(
+    return attach(units.withColumn("_m", mid), best, [road, "_m"]).select(
         *units.columns, F.col("_b._seg").alias(segment_id), F.col("_b._d").alias("dist_km"))
 
 
@@ -85,7 +85,7 @@ def count_inside(areas: DataFrame, units: DataFrame, road: str = "road", area_ra
     spots = units.groupBy(road, at).agg(F.count(F.lit(1)).alias("_n")).withColumn("_at2", F.col(at))
     n = (range_pairs(_ranges(areas, road, *area_range), spots, road, area_range, (at, "_at2"), width, pad)
          .groupBy(road, *area_range).agg(F.sum("_n").alias("observed")))
-    return areas.join(n, [road, *area_range], "left").fillna(0, ["observed"])
+    return attach(areas, n, [road, *area_range]).fillna(0, ["observed"])
 
 
 def union_intervals(intervals: DataFrame, keys: list[str], a: str = "a", b: str = "b", kind: str = "kind") -> DataFrame:
@@ -108,7 +108,7 @@ def complement_intervals(intervals: DataFrame, lengths: DataFrame, keys: list[st
     reach = distinct.groupBy(*keys).agg(F.max(b).alias("_end"))
     tail = lengths.join(reach, keys, "left").select(
         *keys, F.greatest(F.coalesce("_end", F.lit(0.0)), F.lit(0.0)).alias("free0"), F.col(length).alias("free1"))
-    gaps = before.join(lengths, keys).select(*keys, "free0", F.least("free1", length).alias("free1"))
+    gaps = attach(before, lengths, keys, "inner").select(*keys, "free0", F.least("free1", length).alias("free1"))
     return gaps.unionByName(tail).where("free1 > free0")
 
 
@@ -123,7 +123,7 @@ def split_evenly(intervals: DataFrame, counts: DataFrame, keys: list[str], n: st
     step = F.col("_total") / F.col(n)
     end = F.col("_before") + size
     eps = F.lit(1e-9)
-    pieces = (walk.join(counts.select(*keys, n), keys).where((F.col(n) > 0) & (F.col("_total") > 0))
+    pieces = (attach(walk, counts.select(*keys, n), keys, "inner").where((F.col(n) > 0) & (F.col("_total") > 0))
               .withColumn("unit", F.explode(F.sequence(
                   F.greatest(F.lit(1), F.floor(F.col("_before") / step + eps).cast("int") + 1),
                   F.least(F.col(n).cast("int"), F.greatest(F.lit(1), F.ceil(end / step - eps).cast("int"))))))
@@ -174,14 +174,12 @@ def proportional_split(runs: DataFrame, keys: list[str], target: str = "n", size
     Surplus from the minimum is taken back one unit at a time from the runs whose
     count exceeds their share most; both corrections are ranks, so they stay parallel.
     """
-    from .scale import numbered
-
     total = runs.groupBy(*keys).agg(F.sum(size).alias("_total"))
     raw = F.col(size) / F.col("_total") * F.col(target)
-    base = (runs.join(total, keys).where("_total > 0").withColumn("_raw", raw)
+    base = (attach(runs, total, keys, "inner").where("_total > 0").withColumn("_raw", raw)
             .withColumn("_base", F.greatest(F.lit(1), F.floor("_raw").cast("int"))))
     balance = base.groupBy(*keys).agg((F.sum("_base") - F.max(target)).cast("long").alias("_over"))
-    base = base.join(balance, keys)
+    base = attach(base, balance, keys, "inner")
     give = numbered(base.where("_over < 0").select(*keys, order, "_over", (-F.round(F.col("_raw") - F.col("_base"), 9)).alias("_k")),
                     keys, ["_k", order], "_rank").where("_rank <= -_over").select(*keys, order, F.lit(1).alias("_d"))
     steps = base.where("_over > 0 AND _base > 1").withColumn("_j", F.explode(F.sequence(F.lit(1), F.col("_base") - 1)))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..constants import WINDOW_HOURS
 from ..functions import rain
+from .scale import attach
 
 
 def window_hours(hourly: DataFrame, target: Column, hours: int = 96, hour: str = "hr") -> DataFrame:
@@ -28,7 +29,7 @@ def trailing_windows(hourly: DataFrame, keys: list[str], target: Column, hour: s
 def unit_windows(units: DataFrame, cell_windows: DataFrame, cell: list[str]) -> DataFrame:
     """Windows of the nearest grid cell per unit, zero where the cell never reported."""
     measures = [c for c in cell_windows.columns if c not in cell]
-    return units.join(cell_windows, cell, "left").fillna(0.0, measures)
+    return attach(units, cell_windows, cell).fillna(0.0, measures)
 
 
 def hour_completeness(hours: DataFrame, target: Column, hour: str = "hr", ok: str | None = None) -> DataFrame:

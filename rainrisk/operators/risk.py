@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..constants import NO_RA, OUT_OF_COVERAGE, PROTOCOL, REGIONS
 from ..functions import rain, risk, text
+from .scale import constant_table
 
 REGION_SCHEMA = ("regiao_id int, regiao_nome string, sigla_rodovia string, k_geo double, cpc_breaks array<double>, "
                  "hid24h_breaks array<double>, polygon array<struct<lat:double,lon:double>>, "
@@ -19,8 +20,8 @@ UNIT_HID = ("RAHID", "icc_hid_thresholds", "trecho_critico_hid")
 
 def default_regions(spark: SparkSession) -> DataFrame:
     """The four built-in regions; they have no axis."""
-    rows = [(i, n, r, k, list(c), list(h), [tuple(p) for p in ring], []) for i, n, r, k, c, h, ring in REGIONS]
-    return spark.createDataFrame(rows, REGION_SCHEMA)
+    rows = [(i, n, r, k, c, h, [{"lat": p[0], "lon": p[1]} for p in ring], []) for i, n, r, k, c, h, ring in REGIONS]
+    return constant_table(spark, rows, REGION_SCHEMA)
 
 
 def region_view(regions: DataFrame) -> DataFrame:
@@ -33,8 +34,7 @@ def region_view(regions: DataFrame) -> DataFrame:
 
 
 def protocol(spark: SparkSession) -> DataFrame:
-    rows = [(lv, c, s, i, list(a)) for lv, c, s, i, a in PROTOCOL]
-    out = spark.createDataFrame(rows, "rd int, cor string, prontidao boolean, vistoria boolean, acoes array<string>")
+    out = constant_table(spark, list(PROTOCOL), "rd int, cor string, prontidao boolean, vistoria boolean, acoes array<string>")
     return out.withColumn("nivel", risk.level_label(F.col("rd")))
 
 

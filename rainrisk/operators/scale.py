@@ -8,10 +8,11 @@ with one row per (key, block).
 
 from __future__ import annotations
 
+import json
 import tempfile
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 BLOCK = "_block"
 
@@ -135,6 +136,28 @@ def quantiles_of_ranked(ranked: DataFrame, keys: list[str], value: str, quantile
     return ranked.groupBy(*keys).agg(*aggs).select(*keys, F.col("_n_rows").alias("n_values"), *results)
 
 
+def attach(big: DataFrame, lookup: DataFrame, on: list[str], how: str = "left", by: list[str] | None = None,
+           salts: int = 16) -> DataFrame:
+    """Join a lookup table to rows whose keys may be very uneven.
+
+    The lookup (one or a few rows per key) is copied ``salts`` times and the rows pick
+    a copy by a hash of ``by`` (default: all their plain columns), so a key that owns
+    most rows still spreads over many tasks. Small lookups are broadcast by Spark's
+    own size check; larger ones shuffle evenly.
+    """
+    by = by or [c for c, t in big.dtypes if not t.startswith(("map", "array", "struct", "void"))]
+    rows = big.withColumn("_salt", F.pmod(F.xxhash64(*by), F.lit(salts)).cast("int"))
+    copies = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return rows.join(copies, [*on, "_salt"], how).drop("_salt")
+
+
+def constant_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A small fixed table as a foldable expression, so its size is known to the planner."""
+    names = [f.name for f in T.StructType.fromDDL(schema)]
+    text = json.dumps([dict(zip(names, r)) for r in rows])
+    return spark.range(1).select(F.inline(F.from_json(F.lit(text), f"array<{T.StructType.fromDDL(schema).simpleString()}>")))
+
+
 def top_per_group(df: DataFrame, keys: list[str], order: list[Column], n: int = 1, rank: str | None = None) -> DataFrame:
     """First n rows per key. The rank filter lets Spark cut every map task to n rows per key before the shuffle."""
     name = rank or "_rank"

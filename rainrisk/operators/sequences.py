@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import geo
-from .scale import BLOCK, OrderedBlocks, neighbour_chunks, numbered, own_rows
+from .scale import BLOCK, OrderedBlocks, attach, neighbour_chunks, numbered, own_rows
 
 TRUST = 0.35
 
@@ -38,7 +38,7 @@ def moving_mode(rows: DataFrame, keys: list[str], order: list[str], value: str,
         return out.drop("_rn", BLOCK)
     out = OrderedBlocks(out, keys, ["_rn"]).cumulative({"_ff": ("last", F.col(name), True)})
     first = out.where(F.col(name).isNotNull()).groupBy(*keys).agg(F.min_by(name, "_rn").alias("_first"))
-    return out.join(first, keys, "left").withColumn(name, F.coalesce("_ff", "_first")).drop("_ff", "_first", "_rn")
+    return attach(out, first, keys).withColumn(name, F.coalesce("_ff", "_first")).drop("_ff", "_first", "_rn")
 
 
 def run_lengths(rows: DataFrame, keys: list[str], order: list[str], cls: str, start: str, stop: str | None = None,
@@ -221,7 +221,7 @@ def allocate_quota(rows: DataFrame, quotas: DataFrame, keys: list[str], suggeste
     upto1 = upto2 + q(1)
     rn = F.col("_rn")
     cls = (F.when(rn <= upto4, 4).when(rn <= upto3, 3).when(rn <= upto2, 2).when(rn <= upto1, 1).when(rn <= upto1 + q(0), 0))
-    return ranked.join(quotas.select(*keys, "quota"), keys, "left").withColumn(name, cls).drop("quota", "_rn")
+    return attach(ranked, quotas.select(*keys, "quota"), keys).withColumn(name, cls).drop("quota", "_rn")
 
 
 def quota_mismatches(rows: DataFrame, quotas: DataFrame, keys: list[str]) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..constants import AXIS_CUTOFF_KM, EARTH_RADIUS_KM
 from ..functions import geo
-from .scale import OrderedBlocks
+from .scale import OrderedBlocks, attach
 
 
 def _cells(lo: Column, hi: Column, size: float) -> Column:
@@ -86,7 +86,7 @@ def nearest_within(points: DataFrame, others: DataFrame, other_id: str, radius_k
         pairs = pairs.where(F.col(on[0]) == F.col("_on"))
     best = pairs.groupBy(*p_key).agg(F.min(F.struct("distance_km", "_other")).alias("_best"))
     best = best.select(*p_key, F.col("_best._other").alias(other_id), F.col("_best.distance_km").alias("distance_km"))
-    return points.join(best, p_key, how)
+    return attach(points, best, p_key, how)
 
 
 def containing_region(points: DataFrame, regions: DataFrame, order: str = "regiao_id", ring: str = "polygon",
@@ -109,7 +109,7 @@ def containing_region(points: DataFrame, regions: DataFrame, order: str = "regia
     hits = (spots.join(cover, ["_cy", "_cx"])
             .where(geo.ring_contains(F.col("_ring"), F.col("lat"), F.col("lon")))
             .groupBy("lat", "lon").agg(F.min("_region").alias(name)))
-    return points.join(hits, ["lat", "lon"], "left")
+    return attach(points, hits, ["lat", "lon"])
 
 
 def axis_segments(regions: DataFrame, order: str = "regiao_id", axis: str = "eixo") -> DataFrame:
@@ -149,7 +149,7 @@ def nearest_axis(points: DataFrame, segments: DataFrame, cutoff_km: float = AXIS
             .groupBy("lat", "lon").agg(F.min(F.struct("_d", "region", "seq", "_t")).alias("_best"))
             .select("lat", "lon", F.col("_best.region").alias(name), F.col("_best._d").alias("axis_km"),
                     F.col("_best.seq").alias("axis_seq"), F.col("_best._t").alias("axis_t")))
-    return points.join(best, ["lat", "lon"], "left")
+    return attach(points, best, ["lat", "lon"])
 
 
 def locate_region(points: DataFrame, regions: DataFrame, cutoff_km: float = AXIS_CUTOFF_KM) -> DataFrame:
@@ -158,7 +158,7 @@ def locate_region(points: DataFrame, regions: DataFrame, cutoff_km: float = AXIS
     inside = containing_region(spots, regions, name="_inside")
     both = nearest_axis(inside, axis_segments(regions), cutoff_km, name="_near").select(
         "lat", "lon", F.coalesce("_inside", "_near").alias("regiao_id"))
-    return points.join(both, ["lat", "lon"], "left")
+    return attach(points, both, ["lat", "lon"])
 
 
 def grid_cell(lat: Column, lon: Column, lat0: float, lon0: float, step: float) -> tuple[Column, Column]:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..constants import HISTORY_MAX_DAYS, PRIMARY, READY_HOURS
 from ..functions import rain
 from ..operators import forecast as fc, gauges, risk, spatial
+from ..operators.scale import attach
 from ..operators.rain import hour_completeness, timeline_windows, trailing_windows, unit_windows
 
 CELL = ["lat_idx", "lon_idx"]
@@ -121,7 +122,7 @@ def timeline(data: Inputs, target: Column, frames: int = 96) -> DataFrame:
         F.coalesce("ra_geo", "ra_hid", F.lit(-1)).alias("_ra"), "hr", "rd")
     channels = risk.both_channels(placed).select(
         "ua_id", "hazard", *CELL, F.coalesce("regiao_id", F.lit(-1)).alias("_reg"), F.coalesce("ra_geo", "ra_hid", F.lit(-1)).alias("_ra"))
-    return channels.join(rated, [*CELL, "_reg", "hazard", "_ra"]).select("ua_id", "hazard", "hr", "rd")
+    return attach(channels, rated, [*CELL, "_reg", "hazard", "_ra"], "inner", ["ua_id"]).select("ua_id", "hazard", "hr", "rd")
 
 
 def layers_at(lat: float, lon: float, points: DataFrame, regions: DataFrame, fire: DataFrame | None = None, tolerance_km: float = 1.0) -> DataFrame:
