@@ -65,7 +65,16 @@ def filled_scores(spark, sf):
     return sequences.fill_from_neighbours(_scored(spark, sf), ["road"], ["km0", "ua_id"]).select("ua_id", "score", "conf")
 
 
-@query("WIN-07")
+SMOOTH = FILL | {
+    "g": """SELECT ua_id, road, rn, CASE WHEN conf < 0.35e0 THEN COALESCE((l+r)/2e0, l, r, score) ELSE score END AS s,
+        CASE WHEN conf < 0.35e0 AND COALESCE(l, r) IS NOT NULL THEN 0.5e0 ELSE conf END AS c, conf < 0.35e0 AND COALESCE(l, r) IS NOT NULL AS filled FROM f""",
+    "w": "SELECT *, lead(s) OVER (PARTITION BY road ORDER BY rn) AS ns, lead(c) OVER (PARTITION BY road ORDER BY rn) AS nc FROM g",
+    "walk": """SELECT ua_id, road, rn, s, c, filled, FALSE AS fixed FROM w WHERE rn = 1 UNION ALL SELECT ua_id, road, rn, CASE WHEN fix THEN CASE WHEN pc >= nc THEN ps ELSE ns END ELSE s END,
+        CASE WHEN fix THEN LEAST(c, 0.6e0) ELSE c END, filled, fix FROM (SELECT w.*, k.s AS ps, k.c AS pc, COALESCE(w.c >= 0.35e0 AND ABS(k.s - w.ns) <= 1 AND ABS(w.s - k.s) > 1.5e0, FALSE) AS fix
+        FROM walk k JOIN w ON w.road = k.road AND w.rn = k.rn + 1)"""}
+
+
+@query("WIN-07", fx.sql_with("units", SMOOTH, "SELECT ua_id, s AS score, c AS conf, CASE WHEN filled OR fixed THEN round_even(s, 0)::INT ELSE (ua_id%5)::INT END AS mode FROM walk").replace("WITH ", "WITH RECURSIVE ", 1))
 def smoothed_scores(spark, sf):
     return sequences.smooth_neighbours(_scored(spark, sf), ["road"], ["km0", "ua_id"]).select("ua_id", "score", "conf", "mode")
 
@@ -97,22 +106,25 @@ def free_ranges(spark, sf):
     return intervals.complement_intervals(_critical(spark, sf), _lengths(spark, sf), ["road"])
 
 
-SPLIT = """SELECT road, unit, arg_min(s, (-ROUND(e-s, 9), s)) AS start, arg_min(e, (-ROUND(e-s, 9), s)) AS stop FROM (
-    SELECT road, u AS unit, a + GREATEST((u-1)*tot/7e0, bef) - bef AS s, a + LEAST(u*tot/7e0, bef+(b-a)) - bef AS e, GREATEST((u-1)*tot/7e0, bef) AS p0, LEAST(u*tot/7e0, bef+(b-a)) AS p1 FROM (
-      SELECT *, COALESCE(SUM(b-a) OVER (PARTITION BY road ORDER BY a ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0e0) AS bef, SUM(b-a) OVER (PARTITION BY road) AS tot FROM i), range(1, 8) r(u)) WHERE p1 - p0 > 1e-9 GROUP BY ALL"""
+PIECES = """SELECT road, u AS unit, arg_min(s, (-ROUND(e-s, 9), s)) AS start, arg_min(e, (-ROUND(e-s, 9), s)) AS stop FROM (
+    SELECT road, u, a + GREATEST((u-1)*tot/{n}e0, bef) - bef AS s, a + LEAST(u*tot/{n}e0, bef+(b-a)) - bef AS e, GREATEST((u-1)*tot/{n}e0, bef) AS p0, LEAST(u*tot/{n}e0, bef+(b-a)) AS p1 FROM (
+      SELECT *, COALESCE(SUM(b-a) OVER (PARTITION BY road ORDER BY a ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0e0) AS bef, SUM(b-a) OVER (PARTITION BY road) AS tot FROM {t}), range(1, {n}+1) r(u)) WHERE p1 - p0 > 1e-9 GROUP BY ALL"""
 
 
-@query("WIN-13", fx.sql_with("stretches", {"i": ISLANDS, "sp": SPLIT}, "SELECT road, unit::INT AS unit, ROUND(start, 6) AS start, ROUND(stop, 6) AS stop FROM sp"))
+@query("WIN-13", fx.sql_with("stretches", {"i": ISLANDS, "sp": PIECES.format(n=7, t="i")}, "SELECT road, unit::INT AS unit, ROUND(start, 6) AS start, ROUND(stop, 6) AS stop FROM sp"))
 def even_units(spark, sf):
     merged = intervals.union_intervals(_critical(spark, sf), ["road"])
     counts = _lengths(spark, sf).select("road", F.lit(7).alias("n"))
     return intervals.split_evenly(merged, counts, ["road"]).select("road", "unit", F.round("start", 6).alias("start"), F.round("stop", 6).alias("stop"))
 
 
-@query("CMP-10")
+@query("CMP-10", fx.sql_with("stretches segments", {"i": ISLANDS, "ln": LENGTHS, "fr": FREE, "ff": "SELECT road, free0 AS a, free1 AS b FROM fr WHERE free1 > free0",
+       "sr": PIECES.format(n=4, t="i"), "ut": PIECES.format(n=20, t="ff")}, """SELECT road, 'SR' AS tipo, unit::INT AS ordem_no_grupo, ROUND(start, 6) AS start, ROUND(stop, 6) AS stop FROM sr
+       UNION ALL SELECT road, 'UTB', unit::INT, ROUND(start, 6), ROUND(stop, 6) FROM ut"""))
 def generated_units(spark, sf):
     wanted = _lengths(spark, sf).select("road", F.lit(4).alias("n_sr"), F.lit(20).alias("n_utb"))
-    return preparation.generate_units(_lengths(spark, sf), _critical(spark, sf), wanted, ["road"])
+    out = preparation.generate_units(_lengths(spark, sf), _critical(spark, sf), wanted, ["road"])
+    return out.withColumns({c: F.round(c, 6) for c in ("start", "stop")})
 
 
 @query("SCL-39", fx.sql_with("units segments", {"ln": "SELECT road, MIN(r0) AS lo, MAX(r1) AS hi FROM segments GROUP BY road"}, """SELECT ua_id, CASE WHEN km0 < lo - 0.001e0 OR km0 > hi + 0.001e0 THEN NULL
@@ -174,7 +186,15 @@ def calibrated_classes(spark, sf):
     return sequences.calibrate_to_quota(u, quotas, ["road", "stretch"], "rn", "cls").select("ua_id", "cls")
 
 
-@query("WIN-14")
+SHARE = {"r0": RUNS, "z": "SELECT road, run::BIGINT AS seq, run_stop - run_start AS size FROM r0",
+         "raw": "SELECT *, size/(SUM(size) OVER (PARTITION BY road))*200e0 AS raw FROM z", "base": "SELECT *, GREATEST(1, floor(raw)::INT) AS b FROM raw",
+         "bal": "SELECT *, (SUM(b) OVER (PARTITION BY road))::BIGINT - 200 AS over FROM base",
+         "give": "SELECT road, seq, 1 AS d FROM bal WHERE over < 0 QUALIFY row_number() OVER (PARTITION BY road ORDER BY -ROUND(raw-b, 9), seq) <= -over",
+         "steps": "SELECT road, seq, over, unnest(range(1, b)) AS j, b, raw FROM bal WHERE over > 0 AND b > 1",
+         "take": "SELECT road, seq, -COUNT(*) AS d FROM (SELECT * FROM steps QUALIFY row_number() OVER (PARTITION BY road ORDER BY -ROUND(b-raw-j+1, 9), seq, j) <= over) GROUP BY ALL"}
+
+
+@query("WIN-14", fx.sql_with("units", SHARE, "SELECT road, seq, (b + COALESCE(g.d, 0) + COALESCE(t.d, 0))::INT AS allotted FROM bal LEFT JOIN give g USING (road, seq) LEFT JOIN take t USING (road, seq)"))
 def proportional_units(spark, sf):
     runs = sequences.run_lengths(fx.units(spark, sf), ["road"], ["km0", "ua_id"], "cls", "km0", "km1", drop=None)
     sized = runs.select("road", F.col("run").alias("seq"), (F.col("run_stop") - F.col("run_start")).alias("size"), F.lit(200).alias("n"))

@@ -16,7 +16,10 @@ def choose_run(grid: DataFrame, t0: Column) -> DataFrame:
     back = (base - F.unix_timestamp("run")) / 3600
     valid = (F.unix_timestamp("valid") - F.unix_timestamp(t0)) / 3600
     wanted = [0, *FORECAST["horizons"]]
-    return (grid.where((lead >= 0) & (lead <= limit) & (back <= FORECAST["lookback_runs"] * FORECAST["run_step_h"])
+    # the plain range on run prunes the scan; the exact limits follow
+    oldest = t0 - F.make_interval(hours=F.lit((FORECAST["lookback_runs"] + 1) * FORECAST["run_step_h"]))
+    recent = grid.where((F.col("run") <= t0) & (F.col("run") > oldest))
+    return (recent.where((lead >= 0) & (lead <= limit) & (back <= FORECAST["lookback_runs"] * FORECAST["run_step_h"])
                        & (F.unix_timestamp("run") % F.lit(FORECAST["run_step_h"] * 3600) == 0) & valid.isin(wanted))
             .groupBy("run").agg(*[F.max((valid == w).cast("int")).alias(f"_{w}") for w in wanted])
             .where(" AND ".join(f"_{w} = 1" for w in wanted))
@@ -29,7 +32,8 @@ def accumulate(grid: DataFrame, t0: Column, cell: list[str], acc: str = "acc_mm"
     The run is a one-row table that joins on equality, so only its rows are read on.
     """
     at = lambda h: F.max(F.when(F.col("valid") == t0 + F.make_interval(hours=F.lit(h)), F.col(acc)))
-    rows = grid.join(choose_run(grid, t0), "run").groupBy("run", *cell).agg(
+    moments = [t0 + F.make_interval(hours=F.lit(h)) for h in (0, *FORECAST["horizons"])]
+    rows = grid.where(F.col("valid").isin(moments)).join(choose_run(grid, t0), "run").groupBy("run", *cell).agg(
         at(0).alias("_0"), *[at(h).alias(f"_{h}") for h in FORECAST["horizons"]])
     return rows.select("run", *cell, *[
         F.round(F.greatest(F.lit(0.0), F.col(f"_{h}") - F.col("_0")), 2).alias(f"ac{h}h_prev") for h in FORECAST["horizons"]])

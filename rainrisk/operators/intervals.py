@@ -146,11 +146,10 @@ def slice_plan(plan: DataFrame, keys: list[str], a: str = "km0", b: str = "km1",
            .select(*keys, F.round(F.col(a) + F.col("_i") * width, 3).alias("km_ini"),
                    F.round(F.col(a) + (F.col("_i") + 1) * width, 3).alias("km_fim"), (F.col("_i") == 0).alias("planned_start")))
     order = ["km_ini", "km_fim"]
-    there = OrderedBlocks.of(cut.withColumn("_back", -F.col("km_ini")).withColumn("_back2", -F.col("km_fim")), keys, order)
-    fwd = there.cumulative({"_prev": ("last", F.col("km_fim"), False)})
-    back = OrderedBlocks.of(fwd, keys, ["_back", "_back2"]).cumulative({"_next": ("last", F.col("km_ini"), False)})
+    there = OrderedBlocks.of(cut, keys, order).cumulative({
+        "_prev": ("prev", F.col("km_fim"), False), "_next": ("next", F.col("km_ini"), False)})
     half = lambda x, y: (x + y) / F.lit(2.0)
-    return back.select(*keys, *order, "planned_start",
+    return there.select(*keys, *order, "planned_start",
                        F.coalesce(half(F.col("_prev"), F.col("km_ini")), F.col("km_ini")).alias("km_lo"),
                        F.coalesce(half(F.col("km_fim"), F.col("_next")), F.col("km_fim")).alias("km_hi"))
 

@@ -57,7 +57,8 @@ class OrderedBlocks:
         """Add running values.
 
         ``columns`` maps a new name to (how, value, inclusive); how is ``sum``,
-        ``max``, ``last`` (latest non-null) or ``total`` (sum over the whole key).
+        ``max``, ``last`` (latest non-null), ``prev`` or ``next`` (the adjacent row, null
+        included) or ``total`` (sum over the whole key); only the first three heed inclusive.
         """
         order = [F.col(c) for c in self.order]
         inside = Window.partitionBy(*self.keys, BLOCK).orderBy(*order)
@@ -87,6 +88,14 @@ class OrderedBlocks:
                 carries.append(F.last(edge, ignorenulls=True).over(before).alias(f"_carry_{name}"))
                 local[name] = F.last(value, ignorenulls=True).over(frame)
                 merged[name] = F.coalesce(F.col(name), carry)
+            elif how in ("prev", "next"):
+                row = F.struct(value.alias("v"))
+                pick, shift = (F.max, F.lag) if how == "prev" else (F.min, F.lead)
+                # the row next to this block is the last of the block before or the first of the block after
+                edge_aggs.append(pick(F.struct(*order, row.alias("_v")))["_v"].alias(edge))
+                carries.append(shift(edge).over(Window.partitionBy(*self.keys).orderBy(BLOCK)).alias(f"_carry_{name}"))
+                local[name] = shift(row).over(inside)
+                merged[name] = F.coalesce(F.col(name), carry)["v"]
             else:
                 raise ValueError(f"unknown running value {how!r}")
         edges = self.rows.groupBy(*self.keys, BLOCK).agg(*edge_aggs).select(*self.keys, BLOCK, *carries)

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import geo
-from .scale import BLOCK, OrderedBlocks, attach, neighbour_chunks, numbered, own_rows
+from .scale import BLOCK, OrderedBlocks, attach, checkpointed, neighbour_chunks, numbered, own_rows
 
 TRUST = 0.35
 
@@ -106,7 +106,8 @@ def absorb_runs(runs: DataFrame, keys: list[str], cls: str, min_km: float = 0.15
     wanted = F.col(allowed) if allowed else (F.col("run_stop") - F.col("run_start")) >= F.lit(min_km)
     blocks = OrderedBlocks.of(runs.withColumn("_w", wanted), keys, ["run"]).extend({"_pw": ("last", F.col("_w"), False)})
     cut = F.when(F.col("_w") & F.coalesce(F.col("_pw"), F.lit(False)), 1).otherwise(0)
-    parts = blocks.cumulative({"_part": ("sum", cut.cast("long"), True)}).drop("_w", "_pw")
+    # the stretches are read by both branches below, so they are computed once
+    parts = checkpointed(blocks.cumulative({"_part": ("sum", cut.cast("long"), True)}).drop("_w", "_pw"))
     schema = parts.schema
     # stretches of one run need no Python
     lone = parts.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_size"))
@@ -131,16 +132,13 @@ def fill_from_neighbours(rows: DataFrame, keys: list[str], order: list[str], sco
 def _filled_blocks(rows: DataFrame, keys: list[str], order: list[str], score: str, conf: str, trust: float) -> OrderedBlocks:
     known = F.when(F.col(conf) >= trust, F.col(score))
     blocks = OrderedBlocks.of(rows, keys, order).extend({
-        "_rn": ("sum", F.lit(1).cast("long"), True), "_left": ("last", known, False)})
-    chunks, w = neighbour_chunks(blocks.rows, keys, "_rn", 1)
-    right = F.lead(F.struct(known.alias("v"))).over(w)["v"]
-    out = own_rows(chunks.withColumn("_right", right))
+        "_rn": ("sum", F.lit(1).cast("long"), True), "_left": ("last", known, False), "_right": ("next", known, False)})
     mean = (F.when(F.col("_left").isNotNull() & F.col("_right").isNotNull(), (F.col("_left") + F.col("_right")) / F.lit(2.0))
             .otherwise(F.coalesce("_left", "_right")))
     filled = (F.col(conf) < trust) & mean.isNotNull()
-    out = out.withColumn("_filled", filled).withColumns({
-        score: F.when(F.col("_filled"), mean).otherwise(F.col(score)),
-        conf: F.when(F.col("_filled"), F.lit(0.5)).otherwise(F.col(conf))}).drop("_left", "_right")
+    out = blocks.rows.withColumns({"_filled": filled, "_mean": mean}).withColumns({
+        score: F.when(F.col("_filled"), F.col("_mean")).otherwise(F.col(score)),
+        conf: F.when(F.col("_filled"), F.lit(0.5)).otherwise(F.col(conf))}).drop("_left", "_right", "_mean")
     return OrderedBlocks(out, keys, ["_rn"])
 
 
@@ -162,15 +160,14 @@ def smooth_neighbours(rows: DataFrame, keys: list[str], order: list[str], trust:
     value is, so the sequence is cut after such rows and after untrusted ones.
     """
     filled = _filled_blocks(rows, keys, order, "score", "conf", trust)
-    chunks, w = neighbour_chunks(filled.rows, keys, "_rn", 1)
-    shift = lambda f, c: f(c).over(w)
-    near = own_rows(chunks.withColumns({
-        "_ls": shift(F.lag, "score"), "_lc": shift(F.lag, "conf"), "_rs": shift(F.lead, "score"), "_rc": shift(F.lead, "conf")}))
-    near = near.withColumn("_inner", F.col("_ls").isNotNull() & F.col("_rs").isNotNull())
+    pair = F.struct(F.col("score").alias("s"), F.col("conf").alias("c"))
+    near = filled.extend({"_p": ("prev", pair, False), "_n": ("next", pair, False)}).select(
+        _ls=F.col("_p.s"), _lc=F.col("_p.c"), _rs=F.col("_n.s"), _rc=F.col("_n.c"), _inner=F.col("_p").isNotNull() & F.col("_n").isNotNull())
     frozen = ~F.col("_inner") | (F.col("conf") < trust) | (F.abs(F.col("score") - F.col("_rs")) <= 0.5)
-    blocks = OrderedBlocks(near.withColumn("_frozen", frozen), keys, ["_rn"])
-    parts = blocks.cumulative({"_part": ("sum", F.when(F.col("_frozen"), 1).otherwise(0).cast("long"), False)})
-    parts = parts.withColumn("_fixed", F.lit(False))
+    parts = near.select(_frozen=frozen, _fixed=F.lit(False)).cumulative(
+        {"_part": ("sum", F.when(F.col("_frozen"), 1).otherwise(0).cast("long"), False)}).drop("_p", "_n")
+    # both branches below read the stretches, so they are computed once
+    parts = checkpointed(parts)
     still = parts.groupBy(*keys, "_part").agg((F.count_if(~F.col("_frozen")) == 0).alias("_still"))
     tagged = parts.join(still, [*keys, "_part"])
     quiet = tagged.where("_still").select(*parts.columns)

@@ -96,6 +96,12 @@ def containing_region(points: DataFrame, regions: DataFrame, order: str = "regia
     Rings are spread over the grid cells of their bounding box; a point only meets
     the rings of its own cell.
     """
+    inside = _regions_of(positions(points), regions, order, ring, cell, name)
+    return attach(points, inside.where(F.col(name).isNotNull()), ["lat", "lon"])
+
+
+def _regions_of(spots: DataFrame, regions: DataFrame, order: str, ring: str, cell: float, name: str) -> DataFrame:
+    """Distinct positions with their region or null, in one pass."""
     lats = F.transform(ring, lambda p: p["lat"])
     lons = F.transform(ring, lambda p: p["lon"])
     cover = (regions.where(F.size(ring) > 0)
@@ -103,13 +109,12 @@ def containing_region(points: DataFrame, regions: DataFrame, order: str = "regia
                      F.explode(_cells(F.array_min(lats), F.array_max(lats), cell)).alias("_cy"),
                      _cells(F.array_min(lons), F.array_max(lons), cell).alias("_xs"))
              .withColumn("_cx", F.explode("_xs")).drop("_xs"))
-    spots = positions(points).withColumns({
+    keyed = spots.withColumns({
         "_cy": F.floor(F.col("lat") / F.lit(cell)).cast("long"),
         "_cx": F.floor(F.col("lon") / F.lit(cell)).cast("long")})
-    hits = (spots.join(cover, ["_cy", "_cx"])
-            .where(geo.ring_contains(F.col("_ring"), F.col("lat"), F.col("lon")))
-            .groupBy("lat", "lon").agg(F.min("_region").alias(name)))
-    return attach(points, hits, ["lat", "lon"])
+    holds = geo.ring_contains(F.col("_ring"), F.col("lat"), F.col("lon"))
+    return keyed.join(cover, ["_cy", "_cx"], "left").groupBy(*spots.columns).agg(
+        F.min(F.when(holds, F.col("_region"))).alias(name))
 
 
 def axis_segments(regions: DataFrame, order: str = "regiao_id", axis: str = "eixo") -> DataFrame:
@@ -130,6 +135,14 @@ def nearest_axis(points: DataFrame, segments: DataFrame, cutoff_km: float = AXIS
     Planar distance at the point; on equal distance the lower region wins. Adds
     ``name``, ``axis_km`` (distance), ``axis_seq`` and ``axis_t`` (place on the segment).
     """
+    best = _axes_of(positions(points), segments, cutoff_km).where(F.col("_axis").isNotNull()).select(
+        "lat", "lon", F.col("_axis.region").alias(name), F.col("_axis._d").alias("axis_km"),
+        F.col("_axis.seq").alias("axis_seq"), F.col("_axis._t").alias("axis_t"))
+    return attach(points, best, ["lat", "lon"])
+
+
+def _axes_of(spots: DataFrame, segments: DataFrame, cutoff_km: float) -> DataFrame:
+    """Distinct positions with the closest segment below the cutoff as ``_axis``, or null, in one pass."""
     degrees = cutoff_km / geo.PLANAR_KM_PER_DEGREE * 1.001
     size = max(degrees, 0.01)
     low, high = F.least("lat1", "lat2"), F.greatest("lat1", "lat2")
@@ -138,27 +151,23 @@ def nearest_axis(points: DataFrame, segments: DataFrame, cutoff_km: float = AXIS
     spread = (segments
               .withColumn("_cy", F.explode(_cells(low - F.lit(degrees), high + F.lit(degrees), size)))
               .withColumn("_cx", F.explode(_cells(F.least("lon1", "lon2") - pad, F.greatest("lon1", "lon2") + pad, size))))
-    spots = positions(points).withColumns({
+    keyed = spots.withColumns({
         "_cy": F.floor(F.col("lat") / F.lit(size)).cast("long"),
         "_cx": F.floor(F.col("lon") / F.lit(size)).cast("long")})
     here = (F.col("lat"), F.col("lon"))
     ends = ((F.col("lat1"), F.col("lon1")), (F.col("lat2"), F.col("lon2")))
-    best = (spots.join(spread, ["_cy", "_cx"])
-            .withColumn("_d", geo.segment_distance_km(*here, *ends)).where(F.col("_d") < cutoff_km)
-            .withColumn("_t", geo.segment_parameter(*here, *ends))
-            .groupBy("lat", "lon").agg(F.min(F.struct("_d", "region", "seq", "_t")).alias("_best"))
-            .select("lat", "lon", F.col("_best.region").alias(name), F.col("_best._d").alias("axis_km"),
-                    F.col("_best.seq").alias("axis_seq"), F.col("_best._t").alias("axis_t")))
-    return attach(points, best, ["lat", "lon"])
+    met = keyed.join(spread, ["_cy", "_cx"], "left").withColumns({
+        "_d": geo.segment_distance_km(*here, *ends), "_t": geo.segment_parameter(*here, *ends)})
+    return met.groupBy(*spots.columns).agg(
+        F.min(F.when(F.col("_d") < cutoff_km, F.struct("_d", "region", "seq", "_t"))).alias("_axis"))
 
 
 def locate_region(points: DataFrame, regions: DataFrame, cutoff_km: float = AXIS_CUTOFF_KM) -> DataFrame:
     """Region by containment, else by the nearest axis within the cutoff, else null."""
-    spots = positions(points)
-    inside = containing_region(spots, regions, name="_inside")
-    both = nearest_axis(inside, axis_segments(regions), cutoff_km, name="_near").select(
-        "lat", "lon", F.coalesce("_inside", "_near").alias("regiao_id"))
-    return attach(points, both, ["lat", "lon"])
+    inside = _regions_of(positions(points), regions, "regiao_id", "polygon", 0.25, "_inside")
+    near = _axes_of(inside, axis_segments(regions), cutoff_km)
+    found = near.select("lat", "lon", F.coalesce("_inside", F.col("_axis.region")).alias("regiao_id"))
+    return attach(points, found.where("regiao_id IS NOT NULL"), ["lat", "lon"])
 
 
 def grid_cell(lat: Column, lon: Column, lat0: float, lon0: float, step: float) -> tuple[Column, Column]:

@@ -34,14 +34,15 @@ def test_index_quantile_rounds_half_to_even(spark):
 def test_numbering_spreads_over_blocks(spark):
     rows, df = hot(spark)
     blocks = scale.OrderedBlocks.of(df, ["k"], ["v", "id"])
-    got = blocks.cumulative({"rn": ("sum", F.lit(1), True), "top": ("max", F.col("id"), False), "prev": ("last", F.col("id"), False), "n": ("total", F.lit(1), True)}).collect()
+    got = blocks.cumulative({"rn": ("sum", F.lit(1), True), "top": ("max", F.col("id"), False), "prev": ("last", F.col("id"), False), "before": ("prev", F.col("id"), False), "after": ("next", F.col("id"), False), "n": ("total", F.lit(1), True)}).collect()
     for k in {r[0] for r in rows}:
         want = sorted((r for r in rows if r[0] == k), key=lambda r: (r[1], r[2]))
         have = {r.id: r for r in got if r.k == k}
         for i, w in enumerate(want):
             r = have[w[2]]
             assert (r.rn, r.n) == (i + 1, len(want))
-            assert r.prev == (want[i - 1][2] if i else None)
+            assert r.prev == r.before == (want[i - 1][2] if i else None)
+            assert r.after == (want[i + 1][2] if i + 1 < len(want) else None)
             assert r.top == (max(x[2] for x in want[:i]) if i else None)
 
 
