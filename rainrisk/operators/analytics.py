@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..constants import AC24H_EDGES, AC96H_EDGES, INTENSITY_EDGES, OUT_OF_COVERAGE
 from ..functions import rain, risk
 from .rain import window_hours
-from .scale import exact_quantiles, top_per_group
+from .scale import exact_quantiles, top_per_group, with_row
 from .sequences import cycle_gaps
 
 MEASURES = {"ac24h": ("ac24h_mm", AC24H_EDGES), "ac96h": ("ac96h_mm", AC96H_EDGES),
@@ -38,7 +38,7 @@ def regional_summary(points: DataFrame, regions: DataFrame) -> DataFrame:
         F.round(F.max(F.when(has_rain, F.col("ac24h_mm"))), 1).alias("ac24h_max"), _mean("ac24h_mm", has_rain, 1).alias("ac24h_mean"),
         F.round(F.max(F.when(has_rain, F.col("ac96h_mm"))), 1).alias("ac96h_max"), _mean("ac96h_mm", has_rain, 1).alias("ac96h_mean"),
         F.round(F.max(F.when(has_rain, F.col("intensity_mmh"))), 2).alias("intensity_max"),
-        F.round(F.max(F.when(geo & ~F.isnan("cpc"), F.col("cpc"))), 2).alias("cpc_max"))
+        F.round(F.max(F.when(geo & (F.abs("cpc") < F.lit(float("inf"))), F.col("cpc"))), 2).alias("cpc_max"))
     p90 = exact_quantiles(known.where(has_rain), ["regiao_id"], "ac24h_mm", {"ac24h_p90": 0.9}).select(
         "regiao_id", F.round("ac24h_p90", 2).alias("ac24h_p90"))
     out = regions.select("regiao_id", "regiao_nome", "hid24h_breaks", "cpc_breaks").join(stats, "regiao_id", "left").join(
@@ -160,12 +160,10 @@ def alert_deltas(cycles: DataFrame, hours: tuple[int, ...] = (1, 24), ts: str =
     at = F.struct(ts, tie)
     last = cycles.agg(F.max(ts).alias("_last"), F.count(F.lit(1)).alias("_n"), F.max_by("alert_count", at).alias("alert_count"),
                       *[F.max_by(c, at).alias(c) for c in last_values])
-    # a one-row aggregate, attached by a constant key
-    tagged = cycles.select(ts, tie, "alert_count", F.lit(1).alias("_one")).join(
-        last.select("_last", F.lit(1).alias("_one")), "_one")
+    tagged = with_row(cycles.select(ts, tie, "alert_count"), last.select("_last"))
     cond = lambda h: F.col(ts) <= F.col("_last") - F.make_interval(hours=F.lit(h))
     refs = tagged.agg(*[F.max_by(F.when(cond(h), F.col("alert_count")), F.when(cond(h), at)).alias(f"_r{h}") for h in hours])
-    both = last.withColumn("_one", F.lit(1)).join(refs.withColumn("_one", F.lit(1)), "_one")
+    both = with_row(last, refs)
     return both.select("alert_count", *[
         F.when(F.col("_n") >= 2, F.col("alert_count") - F.col(f"_r{h}")).alias(f"alert_delta_{h}h") for h in hours], *last_values)
 
@@ -173,9 +171,10 @@ def alert_deltas(cycles: DataFrame, hours: tuple[int, ...] = (1, 24), ts: str =
 def operations(cycles: DataFrame, ts: str = "started_at", tie: str = "cycle_id") -> DataFrame:
     """One row: outcome counts, success rate, duration quantiles, completeness, gap between cycles."""
     o = F.col("outcome")
+    degraded = [F.count_if(F.col("data_status") == "degraded").alias("degraded")] if "data_status" in cycles.columns else []
     totals = cycles.agg(
         F.count(F.lit(1)).alias("cycles"), F.count_if(o == "ok").alias("ok"), F.count_if(o == "error").alias("error"),
-        F.count_if(o == "skipped").alias("skipped"), F.round(F.max("duration_s"), 2).alias("duration_max_s"),
+        F.count_if(o == "skipped").alias("skipped"), *degraded, F.round(F.max("duration_s"), 2).alias("duration_max_s"),
         F.round(F.lit(100.0) * F.sum("files_ok") / F.count("files_ok") / F.lit(96.0), 1).alias("completeness_pct"))
     totals = totals.withColumn("success_rate_pct", F.round(F.try_divide(F.lit(100.0) * F.col("ok"), F.col("cycles")), 1))
     gaps = cycle_gaps(cycles.select(ts, tie), ts, tie).where("gap_min IS NOT NULL")
@@ -185,7 +184,7 @@ def operations(cycles: DataFrame, ts: str = "started_at", tie: str = "cycle_id")
     pick = lambda w, c: F.max(F.when(F.col("what") == w, F.col(c)))
     wide = q.agg(F.round(pick("duration", "p50"), 2).alias("duration_p50_s"), F.round(pick("duration", "p95"), 2).alias("duration_p95_s"),
                  F.round(pick("gap", "p50"), 2).alias("interval_p50_min"), F.round(pick("gap", "top"), 1).alias("interval_max_min"))
-    return totals.withColumn("_one", F.lit(1)).join(wide.withColumn("_one", F.lit(1)), "_one").drop("_one")
+    return with_row(totals, wide)
 
 
 def last_trail(history: DataFrame, keys: list[str] | None = None, ts: str = "ts", tie: str = "cycle_id", n: int = 24) -> DataFrame:
@@ -256,4 +255,4 @@ def headline(points: DataFrame, cycles: DataFrame) -> DataFrame:
     """One row: alerts now, changes, worst level and the maxima of the last cycle."""
     now = points.agg(F.count_if(F.col("rd") >= 3).alias("alerts_now"), F.max("rd").alias("max_rd"))
     deltas = alert_deltas(cycles, last_values=("files_ok", "duration_s")).drop("alert_count")
-    return now.withColumn("_one", F.lit(1)).join(deltas.withColumn("_one", F.lit(1)), "_one").drop("_one")
+    return with_row(now, deltas)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..constants import RF_NO_DATA, RF_ORDER
 from ..functions import fire
-from .scale import OrderedBlocks
+from .scale import OrderedBlocks, with_row
 
 SCALE = 1e6
 
@@ -103,7 +103,7 @@ def product_metadata(product: DataFrame) -> DataFrame:
     counts = class_counts(product, [])
     names = product.agg(F.array_sort(F.collect_set("horizonte")).alias("horizontes"))
     status = F.when(F.col(RF_NO_DATA.lower()) == F.col("total"), F.lit("no_data")).otherwise(F.lit("ok"))
-    return counts.withColumn("_one", F.lit(1)).join(names.withColumn("_one", F.lit(1)), "_one").drop("_one").withColumn(
+    return with_row(counts, names).withColumn(
         "data_status", status)
 
 

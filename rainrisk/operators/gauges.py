@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..constants import CORRECTION, DRY_GUARD, PRIMARY, SUSPECT
 from ..functions import rain
 from .rain import window_hours
-from .scale import OrderedBlocks, attach, quantiles_of_ranked
+from .scale import OrderedBlocks, attach, quantiles_of_ranked, with_row
 from .spatial import pairs_within, positions
 
 
@@ -229,7 +229,7 @@ def gauge_summary(near: DataFrame, hourly: DataFrame, suspects: DataFrame, appli
     parts = [near.agg(F.count(F.lit(1)).alias("stations_near")), reporting,
              suspects.agg(F.count(F.lit(1)).alias("stations_suspect")),
              applied.agg(F.count(F.lit(1)).alias("points_total"), F.count_if("from_gauges").alias("points_gauge"))]
-    out = parts[0].withColumn("_one", F.lit(1))
+    out = parts[0]
     for p in parts[1:]:
-        out = out.join(p.withColumn("_one", F.lit(1)), "_one")
-    return out.drop("_one").withColumn("points_fallback", F.col("points_total") - F.col("points_gauge"))
+        out = with_row(out, p)
+    return out.withColumn("points_fallback", F.col("points_total") - F.col("points_gauge"))

@@ -160,6 +160,13 @@ def attach(big: DataFrame, lookup: DataFrame, on: list[str], how: str = "left",
     return rows.join(copies, [*on, "_salt"], how).drop("_salt")
 
 
+def with_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
+    """Add the columns of a one-row table to every row: a scalar subquery, evaluated once, no join."""
+    names = one_row.columns
+    out = df.withColumn("_row", one_row.select(F.struct(*names)).scalar())
+    return out.select(*df.columns, *[F.col(f"_row.{c}").alias(c) for c in names])
+
+
 def constant_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     """A small fixed table as a foldable expression, so its size is known to the planner."""
     names = [f.name for f in T.StructType.fromDDL(schema)]

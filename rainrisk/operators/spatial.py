@@ -21,8 +21,8 @@ def _cells(lo: Column, hi: Column, size: float) -> Column:
 
 def pairs_within(left: DataFrame, right: DataFrame, radius_km: float,
                  left_at: tuple[str, str] = ("lat", "lon"), right_at: tuple[str, str] = ("s_lat", "s_lon"),
-                 salts: int = 4) -> DataFrame:
-    """Pairs at most ``radius_km`` apart, with ``distance_km``.
+                 salts: int = 4, on: list[str] | None = None) -> DataFrame:
+    """Pairs at most ``radius_km`` apart, with ``distance_km``; ``on`` names shared equality columns.
 
     Every right row is copied to the grid cells its radius touches, every left row
     sits in one cell, so each pair meets exactly once. Both sides should be distinct
@@ -37,16 +37,17 @@ def pairs_within(left: DataFrame, right: DataFrame, radius_km: float,
     tagged = left.withColumns({
         "_cy": F.floor(lat / F.lit(size)).cast("long"), "_cx": F.floor(lon / F.lit(size)).cast("long"),
         "_salt": F.pmod(F.xxhash64(lat, lon), F.lit(salts)).cast("int"), **_unit_vector(lat, lon, "_l")})
-    tagged = spread_out(tagged, "_cy", "_cx", "_salt")
+    keys = [*(on or []), "_cy", "_cx", "_salt"]
+    tagged = spread_out(tagged, *keys)
     spread = (right.withColumns(_unit_vector(r_lat, r_lon, "_r"))
               .withColumn("_cy", F.explode(_cells(r_lat - F.lit(degrees), r_lat + F.lit(degrees), size)))
               .withColumn("_cx", F.explode(_cells(r_lon - r_dlon, r_lon + r_dlon, size)))
               .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))))
-    spread = spread_out(spread, "_cy", "_cx", "_salt")
+    spread = spread_out(spread, *keys)
     # candidates are cut by their chord (no trigonometry per pair), survivors by the distance itself
     chord2 = sum(((F.col(f"_l{a}") - F.col(f"_r{a}")) * (F.col(f"_l{a}") - F.col(f"_r{a}")) for a in "xyz"), F.lit(0.0))
     limit = (2 * math.sin(min(radius_km / (2 * EARTH_RADIUS_KM), math.pi / 2))) ** 2 * (1 + 1e-6) + 1e-18
-    return (tagged.join(spread, ["_cy", "_cx", "_salt"]).where(chord2 <= limit)
+    return (tagged.join(spread, keys).where(chord2 <= limit)
             .drop("_cy", "_cx", "_salt", *[f"{side}{a}" for side in ("_l", "_r") for a in "xyz"])
             .withColumn("distance_km", geo.haversine_km(lat, lon, r_lat, r_lon)).where(F.col("distance_km") <= radius_km))
 
@@ -79,11 +80,9 @@ def nearest_within(points: DataFrame, others: DataFrame, other_id: str, radius_k
     p_key = [*point_at] + ([on[0]] if on else [])
     o_cols = [F.col(other_at[0]).alias("s_lat"), F.col(other_at[1]).alias("s_lon")]
     if on:
-        o_cols.append(F.col(on[1]).alias("_on"))
+        o_cols.append(F.col(on[1]).alias(on[0]))
     places = others.groupBy(*o_cols).agg(F.min(other_id).alias("_other"))
-    pairs = pairs_within(points.select(*p_key).distinct(), places, radius_km, point_at)
-    if on:
-        pairs = pairs.where(F.col(on[0]) == F.col("_on"))
+    pairs = pairs_within(points.select(*p_key).distinct(), places, radius_km, point_at, on=[on[0]] if on else None)
     best = pairs.groupBy(*p_key).agg(F.min(F.struct("distance_km", "_other")).alias("_best"))
     best = best.select(*p_key, F.col("_best._other").alias(other_id), F.col("_best.distance_km").alias("distance_km"))
     return attach(points, best, p_key, how)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..constants import HISTORY_MAX_DAYS, PRIMARY, READY_HOURS
 from ..functions import rain
 from ..operators import forecast as fc, gauges, risk, spatial
-from ..operators.scale import attach
+from ..operators.scale import attach, with_row
 from ..operators.rain import hour_completeness, timeline_windows, trailing_windows, unit_windows
 
 CELL = ["lat_idx", "lon_idx"]
@@ -82,20 +82,20 @@ def risk_summary(points: DataFrame, grid: DataFrame, target: Column) -> DataFram
                         *level(F.lit(True), "all"), *level(g, "geo"), *level(~g, "hidro"), worst.alias("_w"))
     totals = totals.select("*", F.col("_w.ua_id").alias("max_rd_point"), (-F.col("_w.r")).alias("max_rd"), F.col("_w.hazard").alias("max_rd_hazard")).drop("_w")
     hours = hour_completeness(grid, target).withColumn("data_status", rain.data_status(F.col("missing_24h")))
-    return totals.withColumn("_one", F.lit(1)).join(hours.withColumn("_one", F.lit(1)), "_one").drop("_one")
+    return with_row(totals, hours)
 
 
 def snapshot_at(data: Inputs, instant: Column, now: Column, max_days: int = HISTORY_MAX_DAYS) -> DataFrame:
     """Observed-only replay; rows turn to no-data when the instant is in the future, too old or short of hours.
 
-    The guard is a one-row table that joins every unit on a constant key.
+    The guard is one row, added as a scalar.
     """
     target = F.date_trunc("hour", instant)
     points = risk_points(Inputs(data.units, data.grid, data.regions), target, use_forecast=False)
     age_ok = (instant <= now) & (instant >= now - F.make_interval(days=F.lit(max_days)))
     guard = hour_completeness(data.grid, target).select(
-        (age_ok & (F.col("files_ok") >= READY_HOURS)).alias("_ok"), F.lit(1).alias("_one"))
-    out = points.withColumn("_one", F.lit(1)).join(guard, "_one").drop("_one")
+        (age_ok & (F.col("files_ok") >= READY_HOURS)).alias("_ok"))
+    out = with_row(points, guard)
     blank = {c: F.when(F.col("_ok"), F.col(c)).otherwise(F.lit(0)) for c in ("icc_geo", "icc_hid", "rd_geo", "rd_hid", "rd")}
     blank |= {c: F.when(F.col("_ok"), F.col(c)).otherwise(F.lit(0.0)) for c in ("ac96h_mm", "ac24h_mm", "intensity_mmh")}
     blank |= {"cpc": F.when(F.col("_ok"), F.col("cpc")), "nivel": F.when(F.col("_ok"), F.col("nivel")).otherwise(F.lit("Sem dado")),

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..constants import FIRE_HORIZONS
 from ..functions import fire, geo, rain
+from ..operators.scale import with_row
 
 HAZARD_LABELS = {"geo": "Encosta", "hidro": "Inundação"}
 # --- fixed values: accepted channel names -----------------------------------
@@ -136,7 +137,7 @@ def alert_message(alerts: DataFrame, threshold: int = 3, first: int = 50) -> Dat
     """One row: subject and body; the body holds the first lines and says how many more there are."""
     n = alerts.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max("rd"), F.lit(0)).alias("max_rd"))
     body = alert_lines(alerts, first).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "line"))), lambda s: s["line"]), "\n").alias("_b"))
-    out = n.withColumn("_one", F.lit(1)).join(body.withColumn("_one", F.lit(1)), "_one").drop("_one")
+    out = with_row(n, body)
     more = F.when(F.col("n") > first, F.concat(F.lit("\n... (+"), (F.col("n") - first).cast("string"), F.lit(" units)"))).otherwise(F.lit(""))
     return out.select(F.format_string(f"%d unit(s) at risk (RD>={threshold}) - max RD%d", "n", "max_rd").alias("subject"),
                       F.concat("_b", more).alias("body"), "n")

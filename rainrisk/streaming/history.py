@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..constants import HISTORY_CYCLES, TELEMETRY_KEEP
 from ..operators.analytics import last_trail
+from ..operators.scale import with_row
 
 HISTORY_SCHEMA = "ua_id string, hazard string, ts timestamp, cycle_id bigint, rd int, rd_geo int, rd_hid int, ac96h double, ac24h double, cpc double"
 RECORD_SCHEMA = "started_at timestamp, duration_s double, outcome string, error string, rows bigint, batch_id bigint"
@@ -71,7 +72,7 @@ def needs_run(files: DataFrame, marker: DataFrame, pattern: str) -> DataFrame:
     latest = newest_file(files, pattern)
     last = marker.agg(F.max_by(F.struct("file", "completed", "product_date"), "run_at").alias("_m"))
     done = (F.col("_m.file") == F.col("name")) & F.col("_m.completed") & (F.col("_m.product_date") >= F.col("reference_date"))
-    return latest.withColumn("_one", F.lit(1)).join(last.withColumn("_one", F.lit(1)), "_one", "left").select(
+    return with_row(latest, last).select(
         "name", "reference_date", (~F.coalesce(done, F.lit(False))).alias("due"))
 
 

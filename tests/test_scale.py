@@ -102,3 +102,44 @@ def test_region_lookup_order_and_axis_fallback(spark):
     pts = spark.createDataFrame([("both", -23.2, -45.5), ("second", -22.7, -45.5), ("axis", -21.1, -44.5), ("far", -19.0, -44.5)], "ua_id string, lat double, lon double")
     got = {r.ua_id: r.regiao_id for r in spatial.locate_region(pts, regions).collect()}
     assert got == {"both": 1, "second": 2, "axis": 3, "far": None}
+
+
+def test_nearest_on_the_same_road(spark):
+    pts = spark.createDataFrame([("a", -23.5, -45.5, "r1"), ("b", -23.5, -45.5, "r2"), ("c", -23.5, -45.5, "r9")], "ua_id string, lat double, lon double, road string")
+    seg = spark.createDataFrame([("s1", -23.501, -45.5, "r2"), ("s2", -23.504, -45.5, "r1"), ("s3", -23.503, -45.5, "r1"), ("s0", -23.503, -45.5, "r1")], "seg string, lat double, lon double, rodovia string")
+    got = {r.ua_id: r.seg for r in spatial.nearest_within(pts, seg, "seg", 0.5, on=("road", "rodovia")).collect()}
+    assert got == {"a": "s0", "b": "s1", "c": None}
+    assert {r.ua_id: r.seg for r in spatial.nearest_within(pts, seg, "seg", 0.5).collect()} == {"a": "s1", "b": "s1", "c": "s1"}
+
+
+def test_attach_splits_a_hot_key(spark):
+    big = spark.range(4000).select(F.col("id").alias("ua_id"), F.when(F.col("id") % 10 < 7, "hot").otherwise("cold").alias("k"))
+    look = spark.createDataFrame([("hot", 1), ("other", 2)], "k string, v int")
+    got = scale.attach(big, look, ["k"]).groupBy("v").count().collect()
+    assert {(r.v, r["count"]) for r in got} == {(1, 2800), (None, 1200)}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        used = scale.attach(big, look, ["k"]).where("k = 'hot'").select(F.spark_partition_id().alias("p")).distinct().count()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10485760")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert used > 1
+
+
+def test_guard_is_a_scalar(spark):
+    from rainrisk import fixtures as fx
+    from rainrisk.operators.risk import default_regions
+    from rainrisk.plans import cycle
+
+    sf = "/root/testdata/sf0.001"
+    data = cycle.Inputs(fx.units(spark, sf), fx.grid_hourly(spark, sf, 96), default_regions(spark))
+    plan = cycle.snapshot_at(data, fx.target(), fx.target())._jdf.queryExecution().executedPlan().toString()
+    assert "scalar-subquery" in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_filters_and_columns_reach_the_scan(spark):
+    from rainrisk import fixtures as fx
+
+    plan = fx.gauge_hourly(spark, "/root/testdata/sf0.001", 96)._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [IsNotNull(ts), GreaterThanOrEqual(ts" in plan and "ReadSchema: struct<ts:timestamp_ntz,user_id:bigint,value:double>" in plan
