@@ -135,7 +135,7 @@ def test_guard_is_a_scalar(spark):
     sf = "/root/testdata/sf0.001"
     data = cycle.Inputs(fx.units(spark, sf), fx.grid_hourly(spark, sf, 96), default_regions(spark))
     plan = cycle.snapshot_at(data, fx.target(), fx.target())._jdf.queryExecution().executedPlan().toString()
-    assert "scalar-subquery" in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
+    assert "ubquery#" in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
 
 
 def test_filters_and_columns_reach_the_scan(spark):
