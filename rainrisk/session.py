@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 
 
-def local_session(cpus: int | str = "*", partitions: int = 8) -> SparkSession:
-    spark = (SparkSession.builder.master(f"local[{cpus}]").appName("rainrisk")
+def local_session(cpus: int | str = "*", partitions: int = 8, **extra: str) -> SparkSession:
+    """Local session; ``extra`` are further settings with dots written as double underscores."""
+    spark = (SparkSession.builder.config(map={k.replace("__", "."): v for k, v in extra.items()}).master(f"local[{cpus}]").appName("rainrisk")
              .config("spark.sql.shuffle.partitions", str(partitions))
              .config("spark.sql.adaptive.enabled", "true")
              .config("spark.sql.session.timeZone", "UTC")
