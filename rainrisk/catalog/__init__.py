@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+MODULES = ("rain", "gauges", "risk", "fire", "network", "sequences", "analytics", "search", "sources")
+
 
 @dataclass(frozen=True)
 class Query:
@@ -29,9 +32,6 @@ def query(ids: str, sql: str | None = None):
 
 
 def load() -> dict[str, Query]:
-    import importlib
-
-    for name in ('rain', 'gauges', 'risk', 'fire', 'network', 'sequences', 'analytics', 'search', 'sources'):
-        importlib.import_module(f'{__name__}.{name}')
-
+    for name in MODULES:
+        importlib.import_module(f"{__name__}.{name}")
     return CATALOG

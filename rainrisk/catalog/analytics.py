@@ -8,7 +8,7 @@ from ..functions import text
 from ..operators import analytics, risk
 from ..streaming import alerts, history as hist
 from . import query
-from .rain import HOURS, T, TICKS, TXT
+from .rain import T, TICKS, TXT
 from .risk import PLACED
 
 GEO = "hazard='geo' AND ac24h_mm IS NOT NULL"

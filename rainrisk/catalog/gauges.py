@@ -6,7 +6,7 @@ from .. import fixtures as fx
 from ..operators import gauges
 from ..plans import cycle
 from . import query
-from .rain import CELL_WINDOWS, HOURS, R, T, TICKS, TXT, UNIT_WINDOWS, WINDOW_COLS, inputs
+from .rain import CELL_WINDOWS, HOURS, R, T, TICKS, TXT, UNIT_WINDOWS, inputs
 
 
 def hav(a: str, b: str) -> str:
