@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rainrisk.llm import quality
+from rainrisk.llm import quality, secrets
 from rainrisk.llm.common import table
 
 
@@ -12,5 +12,9 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op4_quality,)}
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scanned(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op4_quality, op9_secrets)}
 SQL: dict[str, str] = {}
