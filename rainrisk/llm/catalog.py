@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rainrisk.llm import quality, secrets
+from rainrisk.llm import mixing, quality, secrets
 from rainrisk.llm.common import table
 
 
@@ -16,5 +16,9 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scanned(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op4_quality, op9_secrets)}
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(table(spark, sf_dir, "documents")).withColumnRenamed("_in0", "doc_id")
+
+
+QUERIES = {f.__name__: f for f in (op2_mixing, op4_quality, op9_secrets)}
 SQL: dict[str, str] = {}

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 ROW = "_row_id"
 
@@ -45,25 +45,17 @@ def with_row_id(df: DataFrame) -> DataFrame:
     return df.withColumn(ROW, F.monotonically_increasing_id())
 
 
-def ranked(df: DataFrame, keys: list[str], spread: Column, order: list[str], name: str, slices: int = 1024) -> DataFrame:
-    """Exact 0-based rank of each row inside ``keys``, ordered by (slice of ``spread``, ``order``).
+def ranked(df: DataFrame, keys: list[str], spread: str, name: str, lookup: DataFrame | None = None, slices: int = 256) -> DataFrame:
+    """Exact 0-based rank of each row inside non-null ``keys`` in the order of the hash column ``spread``; ties by row id.
 
-    ``spread`` is a 64-bit hash that differs between the rows of a key. Each key is cut into ``slices`` even
-    pieces by that hash; ranks run inside a piece and start where the smaller pieces end, so no task
-    ever holds a whole hot key. Null keys form a group of their own.
+    Each key is cut into ``slices`` even pieces by the hash; ranks run inside a piece and start where the smaller pieces
+    end, so no task ever holds a whole hot key. The columns of ``lookup`` (one row per key) come along.
     """
     df = df.withColumn("_slice", F.pmod(F.shiftrightunsigned(spread, 24), F.lit(slices)))
     before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = df.groupBy(*keys, "_slice").agg(F.count(F.lit(1)).alias("_n"))
-    starts = sizes.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_slice").alias("_ks"),
-                          F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    same = F.col("_slice") == F.col("_ks")
-    for i, k in enumerate(keys):
-        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
-    inside = Window.partitionBy(*keys, "_slice").orderBy(*order)
-    return (df.withColumn("_rn", F.row_number().over(inside)).join(starts, same)
-            .withColumn(name, F.col("_start") + F.col("_rn") - 1).drop("_slice", "_ks", "_start", "_rn", *[f"_k{i}" for i in range(len(keys))]))
-
-
-def fields(ddl: str) -> list[str]:
-    return [f.name for f in T.StructType.fromDDL(ddl)]
+    starts = (df.groupBy(*keys, "_slice").agg(F.count(F.lit(1)).alias("_n"))
+              .withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n"))
+    starts = stored(starts if lookup is None else starts.join(lookup, keys))
+    inside = Window.partitionBy(*keys, "_slice").orderBy(spread, ROW)
+    return (df.withColumn("_rn", F.row_number().over(inside)).join(starts, [*keys, "_slice"])
+            .withColumn(name, F.col("_start") + F.col("_rn") - 1).drop("_slice", "_start", "_rn"))
