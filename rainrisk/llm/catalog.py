@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rainrisk.llm import mixing, quality, secrets
+from rainrisk.llm import mixing, packing, quality, secrets, simhash
 from rainrisk.llm.common import table
 
 
@@ -20,5 +20,19 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents")).withColumnRenamed("_in0", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (op2_mixing, op4_quality, op9_secrets)}
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+QUERIES = {f.__name__: f for f in (op2_mixing, op4_quality, op5_simhash, op8_packing, op9_secrets)}
 SQL: dict[str, str] = {}
