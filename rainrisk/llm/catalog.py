@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rainrisk.llm import mixing, packing, quality, secrets, simhash
+from rainrisk.llm import mixing, packing, quality, secrets, sharding, simhash, warc
 from rainrisk.llm.common import table
 
 
@@ -24,15 +24,23 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.sharded(table(spark, sf_dir, "documents"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.derived(warc.responses(table(spark, sf_dir, "pages")))
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-QUERIES = {f.__name__: f for f in (op2_mixing, op4_quality, op5_simhash, op8_packing, op9_secrets)}
+QUERIES = {f.__name__: f for f in (op2_mixing, op4_quality, op5_simhash, op7_sharding, op8_packing, op9_secrets, op10_warc)}
 SQL: dict[str, str] = {}
