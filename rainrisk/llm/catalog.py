@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rainrisk.llm import mixing, packing, quality, secrets, sharding, simhash, warc
+from rainrisk.llm import mixing, packing, private, quality, secrets, sharding, simhash, warc
 from rainrisk.llm.common import table
 
 
+def op3_private(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return private.scanned(table(spark, sf_dir, "documents"))
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(table(spark, sf_dir, "documents"))
 
@@ -42,5 +46,5 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-QUERIES = {f.__name__: f for f in (op2_mixing, op4_quality, op5_simhash, op7_sharding, op8_packing, op9_secrets, op10_warc)}
+QUERIES = {f.__name__: f for f in (op2_mixing, op3_private, op4_quality, op5_simhash, op7_sharding, op8_packing, op9_secrets, op10_warc)}
 SQL: dict[str, str] = {}
