@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rainrisk.llm import mixing, packing, private, quality, secrets, sharding, simhash, warc
+from rainrisk.llm import mixing, packing, private, quality, secrets, sharding, simhash, vectors, warc
 from rainrisk.llm.common import table
 
 
@@ -28,6 +28,10 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.sharded(table(spark, sf_dir, "documents"))
 
@@ -46,5 +50,5 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-QUERIES = {f.__name__: f for f in (op2_mixing, op3_private, op4_quality, op5_simhash, op7_sharding, op8_packing, op9_secrets, op10_warc)}
+QUERIES = {f.__name__: f for f in (op2_mixing, op3_private, op4_quality, op5_simhash, op6_vectors, op7_sharding, op8_packing, op9_secrets, op10_warc)}
 SQL: dict[str, str] = {}

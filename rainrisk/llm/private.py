@@ -31,7 +31,7 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 #: A token with a digit, and what is cut from its ends.
 _TOKEN = re.compile(r"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*")
 _EDGE = "\"'()[]{}<>,;:!?.*%#&$|=`"
-_DIGIT = re.compile(r"[0-9]")
+_DIGIT, _LETTER = re.compile(r"[0-9]"), re.compile(r"[^\W\d_]")
 FOUND = "start int, end int, kind string, value string, patterns array<string>"
 
 
@@ -83,9 +83,9 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 
 def contexts(text: str, start: int, end: int) -> list[str]:
-    """Lexical patterns: the two words before, and the words on both sides; digits count as 0."""
-    left = _DIGIT.sub("0", text[max(0, start - 80):start].lower()).split()[-2:]
-    right = _DIGIT.sub("0", text[end:end + 40].lower()).split()[:1]
+    """Lexical patterns: the two words before, and the words on both sides; digits count as 0. Each word must hold a letter."""
+    left = [w for w in _DIGIT.sub("0", text[max(0, start - 80):start].lower()).split()[-2:] if _LETTER.search(w)]
+    right = [w for w in _DIGIT.sub("0", text[end:end + 40].lower()).split()[:1] if _LETTER.search(w)]
     out = [f"L {' '.join(left)}"] if len(left) == 2 else []
     return out + [f"B {left[-1]} _ {right[0]}"] if left and right else out
 
@@ -139,9 +139,11 @@ def discovered(edges: DataFrame, limits: Limits) -> DataFrame:
         # both sides of the joins are stored, so adaptive execution can split a pattern or value that many edges share
         rated = edges.join(values, "value")
         patterns = stored(rated.groupBy("pattern").agg(
-            F.sum("score").alias("mass"), F.count(F.lit(1)).alias("n"), F.count("known").alias("n_known"),
-            F.max(F.struct(F.col("known").isNotNull(), "known")).getField("known").alias("new_kind"))
+            F.sum("score").alias("mass"), F.count(F.lit(1)).alias("n"), F.count("known").alias("n_known"), *[F.count_if(F.col("known") == k).alias(f"n_{k}") for k in KINDS])
             .where(F.col("n_known") >= limits.min_known).withColumn("score", F.col("mass") / F.col("n")).where(F.col("score") >= limits.min_score)
+            # the values of a pattern are of one kind but for a few
+            .withColumn("top", F.greatest(*[F.struct(F.col(f"n_{k}").alias("n"), F.lit(k).alias("kind")) for k in KINDS]))
+            .where(F.col("top.n") >= limits.min_score * F.col("n_known")).withColumn("new_kind", F.col("top.kind"))
             .select("pattern", F.col("score").alias("pattern_score"), "new_kind"))
         lifted = edges.where("kind IS NULL").join(patterns, "pattern").groupBy("value").agg(F.max(F.struct("pattern_score", "new_kind")).alias("best"))
         values = stored(values.select("value", "known").join(lifted, "value", "left").select(
