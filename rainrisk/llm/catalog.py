@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rainrisk.llm import mixing, packing, private, quality, secrets, sharding, simhash, vectors, warc
+from rainrisk.llm import mixing, packing, private, quality, scoring, secrets, sharding, simhash, vectors, warc
 from rainrisk.llm.common import table
 
 
@@ -20,6 +20,10 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scanned(table(spark, sf_dir, "documents"))
 
 
+def op1_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.scored(table(spark, sf_dir, "documents"))
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents")).withColumnRenamed("_in0", "doc_id")
 
@@ -50,5 +54,5 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-QUERIES = {f.__name__: f for f in (op2_mixing, op3_private, op4_quality, op5_simhash, op6_vectors, op7_sharding, op8_packing, op9_secrets, op10_warc)}
+QUERIES = {f.__name__: f for f in (op1_scoring, op2_mixing, op3_private, op4_quality, op5_simhash, op6_vectors, op7_sharding, op8_packing, op9_secrets, op10_warc)}
 SQL: dict[str, str] = {}
