@@ -12,7 +12,9 @@ places between runs over differently ordered repeats. An empty table gives an em
 from __future__ import annotations
 
 import os
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,8 +24,10 @@ from pyspark.sql import DataFrame, functions as F
 from rainrisk.llm.common import ROW, ranked, stored
 
 LENGTH, END = 2048, 1
-#: Words whose ids a Python worker remembers, and the longest of them in bytes. A full memory starts anew; ids do not depend on it.
-REMEMBERED, LONGEST = 400_000, 64
+#: Words whose ids a Python worker remembers, in two generations, and the longest of them in bytes. Ids do not depend on the memory.
+REMEMBERED, LONGEST = 700_000, 64
+#: Words of printable Latin letters and signs: composed already, and lower case is letter by letter.
+PLAIN = re.compile("[!-~\u00a1-\u00ac\u00ae-\u012f]+")
 PIECE = "start long, length long, ids_crc32 long, doc_tokens long"
 
 
@@ -32,26 +36,34 @@ class WordIds:
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer, self.plain = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        # lower case is all that the normalizer would do to plain words
+        self.plain.normalizer = normalizers.Sequence([])
+        self.known, self.older = {}, {}
 
     def encode(self, text: str) -> bytes:
         words = text.encode().split()
         fresh = set(words).difference(self.known)
         if fresh:
             if len(self.known) + len(fresh) > REMEMBERED:
-                self.known.clear()
+                self.older, self.known = self.known, {}
                 fresh = set(words)
-            fresh = list(fresh)
-            found = self.tokenizer.encode_batch([w.decode() for w in fresh], add_special_tokens=False)
-            self.known.update((w, np.array(e.ids, dtype="<u4").tobytes()) for w, e in zip(fresh, found))
+            self.known.update((w, self.older[w]) for w in fresh if w in self.older)
+            self.learn([w.decode() for w in fresh if w not in self.known])
         ids = b"".join(map(self.known.__getitem__, words))
         for w in fresh:
             if len(w) > LONGEST:
                 del self.known[w]
         return ids
 
+    def learn(self, words: list[str]) -> None:
+        for tokenizer, plain in ((self.plain, True), (self.tokenizer, False)):
+            own = [w for w in words if (PLAIN.fullmatch(w) is not None and "<|" not in w) == plain]
+            found = tokenizer.encode_batch_fast([w.lower() for w in own] if plain else own, add_special_tokens=False)
+            self.known.update((w.encode(), array("I", e.ids).tobytes()) for w, e in zip(own, found))
+
 
 #: One per worker and tokenizer, kept between tasks.
 _CODERS: dict[str, WordIds] = {}

@@ -107,8 +107,12 @@ def word_histogram(bars: str, lang: str) -> Column:
 
 def js_distance(p: str, q: str) -> Column:
     """Jensen-Shannon distance in [0, 1] of two count arrays; null if either is null or sums to zero."""
-    return F.expr(f"""sqrt(greatest(0d, aggregate(zip_with({p}, {q}, (x, y) -> struct(x / aggregate({p}, 0d, (s, v) -> s + v) AS a, y / aggregate({q}, 0d, (s, v) -> s + v) AS b)), 0d,
-        (s, v) -> s + (CASE WHEN v.a > 0 THEN v.a * log2(2 * v.a / (v.a + v.b)) ELSE 0d END + CASE WHEN v.b > 0 THEN v.b * log2(2 * v.b / (v.a + v.b)) ELSE 0d END) / 2)))""")
+    total = "nullif(aggregate({0}, 0L, (s, v) -> s + v), 0)"
+    term = "CASE WHEN {0} > 0 THEN {0} * log2(2 * {0} / (v.a + v.b)) ELSE 0d END"
+    divergence = f"""aggregate(zip_with({p}, {q}, (x, y) -> struct(x / {total.format(p)} AS a, y / {total.format(q)} AS b)), 0d,
+        (s, v) -> s + ({term.format('v.a')} + {term.format('v.b')}) / 2)"""
+    # greatest() would hide a null
+    return F.expr(f"CASE WHEN {p} IS NOT NULL AND {q} IS NOT NULL AND {total.format(p)} > 0 AND {total.format(q)} > 0 THEN sqrt(greatest(0d, {divergence})) END")
 
 
 def _sums(column: str, size: int) -> Column:
