@@ -99,12 +99,12 @@ def newest_product(spark, sf):
     return tables.newest_file(names, r"^observed_\d{8}\.nc$").withColumn("reference_date", F.date_format("reference_date", "yyyy-MM-dd"))
 
 
-@query("STR-13", """SELECT 'run_' || lpad(MAX(o_orderkey)::VARCHAR, 8, '0') || '.nc' AS name, TRUE AS due FROM orders""")
+@query("STR-13", """SELECT 'run_' || lpad(MAX(o_orderkey)::VARCHAR, 12, '0') || '.nc' AS name, TRUE AS due FROM orders""")
 def product_run_due(spark, sf):
     o = fx.table(spark, sf, "orders")
-    files = o.select(F.concat(F.lit("run_"), F.lpad(F.col("o_orderkey").cast("string"), 8, "0"), F.lit(".nc")).alias("name"))
-    marker = o.select(F.lit("run_00000001.nc").alias("file"), F.lit(True).alias("completed"), F.to_date(F.lit("2024-01-01")).alias("product_date"), F.col("o_orderkey").alias("run_at"))
-    return hist.needs_run(files, marker, r"^run_\d{8}\.nc$").select("name", "due")
+    files = o.select(F.concat(F.lit("run_"), F.format_string("%012d", "o_orderkey"), F.lit(".nc")).alias("name"))
+    marker = o.select(F.lit("run_000000000001.nc").alias("file"), F.lit(True).alias("completed"), F.to_date(F.lit("2024-01-01")).alias("product_date"), F.col("o_orderkey").alias("run_at"))
+    return hist.needs_run(files, marker, r"^run_\d{12,}\.nc$").select("name", "due")
 
 
 @query("SCL-19 SCL-20 SCL-21", """SELECT c_custkey, CASE c_custkey%4 WHEN 0 THEN 6e0 WHEN 1 THEN 13e0 WHEN 2 THEN 99e0 ELSE 99e0 END AS limit_sum, CASE WHEN c_custkey%3=0 THEN NULL ELSE round_even(c_custkey/2e0, 0)::INT END AS half,
@@ -148,9 +148,9 @@ def ring_geometry(spark, sf):
     return fx.table(spark, sf, "events").select("event_id", geo.ring_to_geojson(ring, F.when(i % 3 == 0, "polygon").otherwise("polyline")).alias("g"))
 
 
-@query("SCL-27", """SELECT c_custkey, 'UA-R' || c_nationkey || '-M-25K-' || lpad(((c_custkey%1000))::VARCHAR, 3, '0') AS ua_id FROM customer""")
+@query("SCL-27", """SELECT c_custkey, 'UA-R' || c_nationkey || '-M-25K-' || CASE WHEN c_custkey > 999 THEN c_custkey::VARCHAR ELSE lpad(c_custkey::VARCHAR, 3, '0') END AS ua_id FROM customer""")
 def unit_ids(spark, sf):
-    return fx.table(spark, sf, "customer").select("c_custkey", text.unit_id(F.col("c_nationkey"), F.lit("M"), F.lit("25K"), F.col("c_custkey") % 1000).alias("ua_id"))
+    return fx.table(spark, sf, "customer").select("c_custkey", text.unit_id(F.col("c_nationkey"), F.lit("M"), F.lit("25K"), F.col("c_custkey")).alias("ua_id"))
 
 
 @query("SCL-38", fx.sql_with("axis_vertices", {"s": """SELECT a.region, a.seq, a.lat AS lat1, a.lon AS lon1, b.lat AS lat2, b.lon AS lon2, sqrt(pow(b.lat-a.lat, 2)+pow(b.lon-a.lon, 2)) AS len FROM axis_vertices a JOIN axis_vertices b ON a.region=b.region AND b.seq=a.seq+1""",

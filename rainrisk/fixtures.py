@@ -103,7 +103,7 @@ def fire_classes(spark, sf):
 def cycles(spark, sf):
     o, c = F.col("o_orderkey"), F.col("o_custkey")
     s = F.col("o_orderstatus")
-    started = F.timestamp_seconds(F.lit(1704067200) + ((o % 50_000_000) * 10 + c % 7) * 60)
+    started = F.timestamp_seconds(F.lit(1704067200) + (o * 10 + c % 7) * 60)
     return table(spark, sf, "orders").select(
         o.alias("cycle_id"), started.alias("started_at"),
         F.when(s == "F", "ok").when(s == "O", "error").otherwise("skipped").alias("outcome"),
@@ -197,7 +197,7 @@ _SQL = {
         q::DOUBLE/50e0 AS rf_valor, 'CGR.'||(s%9) AS regional FROM (
         SELECT l_partkey AS trecho_id, CASE l_returnflag WHEN 'A' THEN 'observado' WHEN 'N' THEN 'D+1' ELSE 'D+2' END AS horizonte,
         MAX(l_quantity::BIGINT) AS q, MAX(l_suppkey) AS s FROM lineitem GROUP BY ALL)""",
-    "cycles": """SELECT o_orderkey AS cycle_id, TIMESTAMP '2024-01-01 00:00:00' + to_minutes((o_orderkey%50000000)*10 + o_custkey%7) AS started_at,
+    "cycles": """SELECT o_orderkey AS cycle_id, TIMESTAMP '2024-01-01 00:00:00' + to_minutes(o_orderkey*10 + o_custkey%7) AS started_at,
         CASE o_orderstatus WHEN 'F' THEN 'ok' WHEN 'O' THEN 'error' ELSE 'skipped' END AS outcome, o_totalprice/1000e0 AS duration_s,
         (96-o_custkey%10)::INT AS files_ok, (o_custkey%7)::INT AS alert_count, (o_custkey%8)::INT AS missing_24h,
         [((o_custkey+i)%9)::INT FOR i IN [0,1,2,3,4]] AS by_level, (o_orderkey%5)::INT AS max_rd FROM orders""",

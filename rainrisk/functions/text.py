@@ -90,7 +90,7 @@ def unit_label(road: Column, km0: Column, km1: Column, region: Column) -> Column
 
 def unit_id(region: Column, town: Column, scale: Column, n: Column) -> Column:
     return F.concat(F.lit("UA-R"), region.cast("string"), F.lit("-"), town, F.lit("-"), scale, F.lit("-"),
-                    F.lpad(n.cast("string"), 3, "0"))
+                    F.format_string("%03d", n.cast("long")))
 
 
 def split_action(text: Column) -> tuple[Column, Column]:

@@ -18,11 +18,16 @@ BLOCK = "_block"
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the checkpoint folder of the session; a local one only where none is set."""
+    """Cut the lineage in the checkpoint folder of the session.
+
+    Where none is set, a local master takes a temporary one; a cluster must name a folder that all machines share.
+    """
     spark = df.sparkSession
     context = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None)
     if context.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="rainrisk-checkpoint-"))
     return df.checkpoint()
 

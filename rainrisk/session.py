@@ -13,6 +13,7 @@ def local_session(cpus: int | str = "*", partitions: int = 8, **extra: str) -> S
              .config("spark.sql.session.timeZone", "UTC")
              .config("spark.sql.execution.arrow.pyspark.enabled", "true")
              .config("spark.driver.memory", "12g")
+             .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
              .config("spark.ui.enabled", "false")
              .getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..functions import geo, text
 from ..operators.risk import UNIT_COMMON, UNIT_GEO, UNIT_HID, default_regions
+from .tables import exists
 
 _UNIT_TYPES = {"regiao_id": "int", "extensao_km": "double", "ordem_no_grupo": "int", "km_inicial": "double", "km_final": "double",
                "centroide_lon": "double", "centroide_lat": "double", "buffer_lateral_m": "int", "RAGEO": "int", "RAHID": "int",
@@ -78,10 +77,15 @@ def axes(spark: SparkSession, path: str) -> DataFrame:
 
 
 def regions_or_default(spark: SparkSession, *paths: str) -> DataFrame:
-    """First file that exists, else the built-in rectangles."""
+    """First file that exists, else the built-in rectangles; they stand in only for files of the local or default file system.
+
+    A path with a scheme of its own was configured on purpose, so its absence is an error.
+    """
     for path in paths:
-        if path and os.path.exists(path):
+        if path and exists(spark, path):
             return regions(spark, path)
+        if path and "://" in path:
+            raise FileNotFoundError(path)
     return default_regions(spark)
 
 
@@ -89,7 +93,7 @@ def fire_product(spark: SparkSession, path: str, segments: DataFrame | None = No
     """Fire classes of one file; the no-data product of the segment table when the file is missing."""
     from ..operators.fire import without_product
 
-    if not os.path.exists(path):
+    if not exists(spark, path):
         if segments is None:
             raise FileNotFoundError(path)
         return without_product(segments)

@@ -14,6 +14,12 @@ CYCLE_SCHEMA = ("started_at string, finished_at string, duration_s double, outco
                 "intensity_max double, gauge struct<applied:boolean,mean_factor:double,stations_recent:int,points_corrected:int>")
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path exists in whatever file system its scheme names."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
 def rain_grid(spark: SparkSession, root: str, target: Column) -> DataFrame:
     """Decoded rain cells of the 96 hours up to the target; ``day`` partitions are pruned."""
     grid = spark.read.schema(GRID_SCHEMA + ", day date").parquet(root)

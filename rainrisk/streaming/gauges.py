@@ -21,23 +21,25 @@ def refresh_span(mesh_changed: bool, last_target: datetime | None, target: datet
     return PRIMARY["window_h"] if mesh_changed or jumped or stale or not stations_loaded else PRIMARY["recent_h"]
 
 
-def merge_readings(stored: DataFrame, fetched: DataFrame, target: Column, span: int) -> DataFrame:
-    """Stored hours before the fetched span plus the fetched hours; nothing older than 96 h."""
-    first = target - F.make_interval(hours=F.lit(span - 1))
-    kept = window_hours(stored.where(F.col("hr") < first), target)
-    newest = last_per_key(window_hours(fetched, target, span), ["station_id", "hr"], "seq")
-    return kept.unionByName(newest.select(*kept.columns))
+def merge_readings(stored: DataFrame, fetched: DataFrame, target: Column) -> DataFrame:
+    """Stored and fetched readings, one per station and hour with the highest ``seq``; nothing outside the 96 h up to the target.
+
+    A fetch may arrive in any number of pieces: each reading replaces its own hour only.
+    """
+    both = stored.unionByName(fetched.select(*stored.columns))
+    return last_per_key(window_hours(both, target), ["station_id", "hr"], "seq").select(*stored.columns)
 
 
-def run(spark: SparkSession, source: str, store: str, checkpoint: str, target: str, span: int):
+def run(spark: SparkSession, source: str, store: str, checkpoint: str):
     """Stream landed readings into versions of the store, one folder per micro-batch.
 
-    A replayed batch rewrites its own version from the one before, so it is idempotent.
+    The target of a version is the newest hour seen so far. A replayed batch rewrites its own version from the one
+    before, so it is idempotent; a batch without rows repeats that version.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
-        at = F.to_timestamp(F.lit(target))
         stored = read(spark, store, batch_id - 1)
-        merge_readings(stored, batch, at, span).write.mode("overwrite").parquet(f"{store}/version={batch_id}")
+        newest = stored.select("hr").unionByName(batch.select("hr")).agg(F.max("hr").alias("hr"))
+        merge_readings(stored, batch, newest.scalar()).write.mode("overwrite").parquet(f"{store}/version={batch_id}")
 
     return (spark.readStream.schema(READING_SCHEMA).parquet(source).writeStream.foreachBatch(write)
             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())

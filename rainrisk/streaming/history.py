@@ -42,21 +42,23 @@ def compact_telemetry(records: DataFrame, keep: int = TELEMETRY_KEEP, slack: flo
 def recorded(spark: SparkSession, log: str, work: Callable[[DataFrame, int], int | None], no_data: Callable[[int], None] | None = None):
     """Wrap a ``foreachBatch`` body: writes one record with outcome ok, skipped or error and its duration.
 
-    ``work`` returns the number of rows, or None when it had to wait. On an error the
-    no-data branch runs and the stream goes on with the next cycle.
+    ``work`` returns the number of rows, or None when it had to wait. On an error the no-data branch runs and the
+    record is written; then the error ends the stream, so that a restart reads the batch again.
     """
     def body(batch: DataFrame, batch_id: int) -> None:
-        began, error, rows = time.time(), None, None
+        began, error, rows, failure = time.time(), None, None, None
         try:
             rows = work(batch, batch_id)
             outcome = "ok" if rows is not None else "skipped"
         except Exception as exc:  # noqa: BLE001 - the record carries it
-            outcome, error = "error", str(exc)[:500]
+            outcome, error, failure = "error", str(exc)[:500], exc
             if no_data:
                 no_data(batch_id)
         record = spark.createDataFrame([(batch_id, time.time() - began, outcome, error, rows)],
                                        "batch_id bigint, duration_s double, outcome string, error string, rows bigint")
         record.withColumn("started_at", F.timestamp_seconds(F.lit(began))).write.mode("overwrite").json(f"{log}/cycle={batch_id}")
+        if failure is not None:
+            raise failure
 
     return body
 

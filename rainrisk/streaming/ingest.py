@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ..constants import READY_HOURS, REFETCH
 from ..functions import rain
+from ..operators.rain import window_hours
+from ..operators.scale import checkpointed
+from ..sources.tables import exists
 
 # --- fixed values: trigger periods ------------------------------------------
 INGEST_EVERY = "120 seconds"
@@ -17,6 +20,8 @@ FIRE_POLL_EVERY = "30 minutes"
 
 CELL_SCHEMA = "lat_idx int, lon_idx int, hr timestamp, mm double, published timestamp"
 HOUR_KEY = "hour_key"
+#: Folders of the store: readers of days prune the first level.
+PARTITION = ["day", HOUR_KEY]
 
 
 def newest_publication(cells: DataFrame) -> DataFrame:
@@ -27,19 +32,39 @@ def newest_publication(cells: DataFrame) -> DataFrame:
 
 
 def store_hours(cells: DataFrame, store: str) -> None:
-    """Replace the hours of a batch in the store; other hours stay."""
-    keyed = newest_publication(cells).withColumn(HOUR_KEY, F.date_format("hr", "yyyyMMddHH"))
-    keyed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(HOUR_KEY).parquet(store)
+    """Merge a batch into the hours it touches; other hours stay.
+
+    Per hour the newest publication wins, wherever its cells come from: a publication that lands in several batches
+    adds up, an older one that lands late changes nothing. A replayed batch gives the same hours again.
+    """
+    spark = cells.sparkSession
+    batch = checkpointed(cells.select(*[f.name for f in T.StructType.fromDDL(CELL_SCHEMA)]).withColumns(_partition()))
+    if exists(spark, store):
+        touched = batch.select(*PARTITION).distinct()
+        # the touched folders alone are read: their names are few, one per hour of the batch
+        stored = read_hours(spark, store).join(F.broadcast(touched), PARTITION, "left_semi")
+        batch = batch.unionByName(stored)
+    # the merged hours must be complete before their folders are replaced
+    merged = checkpointed(newest_publication(batch).withColumns(_partition()))
+    merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*PARTITION).parquet(store)
+
+
+def _partition() -> dict[str, Column]:
+    return {"day": F.to_date("hr"), HOUR_KEY: F.date_format("hr", "yyyyMMddHH")}
 
 
-def read_hours(spark: SparkSession, store: str) -> DataFrame:
-    return spark.read.schema(f"{CELL_SCHEMA}, {HOUR_KEY} string").parquet(store)
+def read_hours(spark: SparkSession, store: str, target: Column | None = None) -> DataFrame:
+    """Stored cells; with a target the 96 hours up to it, for which only the folders of their days are read."""
+    hours = spark.read.schema(f"{CELL_SCHEMA}, day date, {HOUR_KEY} string").parquet(store)
+    if target is None:
+        return hours
+    first = F.to_date(target - F.expr("INTERVAL 95 HOURS"))
+    return window_hours(hours.where((F.col("day") >= first) & (F.col("day") <= F.to_date(target))), target)
 
 
 def valid_hours(hourly: DataFrame, target: Column) -> DataFrame:
     """One row: readable hours among the 96 up to the target and whether output may start."""
-    h = rain.hours_before(target, F.col("hr"))
-    n = hourly.where((h >= 0) & (h < 96)).select("hr").distinct().agg(F.count(F.lit(1)).alias("hours"))
+    n = window_hours(hourly, target).select("hr").distinct().agg(F.count(F.lit(1)).alias("hours"))
     return n.withColumn("ready", F.col("hours") >= READY_HOURS)
 
 
@@ -90,13 +115,16 @@ def prune_hours(spark: SparkSession, store: str, now: str, days: int = REFETCH["
     if days == 0:
         return []
     limit = spark.sql(f"SELECT date_format(TIMESTAMP '{now}' - INTERVAL {int(days)} DAYS, 'yyyyMMddHH') AS k").first()["k"]
-    jvm = spark.sparkContext._jvm
-    root = jvm.org.apache.hadoop.fs.Path(store)
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(store)
     fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     old = []
-    for status in fs.listStatus(root):
-        name = status.getPath().getName()
-        if name.startswith(f"{HOUR_KEY}=") and name.split("=")[1] < limit:
-            fs.delete(status.getPath(), True)
-            old.append(name)
+    for folder in fs.listStatus(root):
+        day = folder.getPath().getName().removeprefix("day=").replace("-", "")
+        if not day.isdigit() or day > limit[:8]:
+            continue
+        for status in fs.listStatus(folder.getPath()):
+            name = status.getPath().getName()
+            if name.startswith(f"{HOUR_KEY}=") and name.split("=")[1] < limit:
+                fs.delete(status.getPath(), True)
+                old.append(name)
     return sorted(old)
