@@ -29,11 +29,11 @@ def anchor_estimates(spark, sf):
     return u.join(est, ["lat", "lon"]).select("ua_id", F.round("g24_mm", 6).alias("g24_mm"), F.round("d_min_km", 6).alias("d_min_km"), "n_covered", "n_dry")
 
 
-@query("AGG-05", fx.sql_with("units stations gauge_hourly stations_24h", {"pairs": PAIRS30.replace("<= 30", "<= 60")}, """SELECT ua_id, ROUND(COALESCE(arg_min(value_mm, station_id) FILTER (d < 0.1),
+@query("AGG-05", fx.sql_with("units stations gauge_hourly stations_24h", {"pairs": PAIRS30.replace("<= 30", ">= 0")}, """SELECT ua_id, ROUND(COALESCE(arg_min(value_mm, station_id) FILTER (d < 0.1),
     SUM(value_mm/(d*d)) FILTER (d >= 0.1)/SUM(1/(d*d)) FILTER (d >= 0.1)), 6) AS value_mm FROM pairs GROUP BY ua_id"""))
 def plain_distance_mean(spark, sf):
     u = fx.units(spark, sf)
-    est = gauges.nearest_snap_mean(u, fx.stations_24h(spark, sf), 60.0)
+    est = gauges.network_mean(u, fx.stations_24h(spark, sf))
     return u.join(est, ["lat", "lon"]).select("ua_id", F.round("g24_mm", 6).alias("value_mm"))
 
 

@@ -49,11 +49,11 @@ def segment_hub(spark, sf):
     return hub.select("trecho_id", "n_uas", "ra_geo_max", "ra_hid_max", "trecho_critico_geo", "trecho_critico_hid")
 
 
-@query("AGG-20 SCL-42", fx.sql_with("units segments", {"nr": NEAR}, "SELECT trecho_id, 0 AS page, '[' || string_agg(ua_id::VARCHAR, ',' ORDER BY km0, ua_id) || ']' AS ua_ids, COUNT(*) AS listed FROM nr WHERE trecho_id IS NOT NULL GROUP BY trecho_id"))
+@query("AGG-20 SCL-42", fx.sql_with("units segments", {"nr": NEAR}, "SELECT trecho_id, row_number() OVER (PARTITION BY trecho_id ORDER BY km0, ua_id) AS posicao, ua_id, RAGEO AS ra_geo, ROUND(km0, 3) AS km_inicial FROM nr WHERE trecho_id IS NOT NULL"))
 def segment_unit_lists(spark, sf):
     assigned = intervals.nearest_on_road(_hub_units(spark, sf), fx.segments(spark, sf), "trecho_id")
-    out = network.segment_unit_pages(assigned)
-    return out.select("trecho_id", "page", "ua_ids", F.json_array_length("uas_risco").cast("long").alias("listed"))
+    detail = F.from_json("uas_risco", "ra_geo int, km_inicial double")
+    return network.segment_unit_list(assigned).withColumn("d", detail).select("trecho_id", "posicao", "ua_id", "d.ra_geo", "d.km_inicial")
 
 
 @query("SET-04", fx.sql_with("units segments", {"nr": NEAR}, "SELECT ua_id FROM nr WHERE trecho_id IS NULL"))
@@ -207,10 +207,9 @@ def monitored_without_units(spark, sf):
     return network.roads_without_units(s, u, ["road", "r0"])
 
 
-@query("TOP-08", fx.sql_with("units", {}, "SELECT road, 0 AS page, string_agg(ua_id::VARCHAR, ',' ORDER BY (km0+km1)/2e0, ua_id) AS ua_ids FROM units GROUP BY road"))
+@query("TOP-08", fx.sql_with("units", {}, "SELECT road, row_number() OVER (PARTITION BY road ORDER BY (km0+km1)/2e0, ua_id) AS posicao, ua_id FROM units"))
 def units_along_road(spark, sf):
-    out = network.units_along_road(fx.units(spark, sf), "road", (F.col("km0") + F.col("km1")) / 2.0)
-    return out.withColumn("ua_ids", F.array_join("ua_ids", ","))
+    return network.units_along_road(fx.units(spark, sf), "road", (F.col("km0") + F.col("km1")) / 2.0)
 
 
 @query("SET-03 SNK-06 CMP-09", fx.sql_with("points", {}, "SELECT hazard, posicao, ua_id, rd FROM (SELECT *, row_number() OVER (PARTITION BY hazard ORDER BY rd DESC, ac96h_mm DESC, ua_id)::INT AS posicao FROM points) WHERE posicao <= 10"))

@@ -173,11 +173,13 @@ def feed_header(spark, sf):
 BY_LEVEL = "||','||".join(f"COUNT(*) FILTER (rd={i})" for i in range(5))
 
 
-@query("AGG-28", fx.sql_with("points", {}, f"""SELECT {BY_LEVEL} AS by_level, COUNT(*) FILTER (rd>=3)::INT AS alert_count, MAX(rd) AS max_rd, MAX(ac24h_mm) FILTER (hazard='geo') AS ac24h_max,
-    ROUND(SUM(ROUND(ac24h_mm*10000)::BIGINT) FILTER (hazard='geo')::DOUBLE/COUNT(*) FILTER (hazard='geo')/10000e0, 2) AS ac24h_mean, MAX(intensity_mmh) AS intensity_max FROM points"""))
+@query("AGG-28", fx.sql_with("points", {}, f"""SELECT {BY_LEVEL} AS by_level, COUNT(*) FILTER (rd>=3)::INT AS alert_count, MAX(rd) AS max_rd, (ARRAY['Monitoramento', 'Observação', 'Atenção', 'Alerta', 'Alerta Máximo'])[MAX(rd) + 1] AS max_rd_name,
+    ROUND(COALESCE(MAX(ac24h_mm) FILTER (hazard='geo'), 0), 1) AS ac24h_max, ROUND(COALESCE(MAX(ac96h_mm) FILTER (hazard='geo' AND ac24h_mm IS NOT NULL), 0), 1) AS ac96h_max,
+    ROUND(SUM(ROUND(ac24h_mm*10000)::BIGINT) FILTER (hazard='geo')::DOUBLE/COUNT(ac24h_mm) FILTER (hazard='geo')/10000e0, 1) AS ac24h_mean,
+    ROUND(COALESCE(MAX(intensity_mmh) FILTER (hazard='geo' AND ac24h_mm IS NOT NULL), 0), 2) AS intensity_max FROM points"""))
 def cycle_record(spark, sf):
     out = risk.cycle_record(fx.points(spark, sf))
-    return out.select(F.array_join("by_level", ",").alias("by_level"), "alert_count", "max_rd", "ac24h_max", "ac24h_mean", "intensity_max")
+    return out.select(F.array_join("by_level", ",").alias("by_level"), "alert_count", "max_rd", "max_rd_name", "ac24h_max", "ac24h_mean", "ac96h_max", "intensity_max")
 
 
 @query("AGG-32 CMP-05 SRC-21", fx.sql_with("points", {}, """SELECT MAX(rd) AS rd, COUNT(*) AS total_pontos, COUNT(*) FILTER (rd>=3) AS total_critico, COUNT(*) FILTER (rd=2) AS total_atencao,

@@ -11,7 +11,7 @@ import math
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..constants import CORRECTION, DRY_GUARD, PRIMARY, SUSPECT
-from ..functions import rain
+from ..functions import geo, rain
 from .rain import window_hours
 from .scale import OrderedBlocks, attach, quantiles_of_ranked, with_row
 from .spatial import pairs_within, positions
@@ -59,10 +59,28 @@ def anchor_estimates(units: DataFrame, stations: DataFrame, value: str = "value_
                       F.coalesce(F.col("_snap.d"), F.col("_d")).alias("d_min_km"), "n_covered", "n_dry", "d_covered")
 
 
-def nearest_snap_mean(units: DataFrame, stations: DataFrame, search_km: float, value: str = "value_mm",
-                      ordinal: str = "station_id", snap_km: float = 0.1) -> DataFrame:
-    """Inverse-distance-squared mean that snaps at 0.1 km. ``search_km`` must span the network."""
-    return anchor_estimates(units, stations, value, ordinal, None, search_km, snap_km)
+def network_mean(units: DataFrame, stations: DataFrame, value: str = "value_mm", ordinal: str = "station_id", snap_km: float = 0.1, block: int = 1024) -> DataFrame:
+    """Inverse-distance-squared mean over all stations, per unit position; a station closer than ``snap_km`` replaces it, 0.0 without a station.
+
+    Station positions travel in blocks of about ``block``. Every unit position meets every block once and adds up inside the
+    row, so the work is units times stations but no list of pairs exists.
+    """
+    places = station_places(stations, value, ordinal)
+    n_blocks = F.greatest(F.ceil(F.count(F.lit(1)) / block), F.lit(1)).cast("int")
+    count = places.agg(n_blocks.alias("n")).scalar()
+    blocks = (places.withColumn("_b", F.pmod(F.xxhash64("s_lat", "s_lon"), count)).groupBy("_b")
+              .agg(F.sort_array(F.collect_list(F.struct("s_lat", "s_lon", "n", (F.col("_sum") / F.lit(float(rain.TICKS_PER_MM))).alias("total"), "first"))).alias("places")))
+    spots = positions(units)
+    met = spots.withColumn("_b", F.explode(F.sequence(F.lit(0).cast("long"), count.cast("long") - 1))).join(blocks, "_b")
+    each = F.transform("places", lambda p: F.struct(geo.haversine_km(F.col("lat"), F.col("lon"), p["s_lat"], p["s_lon"]).alias("d"), p["n"].alias("n"),
+                                                    p["total"].alias("total"), p["first"]["o"].alias("o"), p["first"]["v"].alias("v")))
+    far = F.filter(each, lambda p: p["d"] >= snap_km)
+    add = lambda name: F.aggregate(far, F.lit(0.0), lambda a, p: a + p[name] / (p["d"] * p["d"]))
+    near = F.array_min(F.transform(F.filter(each, lambda p: p["d"] < snap_km), lambda p: F.struct(p["o"].alias("o"), p["v"].alias("v"))))
+    sums = met.select("lat", "lon", add("total").alias("num"), add("n").alias("den"), near.alias("near")).groupBy("lat", "lon").agg(
+        F.sum("num").alias("num"), F.sum("den").alias("den"), F.min("near").alias("near"))
+    mean = F.coalesce("near.v", F.try_divide("num", "den"), F.lit(0.0))
+    return spots.join(sums, ["lat", "lon"], "left").select("lat", "lon", mean.alias("g24_mm"))
 
 
 def dry_consensus(g24: Column, n_covered: Column, n_dry: Column, d_covered: Column) -> Column:

@@ -27,17 +27,11 @@ def segment_rollup(units: DataFrame, key: str = "trecho_id") -> DataFrame:
         F.bool_or("trecho_critico_geo").alias("trecho_critico_geo"), F.bool_or("trecho_critico_hid").alias("trecho_critico_hid"))
 
 
-def segment_unit_pages(units: DataFrame, key: str = "trecho_id", page: int = 1000) -> DataFrame:
-    """Ordered unit ids and details of a segment as JSON, in pages of bounded length.
-
-    A segment of normal size has one page (page 0), the whole list; a segment with
-    very many units continues on further pages instead of filling one task.
-    """
-    rows = numbered(units.where(F.col(key).isNotNull()), [key], ["km0", "ua_id"], "_rn")
-    rows = rows.withColumn("page", F.floor((F.col("_rn") - 1) / F.lit(page)).cast("int"))
+def segment_unit_list(units: DataFrame, key: str = "trecho_id") -> DataFrame:
+    """Units of every segment in order: one row per unit with its 1-based position, whatever their number, and its details as JSON."""
     detail = F.struct("ua_id", "ra_geo", "ra_hid", F.round("km0", 3).alias("km_inicial"), F.round("km1", 3).alias("km_final"))
-    return rows.groupBy(key, "page").agg(
-        F.to_json(ordered_list(F.col("ua_id"), ["_rn"])).alias("ua_ids"), F.to_json(ordered_list(detail, ["_rn"])).alias("uas_risco"))
+    rows = numbered(units.where(F.col(key).isNotNull()), [key], ["km0", "ua_id"], "posicao")
+    return rows.select(key, "posicao", "ua_id", F.to_json(detail).alias("uas_risco"))
 
 
 def attach_rollup(segments: DataFrame, rollup: DataFrame, key: str = "trecho_id") -> DataFrame:
@@ -154,11 +148,9 @@ def roads_without_units(roads: DataFrame, units: DataFrame, keys: list[str]) ->
     return roads.select(*keys).distinct().join(units.select(*keys).distinct(), keys, "left_anti")
 
 
-def units_along_road(units: DataFrame, road: str, at: Column, page: int = 1000) -> DataFrame:
-    """Unit ids per road ordered by position, in pages of bounded length."""
-    rows = numbered(units.withColumn("_at", at), [road], ["_at", "ua_id"], "_rn")
-    return rows.withColumn("page", F.floor((F.col("_rn") - 1) / F.lit(page)).cast("int")).groupBy(road, "page").agg(
-        ordered_list(F.col("ua_id"), ["_rn"]).alias("ua_ids"))
+def units_along_road(units: DataFrame, road: str, at: Column) -> DataFrame:
+    """Units per road ordered by position: one row per unit with its 1-based place."""
+    return numbered(units.withColumn("_at", at), [road], ["_at", "ua_id"], "posicao").select(road, "posicao", "ua_id")
 
 
 def keep_first(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:

@@ -140,16 +140,19 @@ def stretch_distribution(stretches: DataFrame, dist: str = "dist", icc: str = "i
 
 
 def cycle_record(points: DataFrame) -> DataFrame:
-    """One telemetry row of a cycle: level vectors, alerts, maxima and means of the slope channel."""
+    """One telemetry row of a cycle: level vectors, alerts, worst level, maxima and mean of the slope channel.
+
+    Rain figures cover the slope rows that have rain of the last 24 hours; without any, maxima are 0 and the mean is null.
+    """
     geo, hid = F.col("hazard") == "geo", F.col("hazard") == "hidro"
     vector = lambda cond: F.array(*[F.count_if(cond & (F.col("rd") == i)).cast("int") for i in range(5)])
-    mean = F.sum(F.when(geo, rain.ticks(F.col("ac24h_mm")))) / F.count_if(geo) / F.lit(float(rain.TICKS_PER_MM))
+    wet = geo & F.col("ac24h_mm").isNotNull()
+    mean = F.sum(F.when(wet, rain.ticks(F.col("ac24h_mm")))) / F.nullif(F.count_if(wet), F.lit(0)) / F.lit(float(rain.TICKS_PER_MM))
+    top = lambda name, digits: F.round(F.coalesce(F.greatest(F.max(F.when(wet, F.col(name))), F.lit(0.0)), F.lit(0.0)), digits)
     return points.agg(
         vector(F.lit(True)).alias("by_level"), vector(geo).alias("by_level_geo"), vector(hid).alias("by_level_hidro"),
-        F.count_if(F.col("rd") >= 3).cast("int").alias("alert_count"), F.max("rd").alias("max_rd"),
-        F.max(F.when(geo, F.col("ac24h_mm"))).alias("ac24h_max"), F.round(mean, 2).alias("ac24h_mean"),
-        F.max(F.when(geo, F.col("ac96h_mm"))).alias("ac96h_max"),
-        F.max(F.when(geo, F.col("intensity_mmh"))).alias("intensity_max"))
+        F.count_if(F.col("rd") >= 3).cast("int").alias("alert_count"), F.max("rd").alias("max_rd"), risk.level_label(F.max("rd")).alias("max_rd_name"),
+        top("ac24h_mm", 1).alias("ac24h_max"), F.round(mean, 1).alias("ac24h_mean"), top("ac96h_mm", 1).alias("ac96h_max"), top("intensity_mmh", 2).alias("intensity_max"))
 
 
 def refresh_attributes(computed: DataFrame, static: DataFrame, key: str = "ua_id") -> DataFrame:
