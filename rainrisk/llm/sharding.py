@@ -61,5 +61,6 @@ def sharded(docs: DataFrame, limit: int = LIMIT, key: str = "doc_id", spare: int
 def write_shards(docs: DataFrame, path: str, limit: int = LIMIT, key: str = "doc_id") -> None:
     """Write ``docs`` as one folder per shard; rows of a shard meet in one task only up to the byte limit."""
     names = docs.columns
-    out = sharded(docs, limit, key, keep=tuple(names)).select("shard", *[F.col(f"_in{i}").alias(c) for i, c in enumerate(names)])
+    # the letter keeps readers from taking the bits for a number
+    out = sharded(docs, limit, key, keep=tuple(names)).select(F.concat(F.lit("b"), "shard").alias("shard"), *[F.col(f"_in{i}").alias(c) for i, c in enumerate(names)])
     out.repartition("shard").write.partitionBy("shard").parquet(path)
