@@ -24,8 +24,8 @@ from pyspark.sql import DataFrame, functions as F
 from rainrisk.llm.common import ROW, ranked, stored
 
 LENGTH, END = 2048, 1
-#: Words whose ids a Python worker remembers, in two generations, and the longest of them in bytes. Ids do not depend on the memory.
-REMEMBERED, LONGEST = 700_000, 64
+#: Words whose ids a Python worker remembers, in two generations, the longest of them in bytes, words of letters per call. Ids do not depend on the memory.
+REMEMBERED, LONGEST, JOINED = 350_000, 64, 2000
 #: Words of printable Latin letters and signs: composed already, and lower case is letter by letter.
 PLAIN = re.compile("[!-~\u00a1-\u00ac\u00ae-\u012f]+")
 PIECE = "start long, length long, ids_crc32 long, doc_tokens long"
@@ -41,6 +41,9 @@ class WordIds:
         self.tokenizer, self.plain = Tokenizer.from_file(path), Tokenizer.from_file(path)
         # lower case is all that the normalizer would do to plain words
         self.plain.normalizer = normalizers.Sequence([])
+        vocabulary = self.plain.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.known, self.older = {}, {}
 
     def encode(self, text: str) -> bytes:
@@ -59,16 +62,32 @@ class WordIds:
         return ids
 
     def learn(self, words: list[str]) -> None:
-        for tokenizer, plain in ((self.plain, True), (self.tokenizer, False)):
-            own = [w for w in words if (PLAIN.fullmatch(w) is not None and "<|" not in w) == plain]
-            found = tokenizer.encode_batch_fast([w.lower() for w in own] if plain else own, add_special_tokens=False)
+        letters, plain, other = [], [], []
+        for w in words:
+            (other if PLAIN.fullmatch(w) is None or "<|" in w else letters if w.isalpha() else plain).append(w)
+        for tokenizer, own in ((self.plain, plain), (self.tokenizer, other)):
+            found = tokenizer.encode_batch_fast([w.lower() for w in own] if tokenizer is self.plain else own, add_special_tokens=False)
             self.known.update((w.encode(), array("I", e.ids).tobytes()) for w, e in zip(own, found))
+        # a word of letters ends with its only word-end token, so many can share one call
+        for a in range(0, len(letters), JOINED):
+            own = letters[a:a + JOINED]
+            ids = np.array(self.plain.encode_batch_fast([" ".join(own).lower()], add_special_tokens=False)[0].ids, dtype="<u4")
+            cuts = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            data = ids.tobytes()
+            self.known.update((w.encode(), data[i:j]) for w, i, j in zip(own, [0, *cuts], cuts, strict=False))
 
 
 #: One per worker and tokenizer, kept between tasks.
 _CODERS: dict[str, WordIds] = {}
 
 
+def coder_of(path: str) -> WordIds:
+    """The worker's own coder; a function of the module finds it, a closure would carry a copy."""
+    if path not in _CODERS:
+        _CODERS[path] = WordIds(path)
+    return _CODERS[path]
+
+
 def pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", length: int = LENGTH, end: int = END, with_ids: bool = False) -> DataFrame:
     """A row per piece: key, start, length, ids_crc32, doc_tokens, on request ids; full pieces first, the rest last.
 
@@ -79,9 +98,7 @@ def pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", length: int = L
     stop = np.array([end], dtype="<u4").tobytes()
 
     def cut(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if tokenizer not in _CODERS:
-            _CODERS[tokenizer] = WordIds(tokenizer)
-        coder = _CODERS[tokenizer]
+        coder = coder_of(tokenizer)
         for part in parts:
             at, start, size, crc, total, ids = [], [], [], [], [], []
             for i, text in enumerate(part.column(1)):
