@@ -45,6 +45,24 @@ def with_row_id(df: DataFrame) -> DataFrame:
     return df.withColumn(ROW, F.monotonically_increasing_id())
 
 
+def identified(df: DataFrame) -> DataFrame:
+    """Add ``_a`` and ``_b``, 128 bits of hash over all columns: equal rows share them, so texts need not be stored to be found again."""
+    cols = [F.col(f"`{f.name}`") for f in df.schema if not f.dataType.simpleString().startswith("map")]
+    # a null hashes like nothing at all, so its place is hashed too
+    blanks = F.concat(*[F.when(c.isNull(), "1").otherwise("0") for c in cols])
+    return df.withColumns({"_a": F.xxhash64(F.lit(1), blanks, *cols), "_b": F.xxhash64(F.lit(2), *reversed(cols), blanks)})
+
+
+def found_again(docs: DataFrame, marked: DataFrame) -> DataFrame:
+    """Rows of ``docs`` that ``marked`` (one row per identity: _a, _b, _n equal rows, further columns) names, each identity once."""
+    tagged = identified(docs)
+    out = tagged.join(marked.where("_n = 1"), ["_a", "_b"])
+    several = marked.where("_n > 1")
+    if not several.isEmpty():
+        out = out.union(tagged.join(several, ["_a", "_b"]).dropDuplicates(["_a", "_b"]))
+    return out.drop("_a", "_b", "_n")
+
+
 def ranked(df: DataFrame, keys: list[str], spread: str, name: str, lookup: DataFrame | None = None, slices: int = 256) -> DataFrame:
     """Exact 0-based rank of each row inside non-null ``keys`` in the order of the hash column ``spread``; ties by row id.
 

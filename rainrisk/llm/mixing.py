@@ -16,10 +16,14 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from rainrisk.llm.common import ranked, stored, with_row_id, words
+from rainrisk.llm.common import found_again, identified, ranked, stored, with_row_id, words
 from rainrisk.operators.scale import numbered
 
 
+#: Words that the exact program spends; below, single documents are taken by remainder. At least two documents of the largest size.
+EXACT = 200_000
+
+
 @dataclass(frozen=True)
 class Mix:
     """Weights repeat over the sources in code-point order; the budget is a share of all words; ``most`` bounds repeats."""
@@ -55,8 +59,8 @@ def targets(sources: DataFrame, mix: Mix = Mix()) -> DataFrame:
 def fill(counts: list[tuple[int, int]], budget: int) -> dict[int, int]:
     """How many documents of each size to take so that their words come as close to ``budget`` as possible from below.
 
-    ``counts`` holds (size, documents). Proportional shares first, then single documents by largest remainder, long ones first, until about
-    two documents of the largest size are left of the budget, which an exact knapsack spends.
+    ``counts`` holds (size, documents). Proportional shares first, then single documents by largest remainder, long ones first, until
+    ``EXACT`` words or two documents of the largest size are left of the budget, which an exact knapsack spends.
     """
     counts = [(s, n) for s, n in counts if s > 0]
     total = sum(s * n for s, n in counts)
@@ -64,7 +68,7 @@ def fill(counts: list[tuple[int, int]], budget: int) -> dict[int, int]:
         return dict(counts)
     taken = {s: n * budget // total for s, n in counts}
     left = budget - sum(s * k for s, k in taken.items())
-    reserve = 2 * max(s for s, _ in counts)
+    reserve = max(EXACT, 2 * max(s for s, _ in counts))
     for s, n in sorted(counts, key=lambda c: (-(c[1] * budget % total), -c[0])):
         if left - s < reserve:
             break
@@ -131,8 +135,10 @@ def mixed(docs: DataFrame, mix: Mix = Mix(), keep: tuple[str, ...] = ("doc_id",)
 def repeated(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     """``docs`` as the mix takes them: a row per take, all columns kept, documents that are not taken left out.
 
-    Empty documents carry no words and are left out as well.
+    Empty documents carry no words and are left out as well. The plan is made on row identities; texts are read again and move once at most.
     """
-    keep = tuple(docs.columns)
-    out = mixed(docs, mix, keep).where("taken > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.expr("taken div greatest(size, 1)"))))
-    return out.select(*[F.col(f"_in{i}").alias(c) for i, c in enumerate(keep)])
+    slim = identified(docs).select("_a", "_b", F.col("source"), F.col("text"))
+    takes = mixed(slim, mix, ("_a", "_b")).groupBy(F.col("_in0").alias("_a"), F.col("_in1").alias("_b")).agg(
+        F.count(F.lit(1)).alias("_n"), F.sum(F.expr("taken div greatest(size, 1)")).alias("_takes"))
+    out = found_again(docs, stored(takes.where("_takes > 0")))
+    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_takes")))).select(*docs.columns)

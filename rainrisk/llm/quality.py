@@ -16,7 +16,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from rainrisk.llm.common import stored, words
+from rainrisk.llm.common import identified, stored, words
 
 #: Common words of the languages that have a reference.
 COMMON_WORDS = {
@@ -119,17 +119,24 @@ def _sums(column: str, size: int) -> Column:
     return F.array(*[F.sum(F.get(F.col(column), F.lit(i))) for i in range(size)])
 
 
-def _judged(docs: DataFrame, limits: Limits, keep: tuple[str, ...]) -> DataFrame:
+def _measured(docs: DataFrame, keep: tuple[str, ...]) -> DataFrame:
+    """Columns ``keep`` as _in0, _in1, ..., language, base columns and both histograms of every row."""
     names = [f"_in{i}" for i in range(len(keep))]
     rows = base_rules(docs.select(*[F.col(c).alias(n) for c, n in zip(keep, names)], "text", "lang"))
     rows = (rows.withColumn("_lower", F.array_remove(F.split(F.lower(F.array_join("_words", " ")), " "), ""))
             .withColumn("_bars", common_string("_lower"))
             .withColumns({"_chars": char_histogram(F.coalesce(F.col("text"), F.lit(""))), "_common": word_histogram("_bars", "lang")}))
-    rows = stored(rows.select(*names, F.col("lang").alias("_of"), *BASE, "_chars", "_common"))
+    return rows.select(*names, F.col("lang").alias("_of"), *BASE, "_chars", "_common")
+
+
+def _references(rows: DataFrame) -> DataFrame:
+    """Summed histograms per language with a word list: as many rows at most."""
     good = rows.where(~F.col("base_failed") & F.col("_of").isin(list(COMMON_WORDS)))
-    references = good.groupBy(F.col("_of").alias("_lang")).agg(
-        _sums("_chars", N_CLASSES).alias("_ref_chars"), _sums("_common", max(map(len, COMMON_WORDS.values()))).alias("_ref_common"))
-    # one row per language with a word list at most
+    return stored(good.groupBy(F.col("_of").alias("_lang")).agg(
+        _sums("_chars", N_CLASSES).alias("_ref_chars"), _sums("_common", max(map(len, COMMON_WORDS.values()))).alias("_ref_common")))
+
+
+def _compared(rows: DataFrame, references: DataFrame, limits: Limits) -> DataFrame:
     out = rows.join(F.broadcast(references), F.col("_of") == F.col("_lang"), "left")
     zero = F.lit(0).cast("long")
     n_common = F.aggregate(F.coalesce("_common", F.array().cast("array<bigint>")), zero, lambda a, x: a + x)
@@ -145,10 +152,18 @@ def judged(docs: DataFrame, limits: Limits = Limits(), key: str = "doc_id") -> D
 
     One pass reads the texts; its small histograms are stored, since the references need all of them first.
     """
-    return _judged(docs, limits, (key,)).select(F.col("_in0").alias(key), *BASE, "kept", "char_distance", "word_distance")
+    rows = stored(_measured(docs, (key,)))
+    out = _compared(rows, _references(rows), limits)
+    return out.select(F.col("_in0").alias(key), *BASE, "kept", "char_distance", "word_distance")
 
 
 def passing(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
-    """Rows of ``docs`` that pass, with all their columns."""
-    keep = tuple(docs.columns)
-    return _judged(docs, limits, keep).where("kept").select(*[F.col(f"_in{i}").alias(c) for i, c in enumerate(keep)])
+    """Rows of ``docs`` that pass, with all their columns.
+
+    Only row identities and small histograms are stored; the texts are read again and move once at most.
+    """
+    slim = identified(docs).select("_a", "_b", "text", "lang")
+    rows = stored(_measured(slim, ("_a", "_b")))
+    kept = stored(_compared(rows, _references(rows), limits).where("kept").select(F.col("_in0").alias("_a"), F.col("_in1").alias("_b")).distinct())
+    # equal rows share their verdict, so a semi join keeps all of them
+    return identified(docs).join(kept, ["_a", "_b"], "left_semi").select(*docs.columns)

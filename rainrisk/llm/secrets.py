@@ -15,12 +15,13 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from rainrisk.llm.common import ROW, stored, with_row_id
+from rainrisk.llm.common import ROW, identified, stored, with_row_id
 
 #: Kinds of base secrets in their order, the group that counts and its least length. Runs of one class hold
 #: their least length in the pattern already: a shorter run cannot match, a longer one matches as a whole.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 BASE_KINDS = (("assign", ASSIGN, 2, 6), ("access", r"AKIA[A-Z0-9]{16,}", 0, 20), ("hex", r"[0-9a-f]{24,}", 0, 24))
+ORDER = [k for k, *_ in BASE_KINDS] + ["bare"]
 #: A bare token: a long run of the characters that credentials are made of.
 BARE = r"[A-Za-z0-9+/_=-]{20,}"
 
@@ -77,48 +78,50 @@ def ownership(found: DataFrame) -> DataFrame:
     return found.groupBy("hash").agg(F.countDistinct("owner").alias("n_owners"), F.countDistinct("repository").alias("n_repositories"))
 
 
-def scanned(docs: DataFrame, limits: Limits = Limits(), key: str = "doc_id", repository: str = "doc_id", owner: str = "source",
-            keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row per row of ``docs``: key, base counts and digest, all spans, and how many are live or copied.
-
-    ``keep`` names further input columns, returned as ``_in0``, ``_in1``, ... for callers that rename them.
-    """
-    rows = with_row_id(docs.select(F.col(key).alias("key"), F.col(repository).alias("repository"), F.col(owner).alias("owner"), "text",
-                                   *[F.col(c).alias(f"_in{i}") for i, c in enumerate(keep)]))
-    rows = stored(candidates(rows))
-    order = [k for k, *_ in BASE_KINDS] + ["bare"]
+def added_spans(rows: DataFrame, limits: Limits) -> DataFrame:
+    """Row id, live bare spans, counts of live and copied values; ``rows`` holds the candidates of every row."""
     found = (rows.where("size(assign) + size(access) + size(hex) + size(bare) > 0")
              .select(ROW, "repository", "owner", F.explode(F.concat("assign", "access", "hex", "bare")).alias("x"))
              .select(ROW, "repository", "owner", "x", F.sha2("x.value", 256).alias("hash"), (F.col("x.kind") != "bare").alias("is_base")))
     # both sides of this join come from files, so adaptive execution can split a value that many rows hold
     rated = found.join(stored(ownership(found)), "hash").withColumn("random", entropy_bits("x.value") >= limits.min_bits)
-    live = (F.col("random") & (F.col("n_owners") <= limits.max_owners) & (F.col("n_repositories") <= limits.max_repositories))
-    rated = rated.withColumn("live", live).where(F.col("is_base") | F.col("live"))
-    per_row = rated.groupBy(ROW).agg(
+    live = F.col("random") & (F.col("n_owners") <= limits.max_owners) & (F.col("n_repositories") <= limits.max_repositories)
+    return rated.withColumn("live", live).where(F.col("is_base") | F.col("live")).groupBy(ROW).agg(
         F.collect_list(F.when(~F.col("is_base"), F.col("x"))).alias("added"),
         F.sum(F.col("live").cast("long")).alias("n_live"), F.sum((~F.col("live")).cast("long")).alias("n_copied"))
-    out = rows.join(per_row, ROW, "left").withColumns({
+
+
+def scanned(docs: DataFrame, limits: Limits = Limits(), key: str = "doc_id", repository: str = "doc_id", owner: str = "source") -> DataFrame:
+    """One row per row of ``docs``: key, base counts and digest, all spans, and how many are live or copied."""
+    rows = with_row_id(docs.select(F.col(key).alias("key"), F.col(repository).alias("repository"), F.col(owner).alias("owner"), "text"))
+    rows = stored(candidates(rows))
+    out = rows.join(added_spans(rows, limits), ROW, "left").withColumns({
         "base": F.concat("assign", "access", "hex"), "all": F.concat("assign", "access", "hex", F.coalesce("added", F.expr("slice(assign, 1, 0)")))})
     return out.select(F.col("key").alias(key), *[F.size(k).cast("long").alias(f"n_{k}") for k, *_ in BASE_KINDS],
-                      F.sha2(span_text("base", order), 256).alias("base_sha256"), span_text("all", order).alias("spans"),
-                      F.coalesce("n_live", F.lit(0)).alias("n_live"), F.coalesce("n_copied", F.lit(0)).alias("n_copied"),
-                      *[F.col(f"_in{i}") for i in range(len(keep))])
+                      F.sha2(span_text("base", ORDER), 256).alias("base_sha256"), span_text("all", ORDER).alias("spans"),
+                      F.coalesce("n_live", F.lit(0)).alias("n_live"), F.coalesce("n_copied", F.lit(0)).alias("n_copied"))
 
 
-def redacted(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
-    """``docs`` with every found span replaced by a marker; rows, columns and their order stay.
+def redacted(docs: DataFrame, limits: Limits = Limits(), repository: str = "doc_id", owner: str = "source") -> DataFrame:
+    """``docs`` with every found span replaced by a marker; rows, columns and their order stay, ``n_chars`` follows the text.
 
-    Overlapping spans become one marker.
+    Overlapping spans become one marker. Only candidates and row identities are stored: base spans are found again in the texts,
+    added ones come by identity, for the few rows that have any.
     """
     names = docs.columns
-    out = scanned(docs, limits, keep=tuple(c for c in names if c != "text") + ("text",))
-    text = F.col(f"_in{len(names) - 1}")
-    out = out.withColumn("_text", text).withColumn("_cuts", F.expr("""sort_array(transform(CASE WHEN spans = '' THEN array() ELSE split(spans, ',') END,
-        x -> struct(int(split_part(x, ':', 2)) AS a, int(split_part(x, ':', 3)) AS b)))"""))
-    cleaned = F.expr("""aggregate(_cuts, struct('' AS t, 0 AS at), (s, c) -> CASE WHEN c.a < s.at THEN struct(s.t AS t, greatest(s.at, c.b) AS at)
-        ELSE struct(concat(s.t, substring(_text, s.at + 1, c.a - s.at), '[SECRET]') AS t, c.b AS at) END, s -> concat(s.t, substring(_text, s.at + 1)))""")
-    out = out.withColumn("_text", F.when(F.size("_cuts") == 0, F.col("_text")).otherwise(cleaned))
-    at = {c: F.col(f"_in{i}") for i, c in enumerate(c for c in names if c != "text")} | {"text": F.col("_text")}
+    slim = identified(docs).select("_a", "_b", F.col(repository).alias("repository"), F.col(owner).alias("owner"), "text")
+    rows = stored(candidates(with_row_id(slim)).where("size(assign) + size(access) + size(hex) + size(bare) > 0"))
+    added = added_spans(rows, limits).where("size(added) > 0")
+    named = stored(rows.select(ROW, "_a", "_b").join(added, ROW).select("_a", "_b", "added").dropDuplicates(["_a", "_b"]))
+    # clashing names stay apart inside one struct
+    out = identified(docs).select("_a", "_b", F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), "text")
+    out = out.join(named, ["_a", "_b"], "left").withColumn("_text", F.coalesce("text", F.lit("")))
+    out = out.withColumns({k: matches("_text", k, p, g, n) for k, p, g, n in BASE_KINDS})
+    out = out.withColumn("_cuts", F.expr("""sort_array(transform(concat(assign, access, hex, coalesce(added, slice(assign, 1, 0))), x -> struct(x.start AS a, x.end AS b)))"""))
+    cleaned = F.expr("""aggregate(_cuts, struct(cast(array() AS array<string>) AS t, 0 AS at), (s, c) -> CASE WHEN c.a < s.at THEN struct(s.t AS t, greatest(s.at, c.b) AS at)
+        ELSE struct(concat(s.t, array(substring(_text, s.at + 1, c.a - s.at), '[SECRET]')) AS t, c.b AS at) END, s -> array_join(concat(s.t, array(substring(_text, s.at + 1))), ''))""")
+    out = out.withColumn("_new", F.when(F.size("_cuts") > 0, cleaned))
+    at = {c: F.col(f"_row.`{c}`") for c in names} | {"text": F.coalesce("_new", "_row.text")}
     if "n_chars" in at:
-        at["n_chars"] = F.when(F.size("_cuts") == 0, at["n_chars"]).otherwise(F.char_length("_text").cast("long"))
+        at["n_chars"] = F.coalesce(F.char_length("_new").cast("long"), at["n_chars"])
     return out.select(*[at[c].alias(c) for c in names])

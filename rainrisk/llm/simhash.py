@@ -19,7 +19,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from rainrisk.llm.common import ROW, stored, with_row_id
+from rainrisk.llm.common import found_again, identified, stored
 from rainrisk.llm.graph import components
 
 BITS, MAX_BITS = 64, 2
@@ -100,9 +100,13 @@ def near_duplicates(docs: DataFrame, width: int = 3, seed: int = 42, key: str =
 
 
 def one_per_group(docs: DataFrame, width: int = 3, seed: int = 42, key: str = "doc_id") -> DataFrame:
-    """``docs`` with one row of each component: one whose key is the component's, any where no row has a key."""
-    names = docs.columns
-    rows = stored(with_fingerprints(with_row_id(docs), width, seed, (key, ROW, *names)))
-    first = rows.select("fp", "_in0", F.col("_in1").alias(ROW)).join(labels(rows), "fp").where(F.col("_in0").eqNullSafe(F.col("component_id")))
-    winners = stored(first.groupBy("root").agg(F.min(ROW).alias("_in1")).select("_in1"))
-    return rows.join(winners, "_in1", "left_semi").select(*[F.col(f"_in{i + 2}").alias(c) for i, c in enumerate(names)])
+    """``docs`` with one row of each component: one whose key is the component's, any where no row has a key.
+
+    Only fingerprints and row identities are stored; the texts are read again and move once at most.
+    """
+    tagged = identified(docs).select("_a", "_b", F.col(key).alias("_key"), F.col("text"))
+    rows = stored(with_fingerprints(tagged, width, seed, ("_key", "_a", "_b")))
+    first = rows.join(labels(rows), "fp").where(F.col("_in0").eqNullSafe(F.col("component_id")))
+    same = first.groupBy("root", F.col("_in1").alias("_a"), F.col("_in2").alias("_b")).agg(F.count(F.lit(1)).alias("_n"))
+    winners = stored(same.groupBy("root").agg(F.min(F.struct("_a", "_b", "_n")).alias("w")).select("w.*"))
+    return found_again(docs, winners)
