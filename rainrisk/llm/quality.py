@@ -1,7 +1,7 @@
 """Quality rules by distribution divergence, in DataFrame functions only.
 
 A document is compared with the reference of its language: a histogram of character classes and one of
-common words. References are the summed histograms of all documents of the language that pass the
+common words and all others. References are the summed histograms of all documents of the language that pass the
 base rules, so they follow the corpus. The distance is the square root of the Jensen-Shannon
 divergence in bits (0 equal, 1 disjoint). Short histograms say little, so a distance only counts from a minimum length on.
 
@@ -35,10 +35,11 @@ class Limits:
     """Production values. Distances above these reject; histograms below these sizes are not judged."""
 
     char_distance: float = 0.28
-    word_distance: float = 0.75
+    word_distance: float = 0.26
     min_chars: int = 200
     min_words: int = 50
-    min_common: int = 60
+    #: words from which on the word distance counts; how many of them are common ones does not matter
+    min_judged: int = 100
 
 
 #: Hashes of the 3-word windows. Where none repeats, no window does; elsewhere the hashes get their position into the low
@@ -94,10 +95,10 @@ def common_string(found: str) -> Column:
 
 
 def word_histogram(bars: str, lang: str) -> Column:
-    """Counts of the language's common words; null without a word list."""
+    """Counts of all other words, then of the language's common ones; null without a word list. Needs the base columns."""
     def counts(ws: list[str]) -> Column:
         each = [((F.octet_length(bars) - F.octet_length(F.replace(F.col(bars), F.lit(f"|{w}|"), F.lit("")))) / len(f"|{w}|".encode())).cast("long") for w in ws]
-        return F.array(*each)
+        return F.array(F.col("n_words") - sum(each[1:], each[0]), *each)
 
     pick = F.lit(None).cast("array<bigint>")
     for code, ws in COMMON_WORDS.items():
@@ -133,16 +134,15 @@ def _references(rows: DataFrame) -> DataFrame:
     """Summed histograms per language with a word list: as many rows at most."""
     good = rows.where(~F.col("base_failed") & F.col("_of").isin(list(COMMON_WORDS)))
     return stored(good.groupBy(F.col("_of").alias("_lang")).agg(
-        _sums("_chars", N_CLASSES).alias("_ref_chars"), _sums("_common", max(map(len, COMMON_WORDS.values()))).alias("_ref_common")))
+        _sums("_chars", N_CLASSES).alias("_ref_chars"), _sums("_common", 1 + max(map(len, COMMON_WORDS.values()))).alias("_ref_common")))
 
 
 def _compared(rows: DataFrame, references: DataFrame, limits: Limits) -> DataFrame:
     out = rows.join(F.broadcast(references), F.col("_of") == F.col("_lang"), "left")
     zero = F.lit(0).cast("long")
-    n_common = F.aggregate(F.coalesce("_common", F.array().cast("array<bigint>")), zero, lambda a, x: a + x)
     judge = (F.aggregate("_chars", zero, lambda a, x: a + x) >= limits.min_chars) & (F.col("n_words") >= limits.min_words)
     out = out.withColumns({"char_distance": F.when(judge, js_distance("_chars", "_ref_chars")),
-                           "word_distance": F.when(judge & (n_common >= limits.min_common), js_distance("_common", "_ref_common"))})
+                           "word_distance": F.when(judge & (F.col("n_words") >= limits.min_judged), js_distance("_common", "_ref_common"))})
     return out.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("char_distance") <= limits.char_distance, F.lit(True))
                           & F.coalesce(F.col("word_distance") <= limits.word_distance, F.lit(True)))
 

@@ -1,6 +1,7 @@
 """Quality rules against a plain count."""
 
 import collections
+import random
 import re
 
 import pytest
@@ -84,3 +85,25 @@ def test_passing_keeps_columns(spark, docs):
 def test_empty(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert quality.judged(empty).count() == 0 and quality.passing(empty).count() == 0
+
+
+def test_words_without_prose_are_judged(spark):
+    """Word tables and texts of another language go although they hold no common words; prose and short texts stay."""
+    rnd = random.Random(2)
+    word = lambda: "".join(rnd.choices("bcdfghklmnprst", k=3)) + rnd.choice("aeiou")
+    text = lambda code, n: " ".join(rnd.choice(quality.COMMON_WORDS[code]) if code and i % 4 == 0 else word() for i in range(n))
+    tables, foreign, english = [text(None, 300) for _ in range(3)], text("de", 300), [text("en", 240) for _ in range(19)]
+    rows = [*enumerate(english), *((100 + i, t) for i, t in enumerate(tables)), (200, foreign), (300, " ".join(tables[0].split()[:90]))]
+    got = {r["doc_id"]: r for r in quality.judged(spark.createDataFrame([(i, t, "en", "s") for i, t in rows], SCHEMA)).collect()}
+    assert not any(r["base_failed"] for r in got.values())
+    for i in (100, 101, 102, 200):
+        assert got[i]["word_distance"] > quality.Limits().word_distance and not got[i]["kept"]
+    assert all(got[i]["kept"] for i in range(19)) and got[300]["word_distance"] is None
+
+
+def test_limits_on_labelled_rows(spark):
+    """Judged texts of quality 0 go, those of quality 1 stay."""
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    got = quality.judged(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).join(labels, "doc_id").where("word_distance IS NOT NULL AND NOT base_failed")
+    counts = {(r["quality"], r["word_distance"] <= quality.Limits().word_distance) for r in got.collect()}
+    assert counts == {(0, False), (1, True)}
