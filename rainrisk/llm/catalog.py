@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rainrisk.llm import mixing, packing, private, quality, scoring, secrets, sharding, simhash, vectors, warc
+from rainrisk.llm import merkle, mixing, packing, private, quality, scoring, secrets, sharding, simhash, vectors, warc
 from rainrisk.llm.common import table
 
 
@@ -48,11 +48,16 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.derived(warc.responses(table(spark, sf_dir, "pages")))
 
 
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    third = F.crc32(F.col("doc_id").cast("string")) % 3 == 0
+    return merkle.proven(table(spark, sf_dir, "documents"), claimed=merkle.tampered(third))
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-QUERIES = {f.__name__: f for f in (op1_scoring, op2_mixing, op3_private, op4_quality, op5_simhash, op6_vectors, op7_sharding, op8_packing, op9_secrets, op10_warc)}
+QUERIES = {f.__name__: f for f in (op1_scoring, op2_mixing, op3_private, op4_quality, op5_simhash, op6_vectors, op7_sharding, op8_packing, op9_secrets, op10_warc, op12_merkle)}
 SQL: dict[str, str] = {}

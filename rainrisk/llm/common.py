@@ -11,10 +11,13 @@ ROW = "_row_id"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder that driver and executors share: the session's checkpoint folder, a new one only where none is set."""
+    """Folder that driver and executors share: the session's checkpoint folder. Only a local master takes a new one where none is set."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="llm-checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="llm-checkpoint-"))
     return context.getCheckpointDir()
 
 
