@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rainrisk.llm import merkle, mixing, packing, private, quality, scoring, secrets, sharding, simhash, vectors, warc
 from rainrisk.llm.common import table
+from rainrisk.llm.sql import SQL  # noqa: F401  the entry point takes it from here
 
 
 def op3_private(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,4 +61,3 @@ def tokenizer_path() -> str:
 
 
 QUERIES = {f.__name__: f for f in (op1_scoring, op2_mixing, op3_private, op4_quality, op5_simhash, op6_vectors, op7_sharding, op8_packing, op9_secrets, op10_warc, op12_merkle)}
-SQL: dict[str, str] = {}
