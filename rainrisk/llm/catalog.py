@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rainrisk.llm import merkle, mixing, packing, private, quality, scoring, secrets, sharding, simhash, vectors, warc
+from rainrisk.llm import merkle, mixing, packing, private, quality, scoring, secrets, sharding, simhash, trie, vectors, warc
 from rainrisk.llm.common import table
 from rainrisk.llm.sql import SQL  # noqa: F401  the entry point takes it from here
 
@@ -54,10 +54,14 @@ def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.proven(table(spark, sf_dir, "documents"), claimed=merkle.tampered(third))
 
 
+def op13_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.trie(table(spark, sf_dir, "conversations"))
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-QUERIES = {f.__name__: f for f in (op1_scoring, op2_mixing, op3_private, op4_quality, op5_simhash, op6_vectors, op7_sharding, op8_packing, op9_secrets, op10_warc, op12_merkle)}
+QUERIES = {f.__name__: f for f in (op1_scoring, op2_mixing, op3_private, op4_quality, op5_simhash, op6_vectors, op7_sharding, op8_packing, op9_secrets, op10_warc, op12_merkle, op13_trie)}

@@ -59,4 +59,24 @@ FROM ways w JOIN heights g USING (k) JOIN outer_nodes t ON t.n = 1 JOIN inner_no
 JOIN folds f ON f.r = w.r AND f.step = g.up + t.level LEFT JOIN proofs p ON p.r = w.r
 """
 
-SQL = {"op12_merkle": MERKLE}
+TRIE = f"""
+WITH own AS (
+    SELECT conv_id, list({{'r': coalesce(role, ''), 't': coalesce(text, '')}} ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS seq
+    FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+built AS (
+    SELECT o.conv_id, list_concat(coalesce(b.seq, [])[1:h], o.seq[h + 1:]) AS seq
+    FROM (SELECT *, {crc32('conv_id')} % 9 AS h FROM own) o LEFT JOIN own b ON b.conv_id = o.conv_id - o.conv_id % 5),
+nodes AS (
+    SELECT d, seq[1:d] AS key, min(conv_id) AS conv_id, count(*) AS n_convs,
+        sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (d = len(seq)), '')) AS ends_sha256
+    FROM (SELECT *, unnest(range(0, len(seq) + 1)) AS d FROM built) GROUP BY ALL),
+kids AS (SELECT d - 1 AS d, key[1:d - 1] AS key, count(*) AS n_children FROM nodes WHERE d > 0 GROUP BY ALL),
+valued AS (SELECT nodes.*, coalesce(n_children, 0) AS n_children, coalesce((n_convs - 1) * strlen(key[d].t), 0) AS own FROM nodes LEFT JOIN kids USING (d, key)),
+sums AS (
+    SELECT a AS d, key[1:a] AS key, sum(own)::BIGINT AS saved_tokens, count(*) FILTER (n_children = 0) AS n_leaves
+    FROM (SELECT *, unnest(range(0, d + 1)) AS a FROM valued) GROUP BY ALL)
+SELECT v.conv_id, d AS depth, p.conv_id AS parent_conv_id, v.n_convs, v.n_children, n_leaves, saved_tokens, v.ends_sha256
+FROM valued v JOIN sums USING (d, key) LEFT JOIN nodes p ON p.d = v.d - 1 AND p.key = v.key[1:v.d - 1]
+"""
+
+SQL = {"op12_merkle": MERKLE, "op13_trie": TRIE}
