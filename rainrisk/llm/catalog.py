@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rainrisk.llm import merkle, mixing, packing, private, quality, scoring, secrets, sharding, simhash, trie, vectors, warc
+from rainrisk.llm import merkle, mixing, packing, private, quality, scoring, secrets, sharding, simhash, spotsigs, trie, vectors, warc
 from rainrisk.llm.common import table
 from rainrisk.llm.sql import SQL  # noqa: F401  the entry point takes it from here
 
@@ -49,6 +49,10 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.derived(warc.responses(table(spark, sf_dir, "pages")))
 
 
+def op11_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.fingerprinted(table(spark, sf_dir, "documents"))
+
+
 def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     third = F.crc32(F.col("doc_id").cast("string")) % 3 == 0
     return merkle.proven(table(spark, sf_dir, "documents"), claimed=merkle.tampered(third))
@@ -64,4 +68,4 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-QUERIES = {f.__name__: f for f in (op1_scoring, op2_mixing, op3_private, op4_quality, op5_simhash, op6_vectors, op7_sharding, op8_packing, op9_secrets, op10_warc, op12_merkle, op13_trie)}
+QUERIES = {f.__name__: f for f in (op1_scoring, op2_mixing, op3_private, op4_quality, op5_simhash, op6_vectors, op7_sharding, op8_packing, op9_secrets, op10_warc, op11_spotsigs, op12_merkle, op13_trie)}
