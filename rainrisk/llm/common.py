@@ -49,15 +49,18 @@ def with_row_id(df: DataFrame) -> DataFrame:
 
 
 def identified(df: DataFrame) -> DataFrame:
-    """Add ``_a`` and ``_b``, 128 bits of hash over all columns: equal rows share them, so texts need not be stored to be found again."""
-    cols = [F.col(f"`{f.name}`") for f in df.schema if not f.dataType.simpleString().startswith("map")]
+    """``_row``, all columns as one struct, with ``_a`` and ``_b``, 128 bits of hash over them: equal rows share these, so texts need not be stored to be found again.
+
+    Inside the struct the columns of ``df`` may have any names. What has maps inside is hashed by its JSON text.
+    """
+    cols = [F.to_json(F.struct(F.col(f"`{f.name}`").alias("x"))) if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`") for f in df.schema]
     # a null hashes like nothing at all, so its place is hashed too
     blanks = F.concat(*[F.when(c.isNull(), "1").otherwise("0") for c in cols])
-    return df.withColumns({"_a": F.xxhash64(F.lit(1), blanks, *cols), "_b": F.xxhash64(F.lit(2), *reversed(cols), blanks)})
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), F.xxhash64(F.lit(1), blanks, *cols).alias("_a"), F.xxhash64(F.lit(2), *reversed(cols), blanks).alias("_b"))
 
 
 def found_again(docs: DataFrame, marked: DataFrame) -> DataFrame:
-    """Rows of ``docs`` that ``marked`` (one row per identity: _a, _b, _n equal rows, further columns) names, each identity once."""
+    """``_row`` of the rows of ``docs`` that ``marked`` (one row per identity: _a, _b, _n equal rows, further columns) names, each identity once, with the further columns."""
     tagged = identified(docs)
     out = tagged.join(marked.where("_n = 1"), ["_a", "_b"])
     several = marked.where("_n > 1")

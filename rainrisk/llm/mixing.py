@@ -137,8 +137,8 @@ def repeated(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
 
     Empty documents carry no words and are left out as well. The plan is made on row identities; texts are read again and move once at most.
     """
-    slim = identified(docs).select("_a", "_b", F.col("source"), F.col("text"))
+    slim = identified(docs).select("_a", "_b", "_row.source", "_row.text")
     takes = mixed(slim, mix, ("_a", "_b")).groupBy(F.col("_in0").alias("_a"), F.col("_in1").alias("_b")).agg(
         F.count(F.lit(1)).alias("_n"), F.sum(F.expr("taken div greatest(size, 1)")).alias("_takes"))
     out = found_again(docs, stored(takes.where("_takes > 0")))
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_takes")))).select(*docs.columns)
+    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_takes")))).select("_row.*")

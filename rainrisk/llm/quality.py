@@ -162,8 +162,8 @@ def passing(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
 
     Only row identities and small histograms are stored; the texts are read again and move once at most.
     """
-    slim = identified(docs).select("_a", "_b", "text", "lang")
+    slim = identified(docs).select("_a", "_b", "_row.text", "_row.lang")
     rows = stored(_measured(slim, ("_a", "_b")))
     kept = stored(_compared(rows, _references(rows), limits).where("kept").select(F.col("_in0").alias("_a"), F.col("_in1").alias("_b")).distinct())
     # equal rows share their verdict, so a semi join keeps all of them
-    return identified(docs).join(kept, ["_a", "_b"], "left_semi").select(*docs.columns)
+    return identified(docs).join(kept, ["_a", "_b"], "left_semi").select("_row.*")

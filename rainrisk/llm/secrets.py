@@ -109,13 +109,11 @@ def redacted(docs: DataFrame, limits: Limits = Limits(), repository: str = "doc_
     added ones come by identity, for the few rows that have any.
     """
     names = docs.columns
-    slim = identified(docs).select("_a", "_b", F.col(repository).alias("repository"), F.col(owner).alias("owner"), "text")
+    slim = identified(docs).select("_a", "_b", F.col(f"_row.`{repository}`").alias("repository"), F.col(f"_row.`{owner}`").alias("owner"), "_row.text")
     rows = stored(candidates(with_row_id(slim)).where("size(assign) + size(access) + size(hex) + size(bare) > 0"))
     added = added_spans(rows, limits).where("size(added) > 0")
     named = stored(rows.select(ROW, "_a", "_b").join(added, ROW).select("_a", "_b", "added").dropDuplicates(["_a", "_b"]))
-    # clashing names stay apart inside one struct
-    out = identified(docs).select("_a", "_b", F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), "text")
-    out = out.join(named, ["_a", "_b"], "left").withColumn("_text", F.coalesce("text", F.lit("")))
+    out = identified(docs).join(named, ["_a", "_b"], "left").withColumn("_text", F.coalesce("_row.text", F.lit("")))
     out = out.withColumns({k: matches("_text", k, p, g, n) for k, p, g, n in BASE_KINDS})
     out = out.withColumn("_cuts", F.expr("""sort_array(transform(concat(assign, access, hex, coalesce(added, slice(assign, 1, 0))), x -> struct(x.start AS a, x.end AS b)))"""))
     cleaned = F.expr("""aggregate(_cuts, struct(cast(array() AS array<string>) AS t, 0 AS at), (s, c) -> CASE WHEN c.a < s.at THEN struct(s.t AS t, greatest(s.at, c.b) AS at)

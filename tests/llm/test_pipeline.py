@@ -12,7 +12,7 @@ from rainrisk.llm.common import table
 from tests.llm.test_mixing import plain_targets
 from tests.llm.test_quality import plain as base_rules
 from tests.llm.test_secrets import plain as base_secrets
-from tests.llm.test_simhash import groups, plain as fingerprint
+from tests.llm.test_similar import wanted as similar_groups
 
 SF = "/root/testdata/sf0.001"
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -37,7 +37,8 @@ def histograms(r):
     marks = len(re.findall(r"[.,;:!?'()\-]", t))
     chars = [upper, digit, marks, len(t) - base[1], base[2]]
     words = collections.Counter(w for w in re.findall(r"[^\x20\x09-\x0D]+", t.lower()))
-    return base, chars + [len(t) - sum(chars)], [words[w] for w in quality.COMMON_WORDS.get(r["lang"], [])]
+    common = [words[w] for w in quality.COMMON_WORDS.get(r["lang"], [])]
+    return base, chars + [len(t) - sum(chars)], [base[0] - sum(common), *common]
 
 
 def distance(p, q):
@@ -58,7 +59,7 @@ def test_quality_stage(stages):
     for d, (base, chars, words) in all_.items():
         judge = lang[d] in reference and sum(chars) >= limits.min_chars and base[0] >= limits.min_words
         c = distance(chars, reference[lang[d]][0]) if judge else None
-        w = distance(words, reference[lang[d]][1]) if judge and sum(words) >= limits.min_common else None
+        w = distance(words, reference[lang[d]][1]) if judge and base[0] >= limits.min_judged else None
         if not base[5] and (c is None or c <= limits.char_distance) and (w is None or w <= limits.word_distance):
             want.add(d)
     assert {r["doc_id"] for r in kept} == want and len(kept) == len(want) < len(docs)
@@ -67,10 +68,7 @@ def test_quality_stage(stages):
 
 def test_near_dedup_stage(stages):
     docs, kept, columns = stages[1]
-    prints = {r["doc_id"]: fingerprint(r["text"]) for r in docs}
-    ids = sorted(prints)
-    close = [(a, b) for i, a in enumerate(ids) for b in ids[i + 1:] if (prints[a] ^ prints[b]).bit_count() <= 2]
-    assert columns == COLUMNS and sorted(r["doc_id"] for r in kept) == sorted(set(groups(ids, close).values()))
+    assert columns == COLUMNS and sorted(r["doc_id"] for r in kept) == similar_groups([(r["doc_id"], r["text"]) for r in docs])
     assert {tuple(r) for r in kept} <= {tuple(r) for r in docs}
 
 
@@ -117,6 +115,13 @@ def test_packing_stage(stages):
         assert sum(n for _, n, _ in own) == copies[d] * own[0][2]
 
 
+def test_no_rows(spark):
+    docs = table(spark, SF, "documents").where("false")
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, SF)
+    assert docs.count() == 0
+
+
 def test_run(spark, stages):
     out = corpus_pipeline.run(spark, SF)
     assert out.columns == stages[4][2] and out.count() == len(stages[4][1])
@@ -130,5 +135,7 @@ def test_queries_cover_their_table(spark, name):
         assert df.select("doc_id").distinct().count() == table(spark, SF, "documents").count()
     elif name == "op10_warc":
         assert n == 2 * table(spark, SF, "pages").count()
+    elif name == "op13_trie":
+        assert df.where("depth = 0").first()["n_convs"] == table(spark, SF, "conversations").select("conv_id").distinct().count()
     else:
         assert n == table(spark, SF, "embeddings" if name == "op6_vectors" else "documents").count()

@@ -85,18 +85,6 @@ def test_crowded_keys_lose_no_link(spark, crowd):
     assert groups(signed, [tuple(r) for r in links]) == groups(signed, close)
 
 
-def test_one_per_group(spark):
-    rows = list(enumerate(texts())) + [(9, texts()[9]), (None, texts()[8]), (None, None)]
-    docs = spark.createDataFrame(rows, SCHEMA).withColumns({"fp": F.lit(1), "root": F.lit("r"), "n_chars": F.length("text")})
-    got = simhash.one_per_group(docs)
-    assert got.columns == docs.columns
-    prints = {i: plain(t) for i, t in rows if i is not None}
-    ids = sorted(prints)
-    want = set(groups(ids, [(a, b) for a in ids for b in ids if a < b and (prints[a] ^ prints[b]).bit_count() <= 2]).values())
-    kept = [r["doc_id"] for r in got.collect()]
-    assert sorted(kept) == sorted(want)
-
-
 def test_components(spark):
     rnd = np.random.default_rng(3)
     chain = [(i, i + 1) for i in range(0, 300)]
@@ -114,5 +102,5 @@ def test_components(spark):
 
 def test_empty(spark):
     empty = spark.createDataFrame([], SCHEMA)
-    assert simhash.near_duplicates(empty).count() == 0 and simhash.one_per_group(empty).count() == 0
+    assert simhash.near_duplicates(empty).count() == 0
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
