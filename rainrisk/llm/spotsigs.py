@@ -5,7 +5,8 @@ words, each further word is an anchor, so texts without common words have signat
 of its signatures, so equal texts have equal fingerprints, and boilerplate without running prose adds little to it.
 
 Fingerprints are compared by Jaccard similarity. ``near_duplicates`` partitions them by set length, so that similar
-sets lie in one partition or in neighbouring ones, and compares only those that meet by a rare signature; the comparison ends as soon as the sets cannot be similar enough any more.
+sets lie in one partition or in neighbouring ones, and compares only those that
+meet by a rare signature and whose shared signatures can reach the limit. ``likeness`` ends as soon as two sets cannot be similar enough any more.
 
 Defined cases: null, empty and blank texts have the empty fingerprint; two empty sets are alike (1), an empty and another one are not (0). A text with
 words but no signature has one signature of all its words. Rows are ordered by ``doc_id`` (null first), ties by text; the row after the last one is the first,
@@ -15,6 +16,7 @@ so a single row is its own next. Repeated rows are rows of their own. Other colu
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,8 +27,11 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window, functions as F
 
 from rainrisk.llm.common import stored
+from rainrisk.llm.graph import components
 from rainrisk.llm.quality import COMMON_WORDS
 from rainrisk.llm.simhash import LOWER
+from rainrisk.llm.similar import links
+from rainrisk.operators.scale import attach
 
 ANCHORS = frozenset(w.encode() for ws in COMMON_WORDS.values() for w in ws)
 PUNCTUATION = b".,;:!?'\"()[]{}-"
@@ -155,3 +160,40 @@ def fingerprinted(docs: DataFrame, how: Spots = Spots(), key: str = "doc_id", pa
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
     return ordered.mapInArrow(batches, schema)
+
+
+def sets(docs: DataFrame, how: Spots, key: str) -> DataFrame:
+    """(key, cls, sigs): the signatures of every row, and the class of rows with equal ones."""
+    rows = docs.select(F.col(key).alias("key"), "text")
+    kind = docs.schema[key].dataType.simpleString()
+
+    def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            found = [signatures(t.as_py(), how) for t in part.column(1)]
+            cls = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in found], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(cls), pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64()))], names=["key", "cls", "sigs"])
+
+    return rows.mapInArrow(batches, f"key {kind}, cls long, sigs array<bigint>")
+
+
+def near_duplicates(docs: DataFrame, tenths: int = 8, how: Spots = Spots(), key: str = "doc_id") -> DataFrame:
+    """Key and component_id of every row: the smallest key reachable over pairs with a Jaccard similarity of ``tenths`` or more.
+
+    Set lengths are cut into partitions so wide that similar sets lie in the same or in neighbouring ones; a set stands in its own partition and the next.
+    Inside a partition sets meet by the rarest of their signatures: as many as leave too few others for the limit, so that no pair is missed.
+    """
+    rows = stored(sets(docs, how, key))
+    classes = stored(rows.groupBy("cls").agg(F.first("sigs").alias("hashes")))
+    each = classes.select("cls", F.size("hashes").alias("n"), F.explode("hashes").alias("sig"))
+    counts = stored(each.groupBy("sig").agg(F.count(F.lit(1)).alias("m")))
+    # what only one class holds meets nobody, but counts as rare
+    rated = attach(each, counts, ["sig"], "inner").groupBy("cls", "n").agg(F.array_sort(F.collect_list(F.struct("m", "sig"))).alias("s"))
+    rare = F.slice("s", 1, F.col("n") - F.ceil(F.col("n") * tenths / 10).cast("int") + 1)
+    part = F.floor(F.log(F.col("n").cast("double")) / math.log(10 / tenths) + 1e-9).cast("long")
+    places = rated.withColumns({"s": F.filter(rare, lambda x: x["m"] > 1), "p": part})
+    keyed = places.select("cls", "n", "p", F.explode("s").alias("x")).select("cls", "n", F.explode(F.array("p", F.col("p") + 1)).alias("p"), "x.sig")
+    keyed = stored(keyed.select("cls", "n", F.xxhash64("p", "sig").alias("k")))
+    found = components(links(keyed, lambda wanted: classes.join(wanted, "cls"), tenths)).withColumnRenamed("node", "cls")
+    placed = stored(rows.drop("sigs").join(found, "cls", "left").withColumn("root", F.coalesce("root", "cls")))
+    least = stored(placed.groupBy("root").agg(F.min("key").alias("component_id")))
+    return placed.join(least, "root").select(F.col("key").alias(key), "component_id")

@@ -6,6 +6,7 @@ import re
 import pytest
 
 from rainrisk.llm import catalog, spotsigs
+from tests.llm.test_simhash import groups
 
 SCHEMA = "doc_id long, text string, key string, part int, fingerprint string"
 
@@ -82,3 +83,26 @@ def test_pruned_likeness():
         true = jaccard(set(a.tolist()), set(b.tolist()))
         for least in (0.0, 0.5, 0.8):
             assert spotsigs.likeness(a, b, least) == (true if true >= least or not least else spotsigs.likeness(a, b, least)) and (true < least or spotsigs.likeness(a, b, least) == true)
+
+
+def test_near_duplicates(spark):
+    """Components of all pairs at or above the limit, lengths around the borders of partitions included."""
+    import random
+    rnd = random.Random(5)
+    content = lambda: "".join(rnd.choices("bcdfghklm", k=5))
+    texts = [None, "", "the", "the cat"]
+    for size in (5, 12, 40, 200):
+        base = [w for _ in range(size) for w in ("the", content(), content())]
+        for cut in range(0, 8):
+            w = base[:len(base) - 3 * (size * cut // 20)]
+            for _ in range(rnd.randrange(1 + size // 8)):
+                w = [*w, "of", content()] if rnd.random() < 0.5 else [x if rnd.random() > 0.02 else content() for x in w]
+            texts += [" ".join(w)] * rnd.choice([1, 2])
+    ids = list(range(len(texts)))
+    marks = [plain(t) for t in texts]
+    close = [(a, b) for a in ids for b in ids if a < b and jaccard(marks[a], marks[b]) >= 0.8]
+    want = groups(ids, close)
+    got = spotsigs.near_duplicates(spark.createDataFrame([(i, t, "k", 0, "f") for i, t in enumerate(texts)], SCHEMA)).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == want and len(got) == len(texts)
+    assert len(set(want.values())) < len(ids) - 10
+    assert spotsigs.near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
