@@ -189,6 +189,24 @@ def alerts_to_send(spark, sf):
     return alerts.ordered(out).select("ua_id", "hazard", "rd", "reason")
 
 
+YEARLY = {"p": "SELECT hazard, ua_id, date_trunc('year', ts)::TIMESTAMP AS cyc, MAX(rd) AS rd FROM history GROUP BY ALL", "c": "SELECT cyc, row_number() OVER (ORDER BY cyc) AS o FROM (SELECT DISTINCT cyc FROM p)",
+          "j": "SELECT hazard, ua_id, cyc, o, rd FROM p JOIN c USING (cyc) WHERE rd >= 3"}
+
+
+@query("STR-07", fx.sql_with("history", YEARLY, """SELECT hazard, ua_id, strftime(cyc, '%Y-%m-%d') AS cycle, rd, reason FROM (WITH RECURSIVE r AS (
+    SELECT hazard, ua_id, cyc, o, rd, rd AS level, cyc AS sent, 'new' AS reason FROM j WHERE NOT EXISTS (SELECT 1 FROM j b WHERE b.hazard = j.hazard AND b.ua_id = j.ua_id AND b.o = j.o - 1)
+    UNION ALL
+    SELECT hazard, ua_id, cyc, o, rd, CASE WHEN why IS NULL THEN level ELSE rd END, CASE WHEN why IS NULL THEN sent ELSE cyc END, why FROM (
+        SELECT j.hazard, j.ua_id, j.cyc, j.o, j.rd, r.level, r.sent, CASE WHEN j.rd > r.level THEN 'escalated' WHEN date_diff('hour', r.sent, j.cyc) >= 12000 THEN 'reminder' END AS why
+        FROM r JOIN j ON j.hazard = r.hazard AND j.ua_id = r.ua_id AND j.o = r.o + 1)) SELECT * FROM r) WHERE reason IS NOT NULL"""))
+def alert_log(spark, sf):
+    """All alerts of a backlog of cycles, judged in one pass."""
+    year = F.date_trunc("year", F.col("ts")).cast("timestamp").alias("cycle_at")
+    rows = fx.history(spark, sf).groupBy("hazard", "ua_id", year).agg(F.max("rd").alias("rd")).withColumn("source", F.lit("SATELLITE"))
+    out, _ = alerts.steps(rows, spark.createDataFrame([], "hazard string, ua_id long, level int, sent_at timestamp"), cooldown_h=12000)
+    return out.select("hazard", "ua_id", F.date_format("cycle_at", "yyyy-MM-dd").alias("cycle"), "rd", "reason")
+
+
 @query("SNK-07", fx.sql_with("points", {"a": "SELECT * FROM points WHERE rd >= 3", "t": "SELECT *, row_number() OVER (ORDER BY rd DESC, ac96h_mm DESC, ua_id, hazard) AS k FROM a"}, """SELECT printf('%d unit(s) at risk (RD>=3) - max RD%d', COUNT(*), MAX(rd)) AS subject, COUNT(*) AS n,
     (SELECT string_agg('- [' || ua_id || '] RD' || rd || ' (' || CASE rd WHEN 3 THEN 'Alerta' ELSE 'Alerta Máximo' END || ') | RA' || ra || ' | 24h=' || ac24h_mm || 'mm 96h=' || ac96h_mm || 'mm | ' || COALESCE(region_name, ''), chr(10) ORDER BY k) FROM t WHERE k <= 50)
     || CASE WHEN COUNT(*) > 50 THEN chr(10) || '... (+' || (COUNT(*)-50) || ' units)' ELSE '' END AS body FROM a"""))

@@ -1,16 +1,18 @@
 """Alert state per (channel, unit): new, escalated or due again; below the threshold it clears.
 
-The state is a table, one version per cycle. A step is a full outer join of the
-cycle with the last version, so a unit that vanishes also clears.
+``step`` judges one cycle. ``steps`` judges any number of cycles in one pass: the cycles get numbers, the rows of a unit are
+folded in their order, and a unit that misses a cycle has cleared. The stored state is a log of the units that a batch changed,
+with the whole state from time to time, so what a batch writes follows its changes and not the units in alert.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..constants import ALERTS
+from ..sources.tables import exists
 
 KEYS = ["hazard", "ua_id"]
 STATE_SCHEMA = "hazard string, ua_id string, level int, sent_at timestamp"
@@ -41,33 +43,92 @@ def ordered(alerts: DataFrame) -> DataFrame:
     return alerts.orderBy(F.col("rd").desc(), F.coalesce("ac96h_mm", F.lit(0.0)).desc(), "ua_id", "hazard")
 
 
-def read_state(spark: SparkSession, root: str, version: int) -> DataFrame:
-    if version < 0:
+def steps(points: DataFrame, state: DataFrame, threshold: int = ALERTS["threshold"], cooldown_h: int = ALERTS["cooldown_h"],
+          channel: str | None = None, at: str = "cycle_at") -> tuple[DataFrame, DataFrame]:
+    """(rows to send with ``reason``, changed units with ``cleared``) after all cycles of ``points``; the same as one ``step`` after the other.
+
+    A unit's array holds one entry for each of its cycles in ``points``. Several rows of a unit in one cycle count as its worst one.
+    """
+    judged = points.where(F.col("rd").isNotNull() & (F.coalesce("source", F.lit("")) != "NO_DATA") & (F.col("rd") >= threshold))
+    if channel:
+        judged = judged.where(F.col("hazard") == channel)
+    # one row for each cycle time
+    cycles = points.select(at).distinct().withColumn("_o", F.row_number().over(Window.orderBy(at)))
+    last = cycles.agg(F.max("_o")).scalar()
+    worst = judged.groupBy(*KEYS, at).agg(F.max("rd").cast("int").alias("rd")).join(cycles, at)
+    seen = worst.groupBy(*KEYS).agg(F.array_sort(F.collect_list(F.struct("_o", F.col(at).alias("at"), "rd"))).alias("_seen"))
+    both = seen.join(state, KEYS, "full")
+
+    def judge(acc: Column, x: Column) -> Column:
+        alive = acc["level"].isNotNull() & (x["_o"] == acc["o"] + 1)
+        due = F.unix_timestamp(x["at"]) - F.unix_timestamp(acc["sent"]) >= cooldown_h * 3600
+        reason = F.when(~alive, F.lit("new")).when(x["rd"] > acc["level"], F.lit("escalated")).when(due, F.lit("reminder"))
+        fire = reason.isNotNull()
+        return F.struct(x["_o"].alias("o"), F.when(fire, x["rd"]).otherwise(acc["level"]).alias("level"), F.when(fire, x["at"]).otherwise(acc["sent"]).alias("sent"),
+                        F.when(fire, F.concat(acc["log"], F.array(F.struct(x["at"].alias("at"), x["rd"].alias("rd"), reason.alias("reason"))))).otherwise(acc["log"]).alias("log"))
+
+    start = F.struct(F.lit(0).alias("o"), F.col("level"), F.col("sent_at").alias("sent"), F.expr("CAST(array() AS array<struct<at: timestamp, rd: int, reason: string>>)").alias("log"))
+    seen_or_none = F.coalesce("_seen", F.expr("CAST(array() AS array<struct<_o: int, at: timestamp, rd: int>>)"))
+    folded = both.withColumn("_end", F.aggregate(seen_or_none, start, judge))
+    sent = folded.select(*KEYS, F.explode("_end.log").alias("_l")).select(*KEYS, F.col("_l.at").alias(at), F.col("_l.rd").alias("rd"), F.col("_l.reason").alias("reason"))
+    alerts = judged.join(sent, [*KEYS, at, "rd"]).dropDuplicates([*KEYS, at])
+    cleared = F.col("_end.o") < last
+    if channel:
+        cleared = cleared & (F.col("hazard") == channel)
+    changed = cleared | ~F.col("_end.level").eqNullSafe(F.col("level")) | ~F.col("_end.sent").eqNullSafe(F.col("sent_at"))
+    return alerts, folded.where(changed).select(*KEYS, F.col("_end.level").alias("level"), F.col("_end.sent").alias("sent_at"), cleared.alias("cleared"))
+
+
+LOG_SCHEMA = STATE_SCHEMA + ", cleared boolean, whole boolean, version bigint"
+
+
+def read_state(spark: SparkSession, root: str, before: int) -> DataFrame:
+    """State after all versions below ``before``: the newest entry of each unit since the last whole state."""
+    if not exists(spark, root):
         return spark.createDataFrame([], STATE_SCHEMA)
-    return spark.read.schema(STATE_SCHEMA).parquet(f"{root}/version={version}")
+    log = spark.read.schema(LOG_SCHEMA).parquet(root).where(F.col("version") < before)
+    base = log.where("whole").agg(F.max("version").alias("v")).first()["v"]
+    if base is not None:
+        log = log.where(F.col("version") >= base)
+    newest = log.where("hazard IS NOT NULL").groupBy(*KEYS).agg(F.max_by(F.struct("level", "sent_at", "cleared"), "version").alias("_s"))
+    return newest.where("NOT _s.cleared").select(*KEYS, "_s.level", "_s.sent_at")
 
 
-def run(spark: SparkSession, cycles: DataFrame, root: str, checkpoint: str, send: Callable[[DataFrame, int], None]):
-    """Run the steps over a stream of risk rows that carry their ``cycle_at``.
+def run(spark: SparkSession, cycles: DataFrame, root: str, checkpoint: str, send: Callable[[DataFrame, int], None], whole_every: int = 100):
+    """Judge a stream of risk rows that carry their ``cycle_at``; a micro-batch may hold any number of cycles.
 
-    A micro-batch may hold several cycles; they are applied in time order. The list
-    of cycle times in a batch is small (one per ten minutes). A replayed batch starts
-    from the version before it, so it gives the same alerts again.
+    Each batch writes the units it changed as its own version, every ``whole_every``-th one the whole state, after which older versions go. A replayed
+    batch starts from the versions before it, so it gives the same alerts again.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
-        from ..operators.scale import checkpointed
-
-        state = read_state(spark, root, batch_id - 1)
-        for row in batch.select("cycle_at").distinct().orderBy("cycle_at").toLocalIterator():
-            cycle = batch.where(F.col("cycle_at") == F.lit(row["cycle_at"]))
-            alerts, state = step(cycle, state, F.lit(row["cycle_at"]))
-            send(alerts, batch_id)
-            state = checkpointed(state)
-        state.write.mode("overwrite").parquet(f"{root}/version={batch_id}")
+        batch.persist()
+        state = read_state(spark, root, batch_id)
+        alerts, changes = steps(batch, state)
+        send(alerts, batch_id)
+        whole = batch_id % whole_every == whole_every - 1
+        if whole:
+            kept = state.join(changes, KEYS, "left_anti").withColumn("cleared", F.lit(False)).unionByName(changes.where("NOT cleared"))
+            # a row without a unit marks the version as whole even if no unit is in alert
+            mark = spark.range(1).select(*[F.lit(None).cast(t).alias(c) for c, t in kept.dtypes])
+            changes = kept.unionByName(mark)
+        changes.withColumn("whole", F.lit(whole)).write.mode("overwrite").parquet(f"{root}/version={batch_id}")
+        if whole:
+            remove_versions(spark, root, batch_id)
+        batch.unpersist()
 
     return (cycles.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
 
 
+def remove_versions(spark: SparkSession, root: str, before: int) -> None:
+    """Delete the versions of a state log below ``before``."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for status in fs.listStatus(path):
+        name = status.getPath().getName()
+        if name.startswith("version=") and int(name.partition("=")[2]) < before:
+            fs.delete(status.getPath(), True)
+
+
 def active_alerts(history: DataFrame, threshold: int = ALERTS["threshold"], ts: str = "ts", tie: str = "cycle_id") -> DataFrame:
     """Batch view of who is in alert: units whose newest cycle is at or above the threshold."""
     last = history.groupBy(*KEYS).agg(F.max_by(F.struct("rd", ts), F.struct(ts, tie)).alias("_l"))

@@ -160,6 +160,45 @@ def test_alert_stream_equals_steps(spark, tmp_path):
     assert sent == ["new", "escalated", "reminder"]
 
 
+def test_backlog_in_one_pass_equals_steps(spark, tmp_path):
+    """Many cycles in one batch, then more in further batches: the same alerts and state as one step after the other."""
+    import random
+
+    rnd = random.Random(3)
+    rows = [(T0 + timedelta(hours=h), z, f"u{u}", rnd.choice([2, 3, 3, 4, 4, None]), rnd.choice(["OK", "OK", "OK", "NO_DATA"]), float(h))
+            for h in range(60) for z in ("geo", "hidro") for u in range(6) if rnd.random() < 0.9]
+    want, state = [], {}
+    for h in range(60):
+        at = T0 + timedelta(hours=h)
+        live = {(z, u): rd for t, z, u, rd, s, _ in rows if t == at and rd and rd >= 3 and s != "NO_DATA"}
+        for key, rd in live.items():
+            old = state.get(key)
+            why = "new" if old is None else "escalated" if rd > old[0] else "reminder" if at - old[1] >= timedelta(hours=6) else None
+            if why:
+                want.append((*key, h, rd, why))
+                state[key] = (rd, at)
+        state = {k: v for k, v in state.items() if k in live}
+    src, root, chk, sent = *(str(tmp_path / n) for n in ("src", "root", "chk")), []
+    stream = lambda: spark.readStream.schema("cycle_at timestamp, hazard string, ua_id string, rd int, source string, ac96h_mm double").parquet(src)
+    send = lambda a, i: sent.extend((r.hazard, r.ua_id, int(r.ac96h_mm), r.rd, r.reason) for r in a.collect())
+    for lo, hi in ((0, 40), (40, 41), (41, 55), (55, 60)):
+        risk_rows(spark, [r for r in rows if T0 + timedelta(hours=lo) <= r[0] < T0 + timedelta(hours=hi)]).coalesce(1).write.mode("append").parquet(src)
+        alerts.run(spark, stream(), root, chk, send, whole_every=3).awaitTermination()
+    assert sorted(sent) == sorted(want) and {w[4] for w in want} == {"new", "escalated", "reminder"}
+    assert {(r.hazard, r.ua_id): (r.level, r.sent_at) for r in alerts.read_state(spark, root, 99).collect()} == state
+    assert sorted(p.name for p in (tmp_path / "root").iterdir()) == ["version=2", "version=3"]
+    again = alerts.read_state(spark, root, 3)
+    assert again.count() <= 12
+
+
+def test_channel_in_one_pass_keeps_the_other_state(spark):
+    state = spark.createDataFrame([("hidro", "u", 3, T0), ("geo", "gone", 3, T0)], alerts.STATE_SCHEMA)
+    rows = risk_rows(spark, [(T0, "geo", "u", 4, "OK", 1.0), (T0, "hidro", "u", 4, "OK", 1.0)])
+    out, changes = alerts.steps(rows, state, channel="geo")
+    assert [(r.hazard, r.reason) for r in out.collect()] == [("geo", "new")]
+    assert {(r.hazard, r.ua_id, r.cleared) for r in changes.collect()} == {("geo", "u", False), ("geo", "gone", True)}
+
+
 def test_history_and_compaction(spark, tmp_path):
     src, store, chk, out = (str(tmp_path / n) for n in ("src", "store", "chk", "out"))
     rows = [("u", "geo", T0 + timedelta(minutes=10 * i), i, i % 5, 0, 0, 0.0, 0.0, 0.0) for i in range(40)]
