@@ -1,6 +1,6 @@
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from .. import fixtures as fx
 from ..constants import AC24H_EDGES, AC96H_EDGES, INTENSITY_EDGES
@@ -9,7 +9,7 @@ from ..operators import analytics, risk
 from ..streaming import alerts, history as hist
 from . import query
 from .rain import T, TICKS, TXT
-from .risk import PLACED
+from .risk import LABEL, PLACED
 
 GEO = "hazard='geo' AND ac24h_mm IS NOT NULL"
 
@@ -107,17 +107,24 @@ def escalation_counts(spark, sf):
     return analytics.escalation_counts(analytics.escalation(fx.history(spark, sf)))
 
 
-@query("TOP-03", fx.sql_with("history", ESC, "SELECT * FROM (SELECT 'rising' AS list, ua_id, hazard, delta, rd_now FROM e WHERE delta > 0 ORDER BY delta DESC, rd_now DESC, ua_id, hazard LIMIT 12) UNION ALL SELECT * FROM (SELECT 'falling', ua_id, hazard, delta, rd_now FROM e WHERE delta < 0 ORDER BY delta, rd_prev DESC, ua_id, hazard LIMIT 12) "
-       "UNION ALL SELECT * FROM (SELECT 'steady', ua_id, hazard, delta, rd_now FROM e WHERE delta = 0 AND rd_now >= 3 ORDER BY rd_now DESC, ua_id, hazard LIMIT 12)"))
+ESC_POINTS = ESC | {"d": "SELECT e.*, p.sigla_rodovia, p.region_name, p.ac24h_mm, p.ac96h_mm FROM e LEFT JOIN points p USING (ua_id, hazard)"}
+LISTED = "ua_id, hazard, delta, rd_prev, rd_now, sigla_rodovia, region_name, ac24h_mm, ac96h_mm"
+
+
+@query("TOP-03", fx.sql_with("history points", ESC_POINTS, f"""SELECT 'rising' AS list, row_number() OVER (ORDER BY delta DESC, rd_now DESC, ua_id, hazard) AS place, {LISTED} FROM d WHERE delta > 0 QUALIFY place <= 12
+    UNION ALL SELECT 'falling', row_number() OVER (ORDER BY delta, rd_prev DESC, ua_id, hazard) AS place, {LISTED} FROM d WHERE delta < 0 QUALIFY place <= 12
+    UNION ALL SELECT 'steady', row_number() OVER (ORDER BY rd_now DESC, COALESCE(ac24h_mm, 0) DESC, ua_id, hazard) AS place, {LISTED} FROM d WHERE delta = 0 AND rd_now >= 3 QUALIFY place <= 12"""))
 def escalation_lists(spark, sf):
-    e = analytics.escalation(fx.history(spark, sf))
+    e = analytics.described(analytics.escalation(fx.history(spark, sf)), fx.points(spark, sf))
     parts = [(n, f(e)) for n, f in (("rising", analytics.rising), ("falling", analytics.falling), ("steady", analytics.steady))]
-    frames = [d.select(F.lit(n).alias("list"), "ua_id", "hazard", "delta", "rd_now") for n, d in parts]
+    # the lists hold twelve rows; their order is part of the result
+    parts = [(n, d.withColumn("place", F.row_number().over(Window.orderBy(F.monotonically_increasing_id())).cast("long"))) for n, d in parts]
+    frames = [d.select(F.lit(n).alias("list"), "place", *LISTED.split(", ")) for n, d in parts]
     return frames[0].unionByName(frames[1]).unionByName(frames[2])
 
 
 @query("AGG-29 WIN-05", fx.sql_with("cycles", {"g": "SELECT date_diff('second', lag(started_at) OVER (ORDER BY started_at, cycle_id), started_at)/60e0 AS gap FROM cycles"}, """SELECT COUNT(*) AS cycles, COUNT(*) FILTER (outcome='ok') AS ok, COUNT(*) FILTER (outcome='error') AS error,
-    COUNT(*) FILTER (outcome='skipped') AS skipped, ROUND(MAX(duration_s)::DECIMAL(18,6), 2)::DOUBLE AS duration_max_s, ROUND(100e0*SUM(files_ok)/COUNT(files_ok)/96e0, 1) AS completeness_pct, ROUND(100e0*COUNT(*) FILTER (outcome='ok')/COUNT(*), 1) AS success_rate_pct,
+    COUNT(*) FILTER (outcome='skipped') AS skipped, COUNT(*) FILTER (data_status='degraded') AS degraded, ROUND(MAX(duration_s)::DECIMAL(18,6), 2)::DOUBLE AS duration_max_s, ROUND(100e0*SUM(files_ok)/COUNT(files_ok)/96e0, 1) AS completeness_pct, ROUND(100e0*COUNT(*) FILTER (outcome='ok')/COUNT(*), 1) AS success_rate_pct,
     ROUND(quantile_cont(duration_s, 0.5)::DECIMAL(18,9), 2)::DOUBLE AS duration_p50_s, ROUND(quantile_cont(duration_s, 0.95)::DECIMAL(18,9), 2)::DOUBLE AS duration_p95_s, (SELECT ROUND(quantile_cont(gap, 0.5), 2) FROM g) AS interval_p50_min, (SELECT ROUND(MAX(gap), 1) FROM g) AS interval_max_min FROM cycles"""))
 def operations(spark, sf):
     return analytics.operations(fx.cycles(spark, sf))
@@ -129,14 +136,19 @@ def alert_deltas(spark, sf):
     return analytics.alert_deltas(fx.cycles(spark, sf))
 
 
-@query("AGG-43 CMP-08", fx.sql_with("cycles points", {"l": "SELECT arg_max(alert_count, (started_at, cycle_id)) AS a, MAX(started_at) AS t, arg_max(files_ok, (started_at, cycle_id)) AS files_ok, arg_max(duration_s, (started_at, cycle_id)) AS duration_s FROM cycles"}, """SELECT
-    (SELECT COUNT(*) FROM points WHERE rd >= 3) AS alerts_now, (SELECT MAX(rd) FROM points) AS max_rd, a - (SELECT arg_max(alert_count, (started_at, cycle_id)) FROM cycles, l WHERE started_at <= t - INTERVAL 1 HOUR) AS alert_delta_1h,
-    a - (SELECT arg_max(alert_count, (started_at, cycle_id)) FROM cycles, l WHERE started_at <= t - INTERVAL 24 HOURS) AS alert_delta_24h, files_ok, duration_s FROM l"""))
+LAST = ", ".join(f"arg_max({e}, (started_at, cycle_id)) AS {n}" for n, e in [(c, c) for c in ("files_ok", "duration_s", "missing_24h", "data_status", "ac24h_max", "ac96h_max", "intensity_max")]
+                 + [("gauge", "{'g': gauge}")])
+
+
+@query("AGG-43 CMP-08", fx.sql_with("cycles points", {"l": f"SELECT arg_max(alert_count, (started_at, cycle_id)) AS a, MAX(started_at) AS t, {LAST} FROM cycles", "m": "SELECT MAX(rd) AS rd FROM points"}, f"""SELECT
+    (SELECT COUNT(*) FROM points WHERE rd >= 3) AS alerts_now, m.rd AS max_rd, {LABEL} AS max_rd_name, a - (SELECT arg_max(alert_count, (started_at, cycle_id)) FROM cycles, l WHERE started_at <= t - INTERVAL 1 HOUR) AS alert_delta_1h,
+    a - (SELECT arg_max(alert_count, (started_at, cycle_id)) FROM cycles, l WHERE started_at <= t - INTERVAL 24 HOURS) AS alert_delta_24h, files_ok, duration_s, missing_24h, data_status, ac24h_max, ac96h_max, intensity_max,
+    gauge.g.mean_factor AS gauge_factor, gauge.g.stations_recent AS gauge_stations FROM l, m"""))
 def headline(spark, sf):
     return analytics.headline(fx.points(spark, sf), fx.cycles(spark, sf))
 
 
-@query("FLT-24 SCL-31", fx.sql_with("cycles", {}, "SELECT strftime(started_at, '%Y-%m-%d %H:%M:%S') AS at, outcome, array_to_string(by_level, ',') AS by_level, alert_count, max_rd, files_ok, missing_24h, duration_s FROM cycles"))
+@query("FLT-24 SCL-31", fx.sql_with("cycles", {}, "SELECT strftime(started_at, '%Y-%m-%d %H:%M:%S') AS at, outcome, array_to_string(by_level, ',') AS by_level, alert_count, max_rd, files_ok, missing_24h, duration_s, data_status, ac24h_max, ac96h_max, intensity_max, gauge.mean_factor AS gauge_factor, gauge.stations_recent AS gauge_stations FROM cycles"))
 def cycle_series(spark, sf):
     out = analytics.cycle_series(fx.cycles(spark, sf))
     return out.withColumns({"at": F.date_format("at", TXT), "by_level": F.array_join("by_level", ",")})

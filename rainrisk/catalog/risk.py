@@ -3,6 +3,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import fixtures as fx
+from ..constants import PROTOCOL
 from ..functions import risk as rk, text
 from ..operators import risk, spatial
 from ..plans import cycle
@@ -182,17 +183,22 @@ def cycle_record(spark, sf):
     return out.select(F.array_join("by_level", ",").alias("by_level"), "alert_count", "max_rd", "max_rd_name", "ac24h_max", "ac24h_mean", "ac96h_max", "intensity_max")
 
 
-@query("AGG-32 CMP-05 SRC-21", fx.sql_with("points", {}, """SELECT MAX(rd) AS rd, COUNT(*) AS total_pontos, COUNT(*) FILTER (rd>=3) AS total_critico, COUNT(*) FILTER (rd=2) AS total_atencao,
-    'Alerta Máximo' AS nivel, '#a855f7' AS cor, TRUE AS prontidao, TRUE AS vistoria, TRUE AS acoes_necessarias FROM points"""))
+ACTIONS = fx.values_sql(PROTOCOL, "rd, cor, descricao, responsavel_principal, prontidao, vistoria, acoes")
+
+
+@query("AGG-32 CMP-05 SRC-21", fx.sql_with("points", {"t": "SELECT COALESCE(MAX(rd), 0) AS rd, COUNT(*) AS total_pontos, COUNT(*) FILTER (rd>=3) AS total_critico, COUNT(*) FILTER (rd=2) AS total_atencao FROM points", "p": ACTIONS}, f"""SELECT t.*, {LABEL} AS nivel,
+    cor, descricao, responsavel_principal, prontidao, vistoria, array_to_string(acoes, chr(10)) AS acoes, rd >= 1 AS acoes_necessarias FROM t JOIN p USING (rd)"""))
 def summary_actions(spark, sf):
-    return risk.summary_actions(fx.points(spark, sf), risk.protocol(spark)).drop("acoes")
+    return risk.summary_actions(fx.points(spark, sf), risk.protocol(spark)).withColumn("acoes", F.array_join("acoes", "\n"))
 
 
-@query("CMP-05 SCL-28", fx.sql_with("points", {}, f"""SELECT rd, {LABEL} AS nivel, COUNT(*) AS units, [2,2,2,3,4][(rd+1)]::BIGINT AS actions FROM points GROUP BY rd"""))
+@query("CMP-05 SCL-28", fx.sql_with("points", {"p": ACTIONS}, f"""SELECT rd, {LABEL} AS nivel, COUNT(*) AS units, [3,5,7,7,8][(rd+1)]::BIGINT AS actions,
+    (SELECT string_agg(DISTINCT trim(split_part(x, ':', 1)), ',' ORDER BY trim(split_part(x, ':', 1))) FROM (SELECT unnest(acoes) AS x FROM p WHERE p.rd = points.rd)) AS agencies FROM points GROUP BY rd"""))
 def protocol_by_level(spark, sf):
     n = fx.points(spark, sf).groupBy("rd").agg(F.count(F.lit(1)).alias("units"))
-    acts = risk.protocol_actions(risk.protocol(spark)).where(F.col("orgao") != "").groupBy("rd", "nivel").agg(F.count(F.lit(1)).alias("actions"))
-    return n.join(acts, "rd").select("rd", "nivel", "units", "actions")
+    acts = risk.protocol_actions(risk.protocol(spark)).where(F.col("orgao") != "").groupBy("rd", "nivel").agg(
+        F.count(F.lit(1)).alias("actions"), F.array_join(F.array_sort(F.collect_set("orgao")), ",").alias("agencies"))
+    return n.join(acts, "rd").select("rd", "nivel", "units", "actions", "agencies")
 
 
 @query("AGG-32 TOP-07", fx.sql_with("points", {}, "SELECT ua_id, hazard, rd FROM points WHERE rd >= 3"))

@@ -132,14 +132,41 @@ CRITICAL_STRETCHES = (
 )
 
 # --- fixed values: response protocol ----------------------------------------
-# level, colour, standby, inspection; the action texts are the operator's own
-# table ("agency: text"), these are short defaults.
+# level, colour, description, main agency, standby, inspection, actions ("agency: text")
 PROTOCOL = (
-    (0, "#22c55e", False, False, ("control room: watch the rain", "civil defence: follow the monitoring")),
-    (1, "#eab308", True, False, ("control room: announce observation", "road office: stay at disposal")),
-    (2, "#f97316", True, True, ("control room: announce attention", "road office: inspect critical stretches")),
-    (3, "#ef4444", True, True, ("control room: announce alert", "road office: inspect all stretches",
-                                "highway police: control traffic")),
-    (4, "#a855f7", True, True, ("control room: announce maximum alert", "road office: inspect continuously",
-                                "highway police: close the road if needed", "rescue: stand by")),
+    (0, "#22c55e", "Monitoramento automatico", "COI - DER/SP", False, False, (
+        "COI-DER/SP: monitoramento das condicoes de chuvas e mudancas de nivel",
+        "CCO/UBA-DER/SP: monitoramento complementar das condicoes",
+        "CEPDEC: acompanhamento do monitoramento")),
+    (1, "#eab308", "Monitoramento e prontidao de equipes de emergencia", "COI - DER/SP", True, False, (
+        "COI-DER/SP: comunicar ao CCO o inicio do nivel em Observacao",
+        "COI-DER/SP: continuidade do monitoramento das chuvas",
+        "CCO-DER/SP: iniciar nivel em Observacao na regiao da UBA",
+        "UBA-DER/SP: atender ao nivel, permanecer a disposicao do CCO",
+        "CEPDEC: continuidade do monitoramento das condicoes de chuvas")),
+    (2, "#f97316", "Vistorias expeditas e prontidao das equipes", "COI / CCO - DER/SP", True, True, (
+        "COI-DER/SP: comunicar ao CCO o inicio do nivel em Atencao",
+        "COI-DER/SP: continuidade do monitoramento das chuvas",
+        "CCO-DER/SP: iniciar nivel em Atencao, solicitar prontidao das equipes da UBA",
+        "UBA-DER/SP: posicionar equipes para prontidao aos acionamentos",
+        "UBA-DER/SP: iniciar vistorias expeditas, priorizando trechos criticos",
+        "PM Rodoviaria: informes complementares sobre condicoes da via",
+        "CEPDEC: acompanhamento e apoio ao monitoramento")),
+    (3, "#ef4444", "Vistorias em campo obrigatorias nos trechos criticos", "UBA / CCO - DER/SP", True, True, (
+        "COI-DER/SP: comunicar ao CCO o inicio do nivel em Alerta",
+        "COI-DER/SP: continuidade do monitoramento e acionamento de outros orgaos",
+        "CCO-DER/SP: mobilizar equipes de conservacao para vistorias",
+        "UBA-DER/SP: vistorias em campo obrigatorias nos trechos criticos",
+        "UBA-DER/SP: em caso de confirmacao de desastre, acionar Plano de Contingencia",
+        "PM Rodoviaria: apoio ao controle de trafego e sinalizacao",
+        "CEPDEC: alerta as Defesas Civis municipais da area de abrangencia")),
+    (4, "#a855f7", "Vistorias intensivas e acionamento do Plano de Contingencia", "UBA / CCO / COI - DER/SP", True, True, (
+        "COI-DER/SP: comunicar Alerta Maximo e acionar todos os orgaos envolvidos",
+        "CCO-DER/SP: mobilizar equipes de conservacao e apoio emergencial",
+        "UBA-DER/SP: vistorias intensivas em todos os trechos criticos",
+        "UBA-DER/SP: confirmacao de ocorrencia -> acionamento PLANO DE CONTINGENCIA",
+        "UBA-DER/SP: solicitar complementacao de equipes e equipamentos das UBAs vizinhas",
+        "PM Rodoviaria: controle de trafego, interdicao se necessario, sinalizacao",
+        "CEPDEC: acionamento do PPDC municipal, retirada preventiva se necessario",
+        "Saude/Resgate: prontidao para atendimento de vitimas")),
 )

@@ -100,6 +100,9 @@ def fire_classes(spark, sf):
         (F.col("_q") / F.lit(50.0)).alias("rf_valor"), F.concat(F.lit("CGR."), (F.col("_s") % 9).cast("string")).alias("regional"))
 
 
+CYCLE_MAXIMA = {"ac24h_max": 997, "ac96h_max": 1999, "intensity_max": 401}
+
+
 def cycles(spark, sf):
     o, c = F.col("o_orderkey"), F.col("o_custkey")
     s = F.col("o_orderstatus")
@@ -109,6 +112,9 @@ def cycles(spark, sf):
         F.when(s == "F", "ok").when(s == "O", "error").otherwise("skipped").alias("outcome"),
         (F.col("o_totalprice") / F.lit(1000.0)).alias("duration_s"), (96 - c % 10).cast("int").alias("files_ok"),
         (c % 7).cast("int").alias("alert_count"), (c % 8).cast("int").alias("missing_24h"),
+        F.when(c % 8 == 0, "ok").otherwise("degraded").alias("data_status"), *[(c % m / F.lit(10.0)).alias(n) for n, m in CYCLE_MAXIMA.items()],
+        F.when(c % 3 > 0, F.struct((o % 2 == 0).alias("applied"), (c % 13 / F.lit(10.0)).alias("mean_factor"), (c % 17).cast("int").alias("stations_recent"),
+                                   (c % 19).cast("int").alias("points_corrected"))).alias("gauge"),
         F.array(*[((c + i) % 9).cast("int") for i in range(5)]).alias("by_level"), (o % 5).cast("int").alias("max_rd"))
 
 
@@ -200,7 +206,8 @@ _SQL = {
     "cycles": """SELECT o_orderkey AS cycle_id, TIMESTAMP '2024-01-01 00:00:00' + to_minutes(o_orderkey*10 + o_custkey%7) AS started_at,
         CASE o_orderstatus WHEN 'F' THEN 'ok' WHEN 'O' THEN 'error' ELSE 'skipped' END AS outcome, o_totalprice/1000e0 AS duration_s,
         (96-o_custkey%10)::INT AS files_ok, (o_custkey%7)::INT AS alert_count, (o_custkey%8)::INT AS missing_24h,
-        [((o_custkey+i)%9)::INT FOR i IN [0,1,2,3,4]] AS by_level, (o_orderkey%5)::INT AS max_rd FROM orders""",
+        [((o_custkey+i)%9)::INT FOR i IN [0,1,2,3,4]] AS by_level, (o_orderkey%5)::INT AS max_rd, CASE WHEN o_custkey%8=0 THEN 'ok' ELSE 'degraded' END AS data_status, (o_custkey%997)/10e0 AS ac24h_max, (o_custkey%1999)/10e0 AS ac96h_max, (o_custkey%401)/10e0 AS intensity_max,
+        CASE WHEN o_custkey%3>0 THEN {'applied': o_orderkey%2=0, 'mean_factor': (o_custkey%13)/10e0, 'stations_recent': (o_custkey%17)::INT, 'points_corrected': (o_custkey%19)::INT} END AS gauge FROM orders""",
     "history": """SELECT o_custkey AS ua_id, CASE WHEN o_orderkey%4=0 THEN 'hidro' ELSE 'geo' END AS hazard, o_orderdate AS ts,
         o_orderkey AS cycle_id, (floor(o_totalprice)::BIGINT%5)::INT AS rd FROM orders""",
     "points": """SELECT b.*, h.hazard, CASE h.hazard WHEN 'geo' THEN rd_geo ELSE rd_hid END AS rd,
@@ -231,6 +238,16 @@ _SQL = {
 _NEEDS = {"forecast_grid": ["grid_hourly"], "stations_24h": ["stations", "gauge_hourly"]}
 
 
+def values_sql(rows, names: str) -> str:
+    """A fixed table of the constants as a query of the oracle."""
+    def cell(v):
+        if isinstance(v, tuple):
+            return f"[{', '.join(map(cell, v))}]"
+        return repr(v) if not isinstance(v, str) else "'" + v.replace("'", "''") + "'"
+
+    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(cell, r)) + ')' for r in rows)}) AS v({names})"
+
+
 def sql_with(names: str, extra: dict[str, str], body: str) -> str:
     """``WITH`` over adapter tables (space-separated names) and extra named queries."""
     order: list[str] = []

@@ -229,10 +229,9 @@ def falling(esc: DataFrame, n: int = 12) -> DataFrame:
     return esc.where("delta < 0").orderBy("delta", F.col("rd_prev").desc(), "ua_id", "hazard").limit(n)
 
 
-def steady(esc: DataFrame, rain_column: str | None = None, n: int = 12) -> DataFrame:
-    """Units in alert without a change of level, worst first, then by 24 h rain where known."""
-    rain_order = [F.coalesce(F.col(rain_column), F.lit(0.0)).desc()] if rain_column else []
-    return esc.where("delta = 0 AND rd_now >= 3").orderBy(F.col("rd_now").desc(), *rain_order, "ua_id", "hazard").limit(n)
+def steady(esc: DataFrame, rain_column: str = "ac24h_mm", n: int = 12) -> DataFrame:
+    """Units in alert without a change of level, worst first, then by 24 h rain (none counts as 0); ``esc`` is ``described``."""
+    return esc.where("delta = 0 AND rd_now >= 3").orderBy(F.col("rd_now").desc(), F.coalesce(F.col(rain_column), F.lit(0.0)).desc(), "ua_id", "hazard").limit(n)
 
 
 def top_units(points: DataFrame, n: int = 10) -> DataFrame:
@@ -251,8 +250,19 @@ def latest_cycles(cycles: DataFrame, n: int = 12, ts: str = "started_at", tie: s
     return cycles.orderBy(F.col(ts).desc(), F.col(tie).desc()).limit(n)
 
 
+#: Columns of the last cycle that the headline shows.
+LAST_CYCLE = ("ac24h_max", "ac96h_max", "intensity_max", "files_ok", "missing_24h", "data_status", "gauge_factor", "gauge_stations", "duration_s")
+
+
 def headline(points: DataFrame, cycles: DataFrame) -> DataFrame:
-    """One row: alerts now, changes, worst level and the maxima of the last cycle."""
-    now = points.agg(F.count_if(F.col("rd") >= 3).alias("alerts_now"), F.max("rd").alias("max_rd"))
-    deltas = alert_deltas(cycles, last_values=("files_ok", "duration_s")).drop("alert_count")
-    return with_row(now, deltas)
+    """One row: alerts now, changes, worst level, and rain maxima, data state and gauges of the last cycle. Without gauges their columns are null."""
+    now = points.agg(F.count_if(F.col("rd") >= 3).alias("alerts_now"), F.coalesce(F.max("rd"), F.lit(0)).alias("max_rd"),
+                     risk.level_label(F.coalesce(F.max("rd"), F.lit(0))).alias("max_rd_name"))
+    flat = cycles.withColumns({"gauge_factor": F.col("gauge.mean_factor"), "gauge_stations": F.col("gauge.stations_recent")})
+    return with_row(now, alert_deltas(flat, last_values=LAST_CYCLE).drop("alert_count"))
+
+
+def described(esc: DataFrame, points: DataFrame) -> DataFrame:
+    """Escalation rows with what the points know about the unit: road, place and rain."""
+    known = [c for c in ("sigla_rodovia", "km_inicial", "km_final", "regiao_nome", "region_name", "municipio", "ac24h_mm", "ac96h_mm") if c in points.columns]
+    return esc.join(points.select("ua_id", "hazard", *known), ["ua_id", "hazard"], "left")

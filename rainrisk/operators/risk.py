@@ -34,7 +34,7 @@ def region_view(regions: DataFrame) -> DataFrame:
 
 
 def protocol(spark: SparkSession) -> DataFrame:
-    out = constant_table(spark, list(PROTOCOL), "rd int, cor string, prontidao boolean, vistoria boolean, acoes array<string>")
+    out = constant_table(spark, list(PROTOCOL), "rd int, cor string, descricao string, responsavel_principal string, prontidao boolean, vistoria boolean, acoes array<string>")
     return out.withColumn("nivel", risk.level_label(F.col("rd")))
 
 

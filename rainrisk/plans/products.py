@@ -14,15 +14,17 @@ def fire_product(segments: DataFrame, samples: DataFrame, horizons: list[str]) -
 
 
 def analytics_payload(points: DataFrame, cycles: DataFrame, history: DataFrame, regions: DataFrame,
-                      product: DataFrame | None = None) -> dict[str, DataFrame]:
-    """One DataFrame per block of the analytics page."""
-    esc = analytics.escalation(history)
+                      product: DataFrame | None = None, hourly: DataFrame | None = None) -> dict[str, DataFrame]:
+    """One DataFrame per block of the analytics page; ``hourly`` are the hours of ``operators.analytics.hourly_by_region``."""
+    esc = analytics.described(analytics.escalation(history), points)
     blocks = {
         "headline": analytics.headline(points, cycles), "series": analytics.series_span(cycles),
         "regional": analytics.regional_summary(points, regions), "unassigned": analytics.unassigned_points(points, regions),
         "escalation": analytics.escalation_counts(esc), "rising": analytics.rising(esc), "falling": analytics.falling(esc),
         "steady": analytics.steady(esc), "distributions": analytics.distributions(points),
         "bins": analytics.distribution_bins(points), "ops": analytics.operations(cycles), "recent": analytics.latest_cycles(cycles)}
+    if hourly is not None:
+        blocks["hourly"], blocks["hourly_totals"] = hourly, analytics.region_hour_totals(hourly)
     if product is not None:
         blocks["fire_horizons"] = fire.class_counts(product, ["horizonte"])
         blocks["fire_transitions"] = fire.transitions(fire.class_map(product))

@@ -68,7 +68,23 @@ def test_escalation_needs_depth(spark):
     assert (got["u"].rd_1h, got["u"].rd_4h, got["u"].delta, got["u"].trail) == (1, 1, 2, [1, 1, 2, 2, 2, 3, 3])
     assert (got["v"].rd_1h, got["v"].rd_4h, got["v"].delta) == (None, None, 0)
     assert [r.ua_id for r in analytics.rising(analytics.escalation(hist)).collect()] == ["u"]
-    assert [r.ua_id for r in analytics.steady(analytics.escalation(hist)).collect()] == ["v"]
+    assert [r.ua_id for r in analytics.steady(analytics.escalation(hist).withColumn("ac24h_mm", F.lit(None).cast("double"))).collect()] == ["v"]
+
+
+def test_steady_by_rain_and_headline(spark):
+    """Units in alert stand by level, then by 24 h rain; unknown units and rain count as none. The headline shows the last cycle."""
+    rows = [(u, "geo", T0, 0, rd) for u, rd in (("a", 3), ("b", 3), ("c", 4), ("d", 3))]
+    esc = analytics.escalation(spark.createDataFrame(rows, "ua_id string, hazard string, ts timestamp, cycle_id bigint, rd int"))
+    points = spark.createDataFrame([("a", "geo", 3, "R1", 5.0), ("b", "geo", 3, "R2", 9.0), ("c", "geo", 4, "R3", None)], "ua_id string, hazard string, rd int, sigla_rodovia string, ac24h_mm double")
+    got = analytics.steady(analytics.described(esc, points)).collect()
+    assert [(r.ua_id, r.sigla_rodovia) for r in got] == [("c", "R3"), ("b", "R2"), ("a", "R1"), ("d", None)]
+    kind = ("cycle_id int, started_at timestamp, alert_count int, duration_s double, files_ok int, missing_24h int, data_status string, ac24h_max double, ac96h_max double, "
+            "intensity_max double, gauge struct<mean_factor:double,stations_recent:int>")
+    cycles = spark.createDataFrame([(1, T0, 5, 1.0, 96, 0, "ok", 1.0, 2.0, 3.0, (0.5, 4)), (2, T0 + timedelta(hours=1), 7, 2.0, 90, 6, "degraded", 4.0, 5.0, 6.0, None)], kind)
+    h = analytics.headline(points, cycles).first()
+    assert (h.alerts_now, h.max_rd, h.max_rd_name, h.alert_delta_1h, h.missing_24h, h.data_status) == (3, 4, "Alerta Máximo", 2, 6, "degraded")
+    assert (h.ac24h_max, h.ac96h_max, h.intensity_max, h.gauge_factor, h.gauge_stations) == (4.0, 5.0, 6.0, None, None)
+    assert analytics.headline(points.where("false"), cycles).first().max_rd_name == "Monitoramento"
 
 
 def test_payload_blocks_run(spark):
@@ -76,8 +92,9 @@ def test_payload_blocks_run(spark):
     from rainrisk.plans import products
 
     sf = "/root/testdata/sf0.001"
-    blocks = products.analytics_payload(fx.points(spark, sf), fx.cycles(spark, sf), fx.history(spark, sf), risk.default_regions(spark), fx.fire_classes(spark, sf))
-    assert all(isinstance(df.limit(1).count(), int) for df in blocks.values()) and len(blocks) == 14
+    blocks = products.analytics_payload(fx.points(spark, sf), fx.cycles(spark, sf), fx.history(spark, sf), risk.default_regions(spark), fx.fire_classes(spark, sf),
+                                       spark.createDataFrame([(1, T0, 2, 0.5, 1.0)], "regiao_id int, hr timestamp, uas int, mean_mm double, max_mm double"))
+    assert all(isinstance(df.limit(1).count(), int) for df in blocks.values()) and len(blocks) == 16
     board = products.dashboard(fx.points(spark, sf), fx.fire_classes(spark, sf))
     assert board["top_units"].count() == 10
 

@@ -84,3 +84,4 @@ def test_protocol_table(spark):
     assert [r.nivel for r in p] == ["Monitoramento", "Observação", "Atenção", "Alerta", "Alerta Máximo"]
     assert [r.prontidao for r in p] == [False, True, True, True, True] and [r.vistoria for r in p] == [False, False, True, True, True]
     assert all(r.orgao and r.texto for r in risk.protocol_actions(risk.protocol(spark)).collect())
+    assert [len(r.acoes) for r in p] == [3, 5, 7, 7, 8] and all(r.descricao and r.responsavel_principal for r in p)
