@@ -36,13 +36,27 @@ def class_runs(spark, sf):
     return sequences.run_lengths(fx.units(spark, sf), ["road"], ["km0", "ua_id"], "cls", "km0", "km1")
 
 
-@query("WIN-10")
+def _absorbed_sql(unwanted: str, more: str = "") -> str:
+    """The rule row by row: state is the last kept run and the start handed on to the right."""
+    step = f"""SELECT *, {unwanted} AND NOT (kid IS NULL AND na IS NULL) AS gone, na IS NULL OR (kid IS NOT NULL AND kb - ka >= nb - na) AS toleft"""
+    state = """CASE WHEN gone THEN kid ELSE run END AS kid, CASE WHEN gone THEN kcls ELSE cls END AS kcls, CASE WHEN gone THEN ka ELSE s END AS ka,
+        CASE WHEN gone AND NOT toleft THEN kb ELSE b END AS kb, CASE WHEN gone AND NOT toleft THEN s END AS carry"""
+    return f"""SELECT road, arg_min(kid, kid) AS run, cls, MIN(ka) AS run_start, arg_max(kb, kid) AS run_stop{more} FROM (
+        SELECT *, SUM(ch) OVER (PARTITION BY road ORDER BY kid) AS g FROM (SELECT *, CASE WHEN lag(cls) OVER (PARTITION BY road ORDER BY kid) IS DISTINCT FROM cls THEN 1 ELSE 0 END AS ch FROM (
+        SELECT road, kid, kcls AS cls, MIN(ka) AS ka, MAX(kb) AS kb FROM (WITH RECURSIVE
+            o AS (SELECT road, run::BIGINT AS run, cls, run_start AS a, run_stop AS b, row_number() OVER w AS i, lead(run_start) OVER w AS na, lead(run_stop) OVER w AS nb FROM r WINDOW w AS (PARTITION BY road ORDER BY run)),
+            f AS (SELECT road, i, {state} FROM ({step} FROM (SELECT *, a AS s, NULL::BIGINT AS kid, NULL::INT AS kcls, NULL::DOUBLE AS ka, NULL::DOUBLE AS kb FROM o WHERE i = 1))
+                UNION ALL SELECT road, i, {state} FROM ({step} FROM (SELECT o.*, COALESCE(f.carry, o.a) AS s, f.kid, f.kcls, f.ka, f.kb FROM f JOIN o ON o.road = f.road AND o.i = f.i + 1)))
+            SELECT * FROM f WHERE kid IS NOT NULL) GROUP BY ALL))) GROUP BY road, g, cls"""
+
+
+@query("WIN-10", fx.sql_with("units", {"r": RUNS}, _absorbed_sql("b - s < 1.5e0")))
 def absorbed_runs(spark, sf):
     runs = sequences.run_lengths(fx.units(spark, sf), ["road"], ["km0", "ua_id"], "cls", "km0", "km1", drop=None)
     return sequences.absorb_runs(runs, ["road"], "cls", 1.5)
 
 
-@query("WIN-10")
+@query("WIN-10", fx.sql_with("units", {"r": RUNS}, _absorbed_sql("cls < 1", ", cls >= 1 AS ok")))
 def absorbed_foreign_runs(spark, sf):
     runs = sequences.run_lengths(fx.units(spark, sf), ["road"], ["km0", "ua_id"], "cls", "km0", "km1", drop=None)
     return sequences.absorb_runs(runs.withColumn("ok", F.col("cls") >= 1), ["road"], "cls", allowed="ok")

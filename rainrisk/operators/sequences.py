@@ -7,11 +7,14 @@ stretches that are provably independent of each other.
 
 from __future__ import annotations
 
-from itertools import groupby
+from collections.abc import Callable, Iterable, Iterator
+from itertools import chain, groupby, islice
 from operator import itemgetter
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions import geo
 from .scale import BLOCK, OrderedBlocks, attach, checkpointed, neighbour_chunks, numbered, own_rows
@@ -69,31 +72,47 @@ def _bundled(parts: DataFrame, keys: list[str], order: str, rule, stretches: int
     return parts.groupBy(*keys, bundle).applyInPandas(lambda pdf: _per_stretch(pdf, order, rule), schema)
 
 
-def _absorb(runs: list[dict], cls: str, allowed_col: str | None, min_km: float) -> list[dict]:
-    """Leftmost unwanted run joins its longer neighbour (left on a tie) until none is left; then equal ones fuse."""
-
-    def unwanted(r):
-        return not r[allowed_col] if allowed_col else (r["run_stop"] - r["run_start"]) < min_km
-
-    i = 0
-    while len(runs) > 1 and i < len(runs):
-        if not unwanted(runs[i]):
-            i += 1
-            continue
-        width = lambda r: r["run_stop"] - r["run_start"]
-        to_left = i + 1 == len(runs) or (i > 0 and width(runs[i - 1]) >= width(runs[i + 1]))
-        gone = runs.pop(i)
-        if to_left:
-            runs[i - 1]["run_stop"] = gone["run_stop"]
-        else:
-            runs[i]["run_start"] = gone["run_start"]
-    fused = runs[:1]
-    for r in runs[1:]:
-        if r[cls] == fused[-1][cls]:
-            fused[-1]["run_stop"] = r["run_stop"]
-        else:
-            fused.append(r)
-    return fused
+def _absorb(runs: Iterable[dict], cls: str, allowed_col: str | None, min_km: float) -> Iterator[dict]:
+    """Leftmost unwanted run joins its longer neighbour (left on a tie) until none is left; then equal ones fuse.
+
+    One pass from left to right. All before the current run is wanted, so only the last kept run, the start that absorbed runs
+    hand on to the right, and the width of the next run matter.
+    """
+    out = kept = carry = current = None  # the fused result so far; start and stop of its last run
+    for nxt in chain(runs, [None]):
+        if current is not None:
+            start, stop = current["run_start"] if carry is None else carry, current["run_stop"]
+            carry = None
+            unwanted = not current[allowed_col] if allowed_col else stop - start < min_km
+            if not unwanted or (kept is None and nxt is None):
+                if out is not None and out[cls] == current[cls]:
+                    out["run_stop"] = stop
+                else:
+                    if out is not None:
+                        yield out
+                    out = current | {"run_start": start}
+                kept = [start, stop]
+            elif nxt is None or (kept is not None and kept[1] - kept[0] >= nxt["run_stop"] - nxt["run_start"]):
+                kept[1] = out["run_stop"] = stop
+            else:
+                carry = start
+        current = nxt
+    if out is not None:
+        yield out
+
+
+def _absorbed(parts: DataFrame, keys: list[str], rule: Callable[[Iterable[dict]], Iterator[dict]], chunk: int = 20_000) -> DataFrame:
+    """Stream every stretch through ``rule``: tasks hold a batch of rows, never a stretch."""
+    group = [*keys, "_part"]
+
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (row for batch in batches for row in batch.to_pylist())
+        found = (out for _, stretch in groupby(rows, key=itemgetter(*group)) for out in rule(stretch))
+        while done := list(islice(found, chunk)):
+            yield pa.RecordBatch.from_pylist(done, schema=schema)
+
+    schema = to_arrow_schema(parts.schema)
+    return parts.repartition(*group).sortWithinPartitions(*group, "run").mapInArrow(stream, parts.schema)
 
 
 def absorb_runs(runs: DataFrame, keys: list[str], cls: str, min_km: float = 0.15, allowed: str | None = None) -> DataFrame:
@@ -113,7 +132,7 @@ def absorb_runs(runs: DataFrame, keys: list[str], cls: str, min_km: float = 0.15
     lone = parts.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_size"))
     sized = parts.join(lone, [*keys, "_part"])
     quiet = sized.where("_size = 1").select(*schema.names)
-    busy = _bundled(sized.where("_size > 1").select(*schema.names), keys, "run", lambda runs: _absorb(runs, cls, allowed, min_km))
+    busy = _absorbed(sized.where("_size > 1").select(*schema.names), keys, lambda runs: _absorb(runs, cls, allowed, min_km))
     return quiet.unionByName(busy).drop("_part", "n")
 
 

@@ -100,6 +100,15 @@ def test_moving_mode_with_gaps(spark):
     assert got == want
 
 
+def test_a_road_of_short_runs_only(spark):
+    """A long stretch goes through one pass: equal short runs meet in one kept run that swallows all others."""
+    n = 100_000
+    runs = spark.range(n).select(F.lit("k").alias("k"), F.col("id").alias("run"), (F.col("id") % 2).cast("int").alias("c"),
+                                 F.col("id").cast("double").alias("run_start"), (F.col("id") + 1).cast("double").alias("run_stop"), F.lit(1).cast("long").alias("n"))
+    got = [(r.run, r.c, r.run_start, r.run_stop) for r in sequences.absorb_runs(runs, ["k"], "c", 1.5).collect()]
+    assert got == [(1, 1, 0.0, float(n))]
+
+
 def test_neighbour_chunks_cross_borders(spark):
     df = spark.createDataFrame([("a", i, i % 3) for i in range(100)], "k string, i int, v int")
     rows, w = scale.neighbour_chunks(scale.numbered(df, ["k"], ["i"]), ["k"], "rn", 2, chunk=7)
