@@ -15,7 +15,7 @@ import os
 import re
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +24,9 @@ from pyspark.sql import DataFrame, functions as F
 from rainrisk.llm.common import ROW, ranked, stored
 
 LENGTH, END = 2048, 1
-#: Words whose ids a Python worker remembers, in two generations, the longest of them in bytes, words of letters per call. Ids do not depend on the memory.
-REMEMBERED, LONGEST, JOINED = 350_000, 64, 2000
+#: Words whose ids a Python worker remembers, in two generations, the longest of them in bytes, words of letters per call, bytes of
+#: texts whose new words are learned together. Ids do not depend on the memory.
+REMEMBERED, LONGEST, JOINED, PORTION = 350_000, 64, 2000, 1 << 20
 #: Words of printable Latin letters and signs: composed already, and lower case is letter by letter.
 PLAIN = re.compile("[!-~\u00a1-\u00ac\u00ae-\u012f]+")
 PIECE = "start long, length long, ids_crc32 long, doc_tokens long"
@@ -46,20 +47,30 @@ class WordIds:
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.known, self.older = {}, {}
 
-    def encode(self, text: str) -> bytes:
-        words = text.encode().split()
-        fresh = set(words).difference(self.known)
+    def encode_all(self, texts: Iterable[str]) -> Iterator[bytes]:
+        """Ids of the texts in order. New words are learned for ``PORTION`` bytes of texts at once, as calls cost more than words."""
+        portion, size = [], 0
+        for text in texts:
+            data = text.encode()
+            portion.append(data.split())
+            size += len(data)
+            if size >= PORTION:
+                yield from self.encoded(portion)
+                portion, size = [], 0
+        yield from self.encoded(portion)
+
+    def encoded(self, texts: list[list[bytes]]) -> Iterator[bytes]:
+        fresh = set().union(*texts).difference(self.known)
         if fresh:
             if len(self.known) + len(fresh) > REMEMBERED:
                 self.older, self.known = self.known, {}
-                fresh = set(words)
+                fresh = set().union(*texts)
             self.known.update((w, self.older[w]) for w in fresh if w in self.older)
             self.learn([w.decode() for w in fresh if w not in self.known])
-        ids = b"".join(map(self.known.__getitem__, words))
+        yield from [b"".join(map(self.known.__getitem__, words)) for words in texts]
         for w in fresh:
             if len(w) > LONGEST:
                 del self.known[w]
-        return ids
 
     def learn(self, words: list[str]) -> None:
         letters, plain, other = [], [], []
@@ -101,8 +112,8 @@ def pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", length: int = L
         coder = coder_of(tokenizer)
         for part in parts:
             at, start, size, crc, total, ids = [], [], [], [], [], []
-            for i, text in enumerate(part.column(1)):
-                data = coder.encode(text.as_py() or "") + stop
+            for i, data in enumerate(coder.encode_all(text.as_py() or "" for text in part.column(1))):
+                data += stop
                 n = len(data) // 4
                 for a in range(0, n, length):
                     piece = data[4 * a:4 * (a + length)]
