@@ -13,7 +13,6 @@ one row is its own root, with an empty proof. An empty table gives an empty resu
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa

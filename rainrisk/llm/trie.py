@@ -108,7 +108,7 @@ def sequences(steps: DataFrame, lens: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 @dataclass
 class Round:
-    """Heads that burst in one round, their chains of swallowed turns, and the number of heads they burst into."""
+    """Heads that burst in one round, and the chains of turns that they swallowed."""
 
     heads: DataFrame
     chains: DataFrame
