@@ -69,7 +69,7 @@ def test_five_megabytes_of_broken_markup():
 
 
 def test_unclosed_parts_stay_text():
-    assert warc.plain_text("a<script>b<!-- c<p>d") == "ab\nd"
+    assert warc.plain_text("a<script>b<!-- c<p>d") == "ab<!-- c\nd"
     assert warc.plain_text("a<script>x</script>b<script>c") == "a\nbc"
     assert warc.plain_text("&#" + "9" * 6000 + "; &#0000000000065; &#x000041;") == "� A A"
     assert warc.plain_text("&#123abcdefg; &#x00000000041; &#000000000;") == "{abcdefg; A \ufffd"
