@@ -8,7 +8,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("rain", "gauges", "risk", "fire", "network", "sequences", "analytics", "search", "sources")
+MODULES = ("rain", "gauges", "risk", "ground", "fire", "network", "sequences", "analytics", "search", "sources")
 
 
 @dataclass(frozen=True)

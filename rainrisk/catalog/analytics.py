@@ -229,6 +229,28 @@ def alert_message(spark, sf):
     return message(fx.points(spark, sf).where("rd >= 3").withColumn("nivel", level_label(F.col("rd"))))
 
 
+NOTICE_TABLES = {
+    "a": "SELECT p.*, u.lat, u.lon, u.km0 AS km FROM points p JOIN units u USING (ua_id) WHERE rd >= 3 AND hazard = 'geo'",
+    "t": """SELECT *, CASE rd WHEN 3 THEN 'Alerta' ELSE 'Alerta Máximo' END AS nivel, row_number() OVER (ORDER BY rd DESC, ac96h_mm DESC, ua_id) AS k FROM a""",
+    "b": """SELECT '[Encosta] ' || COUNT(*) || ' unit(s) at risk (RD>=3) - max RD' || MAX(rd) AS subject, COUNT(*) AS n, 'Alert - contingency plan (SP-055)' || chr(10) || 'Channel: Encosta' || chr(10) ||
+        'Time (UTC): 2024-01-30T18:00:00+00:00' || chr(10) || 'Rain source: SATELLITE (status: ok)' || chr(10) || chr(10) || COUNT(*) || ' unit(s) with dynamic risk >= 3:' || chr(10) || chr(10) ||
+        string_agg('- [' || ua_id || '] RD' || rd || ' (' || nivel || ') | RA' || ra || ' | 24h=' || ac24h_mm || 'mm 96h=' || ac96h_mm || 'mm | ' || COALESCE(region_name, ''), chr(10) ORDER BY k) FILTER (k <= 50)
+        || CASE WHEN COUNT(*) > 50 THEN chr(10) || '... (+' || (COUNT(*)-50) || ' units)' ELSE '' END AS text,
+        list({'id': ua_id, 'nome': NULL, 'rodovia': sigla_rodovia, 'km': km, 'rd': rd, 'nivel': nivel, 'ra': ra, 'lat': lat, 'lon': lon, 'ac24h_mm': ac24h_mm, 'ac96h_mm': ac96h_mm, 'region': region_name}
+             ORDER BY k) FILTER (k <= 100) AS zones FROM t"""}
+
+
+@query("SNK-07", fx.sql_with("points units", NOTICE_TABLES, """SELECT subject, text, to_json({'text': subject || chr(10) || text, 'subject': subject, 'timestamp': '2024-01-30T18:00:00+00:00', 'count': n,
+    'threshold': 3, 'zones': zones})::VARCHAR AS payload FROM b"""))
+def alert_notice(spark, sf):
+    from ..functions.risk import level_label
+    from ..sinks.outputs import alert_notice as notice
+
+    places = fx.units(spark, sf).select("ua_id", "lat", "lon", F.col("km0").alias("km"))
+    alerts = fx.points(spark, sf).where("rd >= 3 AND hazard = 'geo'").join(places, "ua_id").withColumn("nivel", level_label(F.col("rd")))
+    return notice(alerts, fx.target(), F.lit("SATELLITE"), F.lit("ok"), "geo", roads="SP-055")
+
+
 @query("SNK-11 STR-09", fx.sql_with("cycles", {}, "SELECT outcome, COUNT(*) AS rows, 'cycle' AS step FROM cycles GROUP BY outcome"))
 def run_records(spark, sf):
     c = fx.cycles(spark, sf)

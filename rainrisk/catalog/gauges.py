@@ -6,7 +6,7 @@ from .. import fixtures as fx
 from ..operators import gauges
 from ..plans import cycle
 from . import query
-from .rain import CELL_WINDOWS, HOURS, R, T, TICKS, TXT, UNIT_WINDOWS, inputs
+from .rain import CELL_WINDOWS, HOURS, R, T, TICKS, TXT, UNIT_WINDOWS, WINDOW_COLS, inputs
 
 
 def hav(a: str, b: str) -> str:
@@ -57,6 +57,9 @@ MOVED = """SELECT ua_id, br AS correction, factor, CASE br WHEN 'override' THEN
   CASE br WHEN 'override' THEN g24_mm WHEN 'scale' THEN ac24h_mm*factor WHEN 'add' THEN ac24h_mm+blend ELSE ac24h_mm END AS a24,
   CASE br WHEN 'override' THEN GREATEST(0e0, ac72h_mm-ac24h_mm)+g24_mm WHEN 'scale' THEN ac72h_mm*factor WHEN 'add' THEN ac72h_mm+blend ELSE ac72h_mm END AS a72,
   CASE br WHEN 'override' THEN GREATEST(0e0, ac96h_mm-ac24h_mm)+g24_mm WHEN 'scale' THEN ac96h_mm*factor WHEN 'add' THEN ac96h_mm+blend ELSE ac96h_mm END AS a96 FROM co"""
+CENTS = lambda x: f"ROUND(({x})::DECIMAL(18,6), 2)::DOUBLE"
+GROWN = f"""SELECT ua_id, correction, factor, i AS intensity_mmh, a18 AS ac18h_mm, GREATEST(a24, a18) AS ac24h_mm, GREATEST(a72, a24, a18) AS ac72h_mm, GREATEST(a96, a72, a24, a18) AS ac96h_mm
+  FROM (SELECT ua_id, correction, factor, {', '.join(f"{CENTS(c)} AS {c}" for c in ('i', 'a18', 'a24', 'a72', 'a96'))} FROM mv)"""
 CORR_CTES = {"pairs": PAIRS30, "est": ANCHOR, "cw": CELL_WINDOWS, "uw": UNIT_WINDOWS, "co": CORRECTED, "mv": MOVED}
 
 
@@ -66,12 +69,10 @@ def corrected(spark, sf):
     return gauges.correct_rain(cycle.satellite_windows(data, fx.target()), est)
 
 
-@query("SCL-10 SCL-11 SCL-12", fx.sql_with("units grid_hourly stations gauge_hourly stations_24h", CORR_CTES, """SELECT ua_id, correction, ROUND(factor, 6) AS factor,
-    a96 >= a72 AND a72 >= a24 AS grows FROM mv"""))
+@query("SCL-10 SCL-11 SCL-12", fx.sql_with("units grid_hourly stations gauge_hourly stations_24h", CORR_CTES | {"gn": GROWN}, f"""SELECT ua_id, correction, ROUND(factor, 6) AS factor,
+    {', '.join(WINDOW_COLS)} FROM gn"""))
 def corrected_branches(spark, sf):
-    c = corrected(spark, sf)
-    return c.select("ua_id", "correction", F.round("factor", 6).alias("factor"),
-                    ((F.col("ac96h_mm") >= F.col("ac72h_mm")) & (F.col("ac72h_mm") >= F.col("ac24h_mm"))).alias("grows"))
+    return corrected(spark, sf).select("ua_id", "correction", F.round("factor", 6).alias("factor"), *WINDOW_COLS)
 
 
 @query("SCL-11 AGG-30", fx.sql_with("units grid_hourly stations gauge_hourly stations_24h", CORR_CTES, """SELECT COUNT(*) FILTER (correction <> 'none') AS points_corrected,
@@ -97,17 +98,18 @@ def gauge_point_series(spark, sf):
     return u.join(s, ["lat", "lon"]).select("ua_id", F.date_format("hr", TXT).alias("hr"), F.round("mm", 6).alias("mm"))
 
 
-COVER = f"""SELECT ua_id, {R(f"COALESCE(SUM(CASE WHEN {HOURS}=0 THEN {TICKS} END),0)")} AS intensity_mmh, {R(f"COALESCE(SUM(CASE WHEN {HOURS}<24 THEN {TICKS} END),0)")} AS ac24h_mm,
-    {R(f"SUM({TICKS})")} AS ac96h_mm, COUNT(*) FILTER ({HOURS} < 24) AS covered_24, COUNT(*) AS covered_96, bool_or({HOURS} = 0) AS covered_target FROM sr GROUP BY ua_id"""
+COVER = f"""SELECT ua_id, {R(f"COALESCE(SUM(CASE WHEN {HOURS}=0 THEN {TICKS} END),0)")} AS intensity_mmh,
+    {', '.join(R(f"COALESCE(SUM(CASE WHEN {HOURS}<{n} THEN {TICKS} END),0)") + f" AS ac{n}h_mm" for n in (18, 24, 72, 96))},
+    COUNT(*) FILTER ({HOURS} < 24) AS covered_24, COUNT(*) AS covered_96, bool_or({HOURS} = 0) AS covered_target FROM sr GROUP BY ua_id"""
 
 
-@query("AGG-04 FLT-21 SCL-13", fx.sql_with("units stations gauge_hourly", {"sr": SERIES, "cv": COVER}, """SELECT ua_id, covered_24::INT AS covered_24, covered_96::INT AS covered_96, covered_target,
-    covered_target AND covered_24 >= 22 AND covered_96 >= 87 AS qualifies FROM cv"""))
+@query("AGG-04 FLT-21 SCL-13", fx.sql_with("units stations gauge_hourly", {"sr": SERIES, "cv": COVER}, f"""SELECT ua_id, {', '.join(WINDOW_COLS)}, covered_24::INT AS covered_24,
+    covered_96::INT AS covered_96, covered_target, covered_target AND covered_24 >= 22 AND covered_96 >= 87 AS qualifies FROM cv"""))
 def gauge_coverage(spark, sf):
     u = fx.units(spark, sf)
     s = gauges.point_series(u, fx.stations(spark, sf), fx.gauge_hourly(spark, sf, 96), fx.target(), 30.0)
     c = gauges.point_coverage(s, fx.target()).withColumn("qualifies", gauges.qualifies())
-    return u.join(c, ["lat", "lon"]).select("ua_id", "covered_24", "covered_96", "covered_target", "qualifies")
+    return u.join(c, ["lat", "lon"]).select("ua_id", *WINDOW_COLS, "covered_24", "covered_96", "covered_target", "qualifies")
 
 
 @query("AGG-04", fx.sql_with("units stations", {}, f"SELECT u.ua_id, COUNT(*) AS stations FROM units u JOIN stations s ON {hav('u', 's')} <= 15 GROUP BY u.ua_id"))
@@ -143,14 +145,18 @@ def gauge_source_summary(spark, sf):
     return gauges.gauge_summary(gauges.stations_near(st, u, 2.0), gh, suspects, applied, fx.target())
 
 
-@query("SCL-13", fx.sql_with("units stations gauge_hourly grid_hourly", {"sr": SERIES, "cv": COVER, "cw": CELL_WINDOWS, "uw": UNIT_WINDOWS}, """SELECT uw.ua_id,
-    CASE WHEN g.ua_id IS NULL THEN 'SATELLITE' ELSE 'GAUGES' END AS source, CASE WHEN g.ua_id IS NULL THEN uw.ac96h_mm END AS kept_ac96h_mm
-    FROM uw LEFT JOIN (SELECT * FROM cv WHERE covered_target AND covered_24 >= 20 AND covered_96 >= 77) g USING (ua_id)"""))
+PRIMARY_SQL = f"""SELECT us.* REPLACE ({', '.join(f"COALESCE(g.{c}, us.{c}) AS {c}" for c in WINDOW_COLS)}), g.ua_id IS NOT NULL AS from_gauges
+    FROM us LEFT JOIN (SELECT * FROM cv WHERE covered_target AND covered_24 >= 20 AND covered_96 >= 77) g USING (ua_id)"""
+PRIMARY_CTES = {"sr": SERIES, "cv": COVER, "cw": CELL_WINDOWS, "us": UNIT_WINDOWS, "pw": PRIMARY_SQL}
+
+
+@query("SCL-13", fx.sql_with("units stations gauge_hourly grid_hourly", PRIMARY_CTES, f"""SELECT ua_id, CASE WHEN from_gauges THEN 'GAUGES' ELSE 'SATELLITE' END AS source,
+    {', '.join(WINDOW_COLS)} FROM pw"""))
 def primary_gauge_windows(spark, sf):
     data = inputs(spark, sf)
     s = gauges.point_series(data.units, fx.stations(spark, sf), fx.gauge_hourly(spark, sf, 96), fx.target(), 30.0)
     out = gauges.apply_primary(cycle.satellite_windows(data, fx.target()), gauges.point_coverage(s, fx.target()), 0.8)
-    return out.select("ua_id", "source", F.when(~F.col("from_gauges"), F.col("ac96h_mm")).alias("kept_ac96h_mm"))
+    return out.select("ua_id", "source", *WINDOW_COLS)
 
 
 @query("SCL-41 SCL-18", """SELECT event_id, value*4e0 AS ac96h_mm, value/24e0 AS intensity_mmh, CASE WHEN event_id%5=0 THEN 'SATELLITE' WHEN event_id%5<4 THEN 'GAUGES + SATELLITE' ELSE 'GAUGES' END AS source FROM events""")

@@ -90,8 +90,8 @@ def dry_consensus(g24: Column, n_covered: Column, n_dry: Column, d_covered: Colu
             & (F.try_divide(n_dry, n_covered) >= g["min_fraction"]))
 
 
-def correct_rain(windows: DataFrame, estimates: DataFrame) -> DataFrame:
-    """Anchor satellite windows to the ground estimate of their position.
+def correct_rain(windows: DataFrame, estimates: DataFrame, skip: Column | None = None) -> DataFrame:
+    """Anchor satellite windows to the ground estimate of their position; rows of ``skip`` keep their windows.
 
     Adds ``correction`` (none, override, scale, add) and ``factor``. Both dry: nothing.
     Extreme satellite against dry ground: the last 24 h become the ground value.
@@ -103,6 +103,8 @@ def correct_rain(windows: DataFrame, estimates: DataFrame) -> DataFrame:
     weight = rain.anchor_weight(F.col("d_min_km"))
     blend = weight * g + (F.lit(1.0) - weight) * s
     usable = g.isNotNull() & (F.coalesce(F.col("d_min_km"), F.lit(1e9)) <= c["radius_km"]) & (weight > 0)
+    if skip is not None:
+        usable &= ~F.coalesce(skip, F.lit(False))
     both_dry = (s <= c["dry_mm"]) & (g <= c["dry_mm"])
     override = (s >= DRY_GUARD["min_sat_mm"]) & dry_consensus(g, F.col("n_covered"), F.col("n_dry"), F.col("d_covered"))
     branch = (F.when(~F.coalesce(usable, F.lit(False)) | both_dry, F.lit("none"))
@@ -116,8 +118,10 @@ def correct_rain(windows: DataFrame, estimates: DataFrame) -> DataFrame:
 
     def pick(name: str, override_value: Column, add_value: Column) -> Column:
         x = F.col(name)
-        return (F.when(how == "override", F.round(override_value, 2)).when(how == "scale", F.round(x * f, 2))
-                .when(how == "add", F.round(add_value, 2)).otherwise(x))
+        # the inner rounding takes the noise of binary sums away, so a half always goes up
+        cents = lambda v: F.round(F.round(v, 6), 2)
+        return (F.when(how == "override", cents(override_value)).when(how == "scale", cents(x * f))
+                .when(how == "add", cents(add_value)).otherwise(x))
 
     longer = lambda x: F.greatest(F.lit(0.0), x - s) + g
     moved = {

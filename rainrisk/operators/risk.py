@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..constants import NO_RA, OUT_OF_COVERAGE, PROTOCOL, REGIONS
 from ..functions import rain, risk, text
-from .scale import constant_table
+from .gauges import correction_summary
+from .scale import constant_table, with_row
 
 REGION_SCHEMA = ("regiao_id int, regiao_nome string, sigla_rodovia string, k_geo double, cpc_breaks array<double>, "
                  "hid24h_breaks array<double>, polygon array<struct<lat:double,lon:double>>, "
@@ -155,6 +156,23 @@ def cycle_record(points: DataFrame) -> DataFrame:
         top("ac24h_mm", 1).alias("ac24h_max"), F.round(mean, 1).alias("ac24h_mean"), top("ac96h_mm", 1).alias("ac96h_max"), top("intensity_mmh", 2).alias("intensity_max"))
 
 
+def gauge_blocks(points: DataFrame, stations_near: DataFrame, stations_recent: DataFrame, error: str | None = None) -> DataFrame:
+    """One row for the cycle record: ``gauge`` (correction of satellite rain) and ``gauge_primary`` (units measured on the ground).
+
+    ``points`` carries ``from_gauges``, ``correction`` and ``factor``; a unit counts once, by its slope row.
+    """
+    rows = points.where(F.col("hazard") == "geo")
+    fixed = correction_summary(rows).select("points_corrected", "mean_factor")
+    counts = [fixed, rows.agg(F.count_if("from_gauges").alias("points_gauge")), stations_near.agg(F.count(F.lit(1)).alias("stations_near")),
+              stations_recent.agg(F.count(F.lit(1)).alias("stations_recent"))]
+    row = counts[0]
+    for one in counts[1:]:
+        row = with_row(row, one)
+    return row.select(
+        F.struct((F.col("points_corrected") > 0).alias("applied"), "mean_factor", "stations_recent", "points_corrected").alias("gauge"),
+        F.struct((F.col("points_gauge") > 0).alias("applied"), "points_gauge", "stations_near", F.lit(error).cast("string").alias("error")).alias("gauge_primary"))
+
+
 def refresh_attributes(computed: DataFrame, static: DataFrame, key: str = "ua_id") -> DataFrame:
     """Take static columns from the new table and keep the computed ones."""
     kept = [c for c in computed.columns if c not in static.columns]

@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..constants import HISTORY_MAX_DAYS, PRIMARY, READY_HOURS
+from ..constants import HISTORY_MAX_DAYS, PRIMARY, READY_HOURS, SUSPECT
 from ..functions import rain
 from ..operators import forecast as fc, gauges, risk, spatial
 from ..operators.scale import attach, with_row
@@ -26,6 +26,10 @@ class Inputs:
     gauge_hourly: DataFrame | None = None
     stations_24h: DataFrame | None = None
     forecast_grid: DataFrame | None = None
+    gauge_radius_km: float = PRIMARY["radius_km"]
+    gauge_coverage: float = PRIMARY["coverage"]
+    suspect_radius_km: float = SUSPECT["radius_km"]
+    suspect_min_hours: int = SUSPECT["min_hours"]
 
 
 def satellite_windows(data: Inputs, target: Column) -> DataFrame:
@@ -33,22 +37,21 @@ def satellite_windows(data: Inputs, target: Column) -> DataFrame:
     return unit_windows(data.units, trailing_windows(data.grid, CELL, target), CELL)
 
 
-def ground_windows(data: Inputs, windows: DataFrame, gauge_target: Column, radius_km: float = PRIMARY["radius_km"]) -> DataFrame:
-    """Gauge windows where coverage allows, corrected satellite windows for the rest."""
+def ground_windows(data: Inputs, windows: DataFrame, gauge_target: Column) -> DataFrame:
+    """Gauge windows where coverage allows, corrected satellite windows for the rest.
+
+    Adds ``source`` and ``from_gauges`` and, with ``stations_24h``, ``correction`` and ``factor``. Suspect stations measure nobody.
+    """
     out = windows.withColumns({"from_gauges": F.lit(False), "source": F.lit("SATELLITE")})
     if data.stations is not None:
         day = gauges.station_day(data.stations, data.gauge_hourly, gauge_target)
-        good = data.stations.join(gauges.suspect_stations(day), "station_id", "left_anti")
-        coverage = gauges.point_coverage(gauges.point_series(data.units, good, data.gauge_hourly, gauge_target, radius_km), gauge_target)
-        out = gauges.apply_primary(windows, coverage)
+        suspects = gauges.suspect_stations(day, data.suspect_radius_km, data.suspect_min_hours)
+        good = data.stations.join(suspects, "station_id", "left_anti")
+        series = gauges.point_series(data.units, good, data.gauge_hourly, gauge_target, data.gauge_radius_km)
+        out = gauges.apply_primary(windows, gauges.point_coverage(series, gauge_target), data.gauge_coverage)
     if data.stations_24h is not None:
-        est = gauges.anchor_estimates(data.units, data.stations_24h, coverage="coverage_hours")
-        fixed = gauges.correct_rain(out, est)
-        names = ["intensity_mmh", "ac18h_mm", "ac24h_mm", "ac72h_mm", "ac96h_mm"]
-        raw = out.select("ua_id", *[F.col(n).alias(f"_raw_{n}") for n in names])
-        fixed = fixed.join(raw, "ua_id").withColumns({
-            n: F.when(F.col("from_gauges"), F.col(f"_raw_{n}")).otherwise(F.col(n)) for n in names})
-        out = fixed.drop(*[f"_raw_{n}" for n in names], "g24_mm", "d_min_km", "correction", "factor")
+        estimates = gauges.anchor_estimates(data.units, data.stations_24h, coverage="coverage_hours")
+        out = gauges.correct_rain(out, estimates, skip=F.col("from_gauges")).drop("g24_mm", "d_min_km")
     return out
 
 

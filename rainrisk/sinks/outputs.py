@@ -143,6 +143,39 @@ def alert_message(alerts: DataFrame, threshold: int = 3, first: int = 50) -> Dat
                       F.concat("_b", more).alias("body"), "n")
 
 
+#: names of a zone in the notification payload (wire format) and the column each is read from
+ZONE_FIELDS = {"id": "ua_id", "nome": "nome", "rodovia": "sigla_rodovia", "km": "km", "rd": "rd", "nivel": "nivel", "ra": "ra", "lat": "lat", "lon": "lon",
+               "ac24h_mm": "ac24h_mm", "ac96h_mm": "ac96h_mm", "region": "region_name"}
+
+
+def alert_zones(alerts: DataFrame, first: int = 100) -> DataFrame:
+    """One row ``zones``: the worst alerts as an array of structs, worst first; columns the table lacks are null."""
+    order = [F.col("rd").desc(), F.coalesce("ac96h_mm", F.lit(0.0)).desc(), F.col("ua_id"), F.col("hazard")]
+    place = F.struct((-F.col("rd")).alias("r"), (-F.coalesce("ac96h_mm", F.lit(0.0))).alias("a"), "ua_id", "hazard")
+    zone = F.struct(*[(F.col(c) if c in alerts.columns else F.lit(None).cast("string")).alias(n) for n, c in ZONE_FIELDS.items()])
+    top = alerts.orderBy(*order).limit(first).select(F.struct(place.alias("place"), zone.alias("zone")).alias("z"))
+    return top.agg(F.transform(F.sort_array(F.collect_list("z")), lambda z: z["zone"]).alias("zones"))
+
+
+def alert_notice(alerts: DataFrame, at: Column, source: Column, status: Column, channel: str | None = None, system: str = "", roads: str = "",
+                 threshold: int = 3, first: int = 50, zones: int = 100) -> DataFrame:
+    """One row of a notification of a cycle: ``subject``, ``text`` with its header lines, and ``payload``, the JSON of a web hook.
+
+    The text lists the ``first`` worst alerts and counts the rest, the payload carries ``zones`` of them and the whole count.
+    ``system`` and ``roads`` name the sender and its roads; without alerts the lists are empty and the count is 0.
+    """
+    label = HAZARD_LABELS.get(channel or "", "")
+    head = " ".join(x for x in (f"[{system}]" if system else "", f"[{label}]" if label else "") if x)
+    stamp = F.date_format(at, "yyyy-MM-dd'T'HH:mm:ssxxx")
+    lines = [F.lit("Alert - contingency plan" + (f" ({roads})" if roads else "")), F.lit(f"Channel: {label or 'all'}"), F.concat(F.lit("Time (UTC): "), stamp),
+             F.concat(F.lit("Rain source: "), F.coalesce(source, F.lit("-")), F.lit(" (status: "), F.coalesce(status, F.lit("-")), F.lit(")")), F.lit(""),
+             F.concat(F.col("n").cast("string"), F.lit(f" unit(s) with dynamic risk >= {threshold}:")), F.lit(""), F.col("body")]
+    message = with_row(alert_message(alerts, threshold, first), alert_zones(alerts, zones))
+    out = message.select((F.concat(F.lit(head + " "), "subject") if head else F.col("subject")).alias("subject"), F.concat_ws("\n", *lines).alias("text"), "n", "zones")
+    payload = F.struct(F.concat_ws("\n", "subject", "text").alias("text"), "subject", stamp.alias("timestamp"), F.col("n").alias("count"), F.lit(threshold).alias("threshold"), "zones")
+    return out.select("subject", "text", F.to_json(payload, {"ignoreNullFields": "false"}).alias("payload"))
+
+
 def channel_extract(units: DataFrame, hazard: str) -> DataFrame:
     """Units of one channel: columns of the other channel dropped, sorted by id."""
     other = ("RAHID", "icc_hid_thresholds", "trecho_critico_hid") if hazard == "geo" else ("RAGEO", "icc_geo_thresholds", "trecho_critico_geo")

@@ -141,3 +141,21 @@ def test_forecast_run_falls_back_until_complete(spark):
     r = forecast.accumulate(grid, TARGET, ["lat_idx", "lon_idx"]).first()
     assert (r.ac6h_prev, r.ac24h_prev) == (6.0, 24.0)
     assert forecast.accumulate(grid.where("valid < run"), TARGET, ["lat_idx", "lon_idx"]).count() == 0
+
+
+def test_measured_units_keep_their_windows(spark):
+    windows = spark.createDataFrame([(1, 0.0, 0.0, True), (2, 0.0, 0.0, False), (3, 0.0, 0.0, None)], "ua_id long, lat double, lon double, from_gauges boolean")
+    windows = windows.withColumns({c: F.lit(v) for c, v in (("intensity_mmh", 1.0), ("ac18h_mm", 8.0), ("ac24h_mm", 10.0), ("ac72h_mm", 20.0), ("ac96h_mm", 30.0))})
+    estimates = spark.createDataFrame([(0.0, 0.0, 20.0, 0.0, 0, 0, None)], "lat double, lon double, g24_mm double, d_min_km double, n_covered long, n_dry long, d_covered double")
+    got = {r["ua_id"]: (r["correction"], r["ac24h_mm"], r["ac96h_mm"]) for r in gauges.correct_rain(windows, estimates, skip=F.col("from_gauges")).collect()}
+    assert got == {1: ("none", 10.0, 30.0), 2: ("scale", 18.5, 55.5), 3: ("scale", 18.5, 55.5)}
+
+
+def test_gauge_blocks_of_an_empty_cycle(spark):
+    from rainrisk.operators import risk
+
+    points = spark.createDataFrame([], "ua_id long, hazard string, from_gauges boolean, correction string, factor double")
+    none = spark.createDataFrame([], "station_id long")
+    row = risk.gauge_blocks(points, none, none, "no stations").first().asDict(True)
+    assert row == {"gauge": {"applied": False, "mean_factor": None, "stations_recent": 0, "points_corrected": 0},
+                   "gauge_primary": {"applied": False, "points_gauge": 0, "stations_near": 0, "error": "no stations"}}
