@@ -227,10 +227,34 @@ def channel_union(spark, sf):
     return risk.both_channels(fx.units(spark, sf)).select("ua_id", "hazard")
 
 
-@query("JOIN-28", fx.sql_with("units regions segments", {"v": "SELECT -23.6e0 AS lat, -45.5e0 AS lon"}, f"""SELECT 'unit' AS layer, ua_id::VARCHAR AS id, ROUND({hav('u', 'v')}, 6) AS distance_km FROM units u, v WHERE {hav('u', 'v')} <= 20
-    UNION ALL SELECT 'region', MIN(regiao_id)::VARCHAR, 0e0 FROM regions, v u WHERE {IN_BOX} HAVING COUNT(*) > 0"""))
+def clip(a: str, b: str, low: str, high: str) -> tuple[str, str]:
+    """Part of a segment (from 0 to 1) whose coordinate, going from a to b, lies between low and high; (2, 2) if none can."""
+    flat = lambda x: f"CASE WHEN {a} = {b} THEN CASE WHEN {a} BETWEEN {low} AND {high} THEN {x} ELSE 2 END ELSE "
+    ends = f"(({low} - {a})/({b} - {a}), ({high} - {a})/({b} - {a}))"
+    return f"{flat(0)} LEAST{ends} END", f"{flat(1)} GREATEST{ends} END"
+
+
+CLIP_Y, CLIP_X = clip("l.lat1", "l.lat2", "r.lat0", "r.lat1"), clip("l.lon1", "l.lon2", "r.lon0", "r.lon1")
+
+
+@query("JOIN-20", fx.sql_with("lines regions", {"m": f"SELECT road_id, regiao_id FROM lines l, regions r WHERE GREATEST(0, {CLIP_Y[0]}, {CLIP_X[0]}) <= LEAST(1, {CLIP_Y[1]}, {CLIP_X[1]})"},
+       "SELECT road_id, MIN(regiao_id) AS regiao_id FROM (SELECT DISTINCT road_id FROM lines) LEFT JOIN m USING (road_id) GROUP BY road_id"))
+def lines_touching_regions(spark, sf):
+    return spatial.first_touched_region(fx.lines(spark, sf), risk.default_regions(spark), "road_id")
+
+
+X1, Y1, X2, Y2 = "((lon1-lon)*111.32e0*cos(radians(lat)))", "((lat1-lat)*111.32e0)", "((lon2-lon)*111.32e0*cos(radians(lat)))", "((lat2-lat)*111.32e0)"
+ALONG = f"GREATEST(0e0, LEAST(1e0, COALESCE(-({X1}*({X2}-{X1})+{Y1}*({Y2}-{Y1}))/NULLIF(pow({X2}-{X1},2)+pow({Y2}-{Y1},2), 0), 0e0)))"
+LINE_KM = f"sqrt(pow({X1}+{ALONG}*({X2}-{X1}),2)+pow({Y1}+{ALONG}*({Y2}-{Y1}),2))"
+
+
+@query("JOIN-28", fx.sql_with("units regions lines", {"v": "SELECT -23.6e0 AS lat, -45.5e0 AS lon", "sq": "SELECT n_nationkey AS area_id, -24e0 + ((n_nationkey*17)%80)::DOUBLE/100e0 AS y, -46.4e0 + ((n_nationkey*29)%160)::DOUBLE/100e0 AS x FROM nation"},
+       f"""SELECT 'unit' AS layer, ua_id::VARCHAR AS id, ROUND({hav('u', 'v')}, 6) AS distance_km FROM units u, v WHERE {hav('u', 'v')} <= 20
+    UNION ALL SELECT 'region', MIN(regiao_id)::VARCHAR, 0e0 FROM regions, v u WHERE {IN_BOX} HAVING COUNT(*) > 0
+    UNION ALL SELECT 'road', road_id::VARCHAR, ROUND(MIN(d), 6) FROM (SELECT road_id, {LINE_KM} AS d FROM lines, v) WHERE d <= 20 GROUP BY road_id
+    UNION ALL SELECT 'area', MIN(area_id)::VARCHAR, 0e0 FROM sq, v WHERE lat < y + 0.35e0 AND lat >= y AND lon < x + 0.35e0 AND lon >= x HAVING COUNT(*) > 0"""))
 def layers_at_location(spark, sf):
-    out = cycle.layers_at(-23.6, -45.5, fx.units(spark, sf), risk.default_regions(spark), tolerance_km=20.0)
+    out = cycle.layers_at(-23.6, -45.5, fx.units(spark, sf), risk.default_regions(spark), tolerance_km=20.0, roads=fx.lines(spark, sf), areas=fx.areas(spark, sf))
     return out.withColumn("distance_km", F.round("distance_km", 6))
 
 

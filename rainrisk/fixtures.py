@@ -170,6 +170,26 @@ def stations_24h(spark, sf):
     return stations(spark, sf).join(sums, "station_id").withColumn("value_mm", dry)
 
 
+def lines(spark, sf):
+    """A line of two segments through every unit position."""
+    k = F.col("c_custkey")
+    at = {"lat": (82, 29, 60, 13), "lon": (160, 47, 80, 19)}
+    start = {a: (F.lit(-24.0 if a == "lat" else -46.4) + _d((k * f) % m, 100.0)) for a, (m, f, _, _) in at.items()}
+    move = {a: _d((k * f) % m - m // 2, 100.0) for a, (_, _, m, f) in at.items()}
+    far = {a: start[a] + move[a] for a in at}
+    back = {"lat": far["lat"] + _d(k % 7, 50.0), "lon": far["lon"]}
+    piece = lambda seq, p, q: F.struct(F.lit(seq).alias("seq"), *[(x[a]).alias(f"{a}{i}") for i, x in ((1, p), (2, q)) for a in at])
+    return table(spark, sf, "customer").select(k.alias("road_id"), F.inline(F.array(piece(0, start, far), piece(1, far, back))))
+
+
+def areas(spark, sf):
+    """One square per TPC-H nation."""
+    n = F.col("n_nationkey")
+    lat, lon = F.lit(-24.0) + _d((n * 17) % 80, 100.0), F.lit(-46.4) + _d((n * 29) % 160, 100.0)
+    corner = lambda y, x: F.struct((lat + F.lit(y)).alias("lat"), (lon + F.lit(x)).alias("lon"))
+    return table(spark, sf, "nation").select(n.alias("area_id"), F.array(corner(0.0, 0.0), corner(0.0, 0.35), corner(0.35, 0.35), corner(0.35, 0.0)).alias("polygon"))
+
+
 def axes(spark, sf):
     """One polyline per TPC-H region over its nations."""
     n = F.col("n_nationkey")
@@ -228,6 +248,10 @@ _SQL = {
     "stations_24h": f"""SELECT s.*, CASE WHEN s.lat < -23.5e0 THEN d.value_mm/10e0 ELSE d.value_mm END AS value_mm, d.coverage_hours FROM stations s JOIN (
         SELECT station_id, SUM(ROUND(mm*1000)::BIGINT)::DOUBLE/1000e0 AS value_mm, COUNT(*)*8e0 AS coverage_hours FROM gauge_hourly
         WHERE hr > TIMESTAMP '{TARGET}' - INTERVAL 24 HOURS AND hr <= TIMESTAMP '{TARGET}' GROUP BY station_id) d USING (station_id)""",
+    "lines": """SELECT road_id, seq, CASE seq WHEN 0 THEN a ELSE c END AS lat1, CASE seq WHEN 0 THEN b ELSE d END AS lon1, CASE seq WHEN 0 THEN c ELSE c + (road_id%7)::DOUBLE/50e0 END AS lat2, d AS lon2
+        FROM (SELECT c_custkey AS road_id, -24e0 + ((c_custkey*29)%82)::DOUBLE/100e0 AS a, -46.4e0 + ((c_custkey*47)%160)::DOUBLE/100e0 AS b,
+        -24e0 + ((c_custkey*29)%82)::DOUBLE/100e0 + ((c_custkey*13)%60 - 30)::DOUBLE/100e0 AS c, -46.4e0 + ((c_custkey*47)%160)::DOUBLE/100e0 + ((c_custkey*19)%80 - 40)::DOUBLE/100e0 AS d
+        FROM customer), (VALUES (0), (1)) s(seq)""",
     "axis_vertices": """SELECT n_regionkey::INT AS region, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey)-1 AS seq,
         -24e0 + ((n_nationkey*17)%80)::DOUBLE/100e0 AS lat, -46.4e0 + ((n_nationkey*29)%160)::DOUBLE/100e0 AS lon FROM nation""",
     "regions": "SELECT * FROM (VALUES " + ", ".join(

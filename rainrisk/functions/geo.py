@@ -68,6 +68,18 @@ def segment_distance_km(lat: Column, lon: Column, a: tuple[Column, Column], b: t
     return F.sqrt(px * px + py * py)
 
 
+def segments_meet(a: tuple[Column, Column], b: tuple[Column, Column], c: tuple[Column, Column], d: tuple[Column, Column]) -> Column:
+    """Whether the closed segments a-b and c-d have a point in common; points are (lat, lon)."""
+    def side(p, q, r):
+        return F.signum((q[0] - p[0]) * (r[1] - p[1]) - (q[1] - p[1]) * (r[0] - p[0]))
+
+    def share(x0, x1, y0, y1):
+        return F.greatest(F.least(x0, x1), F.least(y0, y1)) <= F.least(F.greatest(x0, x1), F.greatest(y0, y1))
+
+    boxes = share(a[0], b[0], c[0], d[0]) & share(a[1], b[1], c[1], d[1])
+    return boxes & (side(a, b, c) * side(a, b, d) <= 0) & (side(c, d, a) * side(c, d, b) <= 0)
+
+
 def swap_axes(coords: Column) -> Column:
     """GeoJSON ``[[lon, lat, ...]]`` to ``array<struct<lat,lon>>``."""
     return F.transform(coords, lambda p: F.struct(p[1].alias("lat"), p[0].alias("lon")))

@@ -169,6 +169,54 @@ def locate_region(points: DataFrame, regions: DataFrame, cutoff_km: float = AXIS
     return attach(points, found.where("regiao_id IS NOT NULL"), ["lat", "lon"])
 
 
+def ring_edges(regions: DataFrame, order: str = "regiao_id", ring: str = "polygon") -> DataFrame:
+    """Every edge of every ring: ``region`` and ``r_lat1, r_lon1, r_lat2, r_lon2``; the last vertex joins the first."""
+    r = F.col("_r")
+    at = lambda i, a: F.get(r, i)[a]
+    here, after = F.col("_i"), (F.col("_i") + 1) % F.size(r)
+    return (regions.where(F.size(ring) > 1).select(F.col(order).alias("region"), F.col(ring).alias("_r"))
+            .withColumn("_i", F.explode(F.sequence(F.lit(0), F.size("_r") - 1)))
+            .select("region", at(here, "lat").alias("r_lat1"), at(here, "lon").alias("r_lon1"), at(after, "lat").alias("r_lat2"), at(after, "lon").alias("r_lon2")))
+
+
+def first_touched_region(segments: DataFrame, regions: DataFrame, key: str, order: str = "regiao_id", cell: float = 0.25) -> DataFrame:
+    """First region (by ``order``) that each line touches: (key, ``order``), lines outside all regions with null.
+
+    ``segments`` carries ``key, lat1, lon1, lat2, lon2``, one row per segment of a line. A line touches a region when a vertex lies inside it or a
+    segment meets one of its edges, ends included. Vertices go through the containment join as distinct positions; segments and
+    edges meet in the grid cells that both bounding boxes share, so a long line or a ring of many edges is spread over its cells.
+    """
+    ends = [segments.select(key, F.col(f"lat{i}").alias("lat"), F.col(f"lon{i}").alias("lon")) for i in (1, 2)]
+    vertices = ends[0].unionByName(ends[1]).distinct()
+    held = containing_region(vertices, regions, order, name="_region").where("_region IS NOT NULL").select(key, "_region")
+    lines = (segments.select(key, "lat1", "lon1", "lat2", "lon2").distinct()
+             .withColumn("_cy", F.explode(_cells(F.least("lat1", "lat2"), F.greatest("lat1", "lat2"), cell)))
+             .withColumn("_cx", F.explode(_cells(F.least("lon1", "lon2"), F.greatest("lon1", "lon2"), cell))))
+    edges = (ring_edges(regions, order)
+             .withColumn("_cy", F.explode(_cells(F.least("r_lat1", "r_lat2"), F.greatest("r_lat1", "r_lat2"), cell)))
+             .withColumn("_cx", F.explode(_cells(F.least("r_lon1", "r_lon2"), F.greatest("r_lon1", "r_lon2"), cell))))
+    point = lambda prefix, i: (F.col(f"{prefix}lat{i}"), F.col(f"{prefix}lon{i}"))
+    meets = geo.segments_meet(point("", 1), point("", 2), point("r_", 1), point("r_", 2))
+    crossed = lines.join(edges, ["_cy", "_cx"]).where(meets).select(key, F.col("region").alias("_region"))
+    every = segments.select(key, F.lit(None).cast(regions.schema[order].dataType).alias("_region"))
+    return every.unionByName(held).unionByName(crossed).groupBy(key).agg(F.min("_region").alias(order))
+
+
+def lines_near(points: DataFrame, segments: DataFrame, key: str, tolerance_km: float) -> DataFrame:
+    """Lines at most ``tolerance_km`` from each distinct position: ``lat, lon``, key, ``distance_km`` (planar, of the closest segment)."""
+    degrees = tolerance_km / geo.PLANAR_KM_PER_DEGREE * 1.001
+    size = max(degrees, 0.01)
+    low, high = F.least("lat1", "lat2"), F.greatest("lat1", "lat2")
+    pad = F.lit(degrees) / F.cos(F.radians(F.least(F.greatest(F.abs(low), F.abs(high)) + F.lit(degrees), F.lit(89.0))))
+    spread = (segments.select(key, "lat1", "lon1", "lat2", "lon2")
+              .withColumn("_cy", F.explode(_cells(low - F.lit(degrees), high + F.lit(degrees), size)))
+              .withColumn("_cx", F.explode(_cells(F.least("lon1", "lon2") - pad, F.greatest("lon1", "lon2") + pad, size))))
+    keyed = positions(points).withColumns({"_cy": F.floor(F.col("lat") / F.lit(size)).cast("long"), "_cx": F.floor(F.col("lon") / F.lit(size)).cast("long")})
+    d = geo.segment_distance_km(F.col("lat"), F.col("lon"), (F.col("lat1"), F.col("lon1")), (F.col("lat2"), F.col("lon2")))
+    return (keyed.join(spread, ["_cy", "_cx"]).withColumn("distance_km", d).where(F.col("distance_km") <= tolerance_km)
+            .groupBy("lat", "lon", key).agg(F.min("distance_km").alias("distance_km")))
+
+
 def grid_cell(lat: Column, lon: Column, lat0: float, lon0: float, step: float) -> tuple[Column, Column]:
     """Index of the nearest grid node."""
     return (F.round((lat - F.lit(lat0)) / F.lit(step)).cast("int"), F.round((lon - F.lit(lon0)) / F.lit(step)).cast("int"))

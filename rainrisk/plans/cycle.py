@@ -128,8 +128,12 @@ def timeline(data: Inputs, target: Column, frames: int = 96) -> DataFrame:
     return attach(channels, rated, [*CELL, "_reg", "hazard", "_ra"], "inner", ["ua_id"]).select("ua_id", "hazard", "hr", "rd")
 
 
-def layers_at(lat: float, lon: float, points: DataFrame, regions: DataFrame, fire: DataFrame | None = None, tolerance_km: float = 1.0) -> DataFrame:
-    """Everything near one location: its region, units and fire segments within the tolerance."""
+def layers_at(lat: float, lon: float, points: DataFrame, regions: DataFrame, fire: DataFrame | None = None, tolerance_km: float = 1.0,
+              roads: DataFrame | None = None, areas: DataFrame | None = None) -> DataFrame:
+    """Everything near one location: its region and administrative area, and units, fire segments and roads within the tolerance.
+
+    ``roads`` carries ``road_id`` and the ends of its segments, ``areas`` ``area_id`` and ``polygon``; the area is the first that holds the location.
+    """
     spot = regions.sparkSession.createDataFrame([(lat, lon)], "lat double, lon double")
     region = spatial.containing_region(spot, regions).where("regiao_id IS NOT NULL").select(
         F.lit("region").alias("layer"), F.col("regiao_id").cast("string").alias("id"), F.lit(0.0).alias("distance_km"))
@@ -139,4 +143,12 @@ def layers_at(lat: float, lon: float, points: DataFrame, regions: DataFrame, fir
         return pairs.select(F.lit(layer).alias("layer"), F.col(key).cast("string").alias("id"), "distance_km")
 
     out = region.unionByName(near(points, "unit", "ua_id").distinct())
-    return out.unionByName(near(fire, "fire", "trecho_id").distinct()) if fire is not None else out
+    if fire is not None:
+        out = out.unionByName(near(fire, "fire", "trecho_id").distinct())
+    if roads is not None:
+        close = spatial.lines_near(spot, roads, "road_id", tolerance_km)
+        out = out.unionByName(close.select(F.lit("road").alias("layer"), F.col("road_id").cast("string").alias("id"), "distance_km"))
+    if areas is not None:
+        held = spatial.containing_region(spot, areas, "area_id", name="area_id").where("area_id IS NOT NULL")
+        out = out.unionByName(held.select(F.lit("area").alias("layer"), F.col("area_id").cast("string").alias("id"), F.lit(0.0).alias("distance_km")))
+    return out
