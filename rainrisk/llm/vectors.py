@@ -2,8 +2,8 @@
 
 Equal vectors become one class. In every pass a class gets a signature, the concatenated signs of random projections;
 classes are sorted by it and each is compared with a bounded window of neighbours. Links are verified by cosine in double
-precision and united over the passes. A component too large for the windows gets its links counted exactly, by blocks
-of its classes against each other; counts leave the tasks, never pairs.
+precision and united over the passes. The links of every component are then counted exactly, by blocks of its classes
+against each other; counts leave the tasks, never pairs.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components link with nothing and are their own component. Vectors of
 different length never meet. Repeated rows are vectors of their own; equal ones link. A row with null vec_id takes part, a component is named by
@@ -18,7 +18,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from rainrisk.llm.common import ROW, stored, with_row_id
 from rainrisk.llm.graph import components
@@ -28,12 +28,11 @@ SIGNED = 60
 
 @dataclass(frozen=True)
 class Passes:
-    """Production values: passes, neighbours on each side, components counted by blocks from this many classes on, classes per block."""
+    """Production values: passes, neighbours on each side, classes per block when the links of a component are counted."""
 
     min_cosine: float = 0.95
     passes: int = 16
     window: int = 40
-    crowd: int = 32
     block: int = 512
     seed: int = 11
 
@@ -74,35 +73,57 @@ def signatures(classes: DataFrame, how: Passes) -> DataFrame:
 
 
 def window_links(ordered: DataFrame, how: Passes) -> DataFrame:
-    """Verified links (a, b) inside each partition of rows sorted by lane and signature, and the rows at both ends of the partition.
+    """Verified links (a, b) inside each partition of rows sorted by lane and signature, the rows at both ends of the partition, and its size.
 
-    End rows carry ``side``: -1 for the first rows of a partition, 1 for the last.
+    ``side`` is 0 for a link, -1 for one of the first rows and 1 for one of the last, with ``place`` counted from that end; the row of side 2
+    holds the number of rows in ``place``.
     """
     element = ordered.schema["vec"].dataType.simpleString()
 
     def slide(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["a", "b", "side", "lane", "sig", "vec"]
+        names = ["a", "b", "side", "place", "lane", "sig", "vec"]
 
-        def rows(a, b, side, lane, sig, vec):
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(side, pa.int32()), pa.array(lane, pa.int64()), pa.array(sig, pa.int64()), vec], names=names)
+        def rows(a, b, side, place, lane, sig, vec):
+            longs = [pa.array(x, pa.int64()) for x in (place, lane, sig)]
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(side, pa.int32()), *longs, vec], names=names)
 
-        def ends(part, side):
+        def ends(part, side, place):
             n = part.num_rows
-            return rows(part.column(2), [None] * n, [side] * n, part.column(0), part.column(1), part.column(3))
+            return rows(part.column(2), [None] * n, [side] * n, place, part.column(0), part.column(1), part.column(3))
 
-        tail, head = None, 0
+        tail, head, total = None, 0, 0
         for part in parts:
             if head < how.window:
-                yield ends(part.slice(0, how.window - head), -1)
+                first = part.slice(0, how.window - head)
+                yield ends(first, -1, np.arange(head, head + first.num_rows))
                 head += min(part.num_rows, how.window - head)
             both = part if tail is None else pa.concat_batches([tail, part])
             a, b = neighbour_links(both, 0 if tail is None else tail.num_rows, how)
-            yield rows(a, b, [0] * len(a), [None] * len(a), [None] * len(a), pa.nulls(len(a), part.schema.field("vec").type))
+            none = [None] * len(a)
+            yield rows(a, b, [0] * len(a), none, none, none, pa.nulls(len(a), part.schema.field("vec").type))
+            total += part.num_rows
             tail = both.slice(max(0, both.num_rows - how.window))
-        if tail is not None:
-            yield ends(tail, 1)
+        if total:
+            yield ends(tail, 1, np.arange(tail.num_rows)[::-1])
+            yield rows([None], [None], [2], [total], [None], [None], pa.nulls(1, tail.schema.field("vec").type))
 
-    return ordered.mapInArrow(slide, f"a long, b long, side int, lane long, sig long, vec {element}")
+    return ordered.mapInArrow(slide, f"a long, b long, side int, place long, lane long, sig long, vec {element}")
+
+
+def seam_rows(slid: DataFrame, how: Passes) -> DataFrame:
+    """Rows around the start of each partition that holds rows: its first ones, and those at most a window before, however many partitions back.
+
+    One row per partition goes through an unpartitioned window: as many as there are partitions.
+    """
+    order = Window.orderBy("at")
+    starts = slid.where("side = 2").select("at", F.col("place").alias("n")).withColumn("start", F.sum("n").over(order) - F.col("n"))
+    following = F.collect_list(F.struct("at", "start")).over(order.rowsBetween(1, how.window))
+    starts = starts.select("at", (F.col("start") + F.col("n")).alias("stop"), following.alias("following"))
+    last = slid.where("side = 1").join(starts, "at")
+    reached = F.filter("following", lambda f: f["start"] - F.col("stop") + F.col("place") < how.window)
+    last = last.withColumn("f", F.explode(reached)).withColumn("seam", F.col("f.at"))
+    first = slid.where("side = -1").withColumn("seam", F.col("at"))
+    return first.select("seam", "lane", "sig", "a", "vec").unionByName(last.select("seam", "lane", "sig", "a", "vec"))
 
 
 def neighbour_links(rows: pa.RecordBatch, old: int, how: Passes) -> tuple[np.ndarray, np.ndarray]:
@@ -127,20 +148,17 @@ def found_links(classes: DataFrame, how: Passes) -> DataFrame:
     """Distinct links (a < b) between classes over all passes."""
     ordered = signatures(classes, how).repartitionByRange("lane", "sig", "cls").sortWithinPartitions("lane", "sig", "cls")
     slid = stored(window_links(ordered, how).withColumn("at", F.spark_partition_id()))
-    # the last rows of a partition meet the first of the next: two windows at most
-    seams = slid.where("side <> 0").withColumn("seam", F.expr("CASE WHEN side = 1 THEN at ELSE at - 1 END"))
-
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["lane", "sig", "a"], kind="stable")
         part = pa.RecordBatch.from_arrays([pa.array(pdf[c].to_numpy()) for c in ("lane", "sig", "a")] + [pa.array(pdf["vec"].tolist(), pa.list_(pa.float64()))], names=["lane", "sig", "cls", "vec"])
         a, b = neighbour_links(part, 0, how)
         return pd.DataFrame({"a": a, "b": b})
 
-    across = seams.groupBy("seam").applyInPandas(meet, "a long, b long")
+    across = seam_rows(slid, how).groupBy("seam").applyInPandas(meet, "a long, b long")
     return stored(slid.where("side = 0").select("a", "b").union(across).where("a <> b").distinct())
 
 
-def crowded_counts(members: DataFrame, how: Passes) -> DataFrame:
+def link_counts(members: DataFrame, how: Passes) -> DataFrame:
     """(cls, linked): vectors linked with each class inside its component, from all pairs of blocks of the component.
 
     ``members`` has root, size (classes of the component), cls, copies, vec. A class goes to as many tasks as there are blocks.
@@ -176,11 +194,8 @@ def near_duplicates(vectors: DataFrame, how: Passes = Passes(), key: str = "vec_
                    .select("cls", "copies", "least", F.coalesce("root", "cls").alias("root")))
     sizes = stored(roots.groupBy("root").agg(F.count(F.lit(1)).alias("size"), F.min("least").alias("component_id")))
     roots = stored(roots.join(sizes, "root"))
-    crowded = roots.where(F.col("size") > how.crowd).join(classes.select("cls", "vec"), "cls")
-    both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    few = (both.join(roots.where(F.col("size") <= how.crowd).select(F.col("cls").alias("b"), "copies"), "b")
-           .groupBy(F.col("a").alias("cls")).agg(F.sum("copies").alias("linked")))
-    counts = few.union(crowded_counts(crowded, how))
+    linked = roots.where("size > 1").join(classes.select("cls", "vec"), "cls")
+    counts = link_counts(linked, how)
     summary = stored(roots.join(counts, "cls", "left").select("cls", "component_id", (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
     named = stored(classes.select("cls", "vec").join(summary, "cls").drop("cls"))
     out = rows.join(named.withColumn("sound", F.lit(True)), ["vec", "sound"], "left")
