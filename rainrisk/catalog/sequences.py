@@ -189,7 +189,17 @@ def quota_mismatches(spark, sf):
     return sequences.quota_mismatches(fx.units(spark, sf), q.withColumn("quota", short), ["road", "escala"])
 
 
-@query("WIN-16")
+OVER = lambda c: f"list_transform(range(5), lambda k: len(list_filter({c}, lambda x: x = k)) - CASE WHEN k = 0 THEN n - 4*(n//5) ELSE n//5 END)"
+#: One move a step: the nearest member of the fullest class goes to the emptiest one.
+CALIBRATED = {"n": NUM, "st": "SELECT road, (rn-1)//100 AS stretch, list(GREATEST(COALESCE(cls, 0), 0)::INT ORDER BY rn) AS c, list(ua_id ORDER BY rn) AS ids, COUNT(*)::INT AS n FROM n GROUP BY ALL",
+              "walk": f"""SELECT ids, n, c, {OVER('c')} AS over FROM st UNION ALL SELECT ids, n, moved AS c, {OVER('moved')} AS over FROM (
+    SELECT *, list_transform(c, lambda x, i: CASE WHEN i = pick THEN t ELSE x END) AS moved FROM (SELECT *, movable[COALESCE(list_position(gaps, list_min(gaps)), 1)] AS pick FROM (
+    SELECT *, list_transform(movable, lambda i: list_min(list_transform(anchors, lambda j: abs(i - j)))) AS gaps FROM (
+    SELECT *, list_filter(range(1, n + 1), lambda i: c[i] = s) AS movable, list_filter(range(1, n + 1), lambda i: c[i] = t) AS anchors FROM (
+    SELECT *, list_position(over, list_max(over))::INT - 1 AS s, list_position(over, list_min(over))::INT - 1 AS t FROM walk WHERE list_max(over) > 0)))))"""}
+
+
+@query("WIN-16", fx.sql_with("units", CALIBRATED, "SELECT unnest(ids) AS ua_id, unnest(c) AS cls FROM walk WHERE list_max(over) = 0").replace("WITH ", "WITH RECURSIVE ", 1))
 def calibrated_classes(spark, sf):
     """Stretches of 100 consecutive units are calibrated to equal shares."""
     u = numbered(fx.units(spark, sf).select("road", "km0", "ua_id", "cls"), ["road"], ["km0", "ua_id"])

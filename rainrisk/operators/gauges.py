@@ -59,19 +59,23 @@ def anchor_estimates(units: DataFrame, stations: DataFrame, value: str = "value_
                       F.coalesce(F.col("_snap.d"), F.col("_d")).alias("d_min_km"), "n_covered", "n_dry", "d_covered")
 
 
-def network_mean(units: DataFrame, stations: DataFrame, value: str = "value_mm", ordinal: str = "station_id", snap_km: float = 0.1, block: int = 1024) -> DataFrame:
+def network_mean(units: DataFrame, stations: DataFrame, value: str = "value_mm", ordinal: str = "station_id", snap_km: float = 0.1, block: int = 128,
+                 tile: int = 1024) -> DataFrame:
     """Inverse-distance-squared mean over all stations, per unit position; a station closer than ``snap_km`` replaces it, 0.0 without a station.
 
-    Station positions travel in blocks of about ``block``. Every unit position meets every block once and adds up inside the
-    row, so the work is units times stations but no list of pairs exists.
+    Station positions travel in blocks of about ``block``, unit positions in tiles of about ``tile``, and each tile meets each block under a key of
+    its own: the work is units times stations by definition, spread evenly over tiles times blocks. A unit adds up inside its row, so no list of pairs exists.
     """
     places = station_places(stations, value, ordinal)
-    n_blocks = F.greatest(F.ceil(F.count(F.lit(1)) / block), F.lit(1)).cast("int")
-    count = places.agg(n_blocks.alias("n")).scalar()
+    tiles = lambda df, size: df.agg(F.greatest(F.ceil(F.count(F.lit(1)) / size), F.lit(1)).cast("long").alias("n")).scalar()
+    count = tiles(places, block)
     blocks = (places.withColumn("_b", F.pmod(F.xxhash64("s_lat", "s_lon"), count)).groupBy("_b")
               .agg(F.sort_array(F.collect_list(F.struct("s_lat", "s_lon", "n", (F.col("_sum") / F.lit(float(rain.TICKS_PER_MM))).alias("total"), "first"))).alias("places")))
     spots = positions(units)
-    met = spots.withColumn("_b", F.explode(F.sequence(F.lit(0).cast("long"), count.cast("long") - 1))).join(blocks, "_b")
+    spread = tiles(spots, tile)
+    blocks = blocks.withColumn("_u", F.explode(F.sequence(F.lit(0).cast("long"), spread - 1)))
+    met = (spots.withColumn("_u", F.pmod(F.xxhash64("lat", "lon"), spread))
+           .withColumn("_b", F.explode(F.sequence(F.lit(0).cast("long"), count - 1))).join(blocks, ["_u", "_b"]))
     each = F.transform("places", lambda p: F.struct(geo.haversine_km(F.col("lat"), F.col("lon"), p["s_lat"], p["s_lon"]).alias("d"), p["n"].alias("n"),
                                                     p["total"].alias("total"), p["first"]["o"].alias("o"), p["first"]["v"].alias("v")))
     far = F.filter(each, lambda p: p["d"] >= snap_km)

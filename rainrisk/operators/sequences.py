@@ -7,13 +7,16 @@ stretches that are provably independent of each other.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Callable, Iterable, Iterator
+from heapq import heappop, heappush
 from itertools import chain, groupby, islice
 from operator import itemgetter
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions import geo
@@ -56,22 +59,6 @@ def run_lengths(rows: DataFrame, keys: list[str], order: list[str], cls: str, st
     return runs if drop is None else runs.where(F.col(cls) != drop)
 
 
-def _per_stretch(pdf: pd.DataFrame, order: str, rule) -> pd.DataFrame:
-    """Apply a rule on lists of row dicts to every stretch of a bundle."""
-    done: list[dict] = []
-    rows = pdf.sort_values(["_part", order]).to_dict("records")
-    for _, stretch in groupby(rows, key=itemgetter("_part")):
-        done.extend(rule(list(stretch)))
-    return pd.DataFrame(done, columns=pdf.columns)
-
-
-def _bundled(parts: DataFrame, keys: list[str], order: str, rule, stretches: int = 256) -> DataFrame:
-    """Run a rule over consecutive stretches, many per Python call."""
-    schema = parts.schema
-    bundle = F.floor(F.col("_part") / F.lit(stretches))
-    return parts.groupBy(*keys, bundle).applyInPandas(lambda pdf: _per_stretch(pdf, order, rule), schema)
-
-
 def _absorb(runs: Iterable[dict], cls: str, allowed_col: str | None, min_km: float) -> Iterator[dict]:
     """Leftmost unwanted run joins its longer neighbour (left on a tie) until none is left; then equal ones fuse.
 
@@ -101,7 +88,7 @@ def _absorb(runs: Iterable[dict], cls: str, allowed_col: str | None, min_km: flo
         yield out
 
 
-def _absorbed(parts: DataFrame, keys: list[str], rule: Callable[[Iterable[dict]], Iterator[dict]], chunk: int = 20_000) -> DataFrame:
+def _streamed(parts: DataFrame, keys: list[str], order: str, rule: Callable[[Iterable[dict]], Iterator[dict]], chunk: int = 20_000) -> DataFrame:
     """Stream every stretch through ``rule``: tasks hold a batch of rows, never a stretch."""
     group = [*keys, "_part"]
 
@@ -112,7 +99,7 @@ def _absorbed(parts: DataFrame, keys: list[str], rule: Callable[[Iterable[dict]]
             yield pa.RecordBatch.from_pylist(done, schema=schema)
 
     schema = to_arrow_schema(parts.schema)
-    return parts.repartition(*group).sortWithinPartitions(*group, "run").mapInArrow(stream, parts.schema)
+    return parts.repartition(*group).sortWithinPartitions(*group, order).mapInArrow(stream, parts.schema)
 
 
 def absorb_runs(runs: DataFrame, keys: list[str], cls: str, min_km: float = 0.15, allowed: str | None = None) -> DataFrame:
@@ -132,7 +119,7 @@ def absorb_runs(runs: DataFrame, keys: list[str], cls: str, min_km: float = 0.15
     lone = parts.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_size"))
     sized = parts.join(lone, [*keys, "_part"])
     quiet = sized.where("_size = 1").select(*schema.names)
-    busy = _absorbed(sized.where("_size > 1").select(*schema.names), keys, lambda runs: _absorb(runs, cls, allowed, min_km))
+    busy = _streamed(sized.where("_size > 1").select(*schema.names), keys, "run", lambda runs: _absorb(runs, cls, allowed, min_km))
     return quiet.unionByName(busy).drop("_part", "n")
 
 
@@ -161,14 +148,15 @@ def _filled_blocks(rows: DataFrame, keys: list[str], order: list[str], score: st
     return OrderedBlocks(out, keys, ["_rn"])
 
 
-def _fix_outliers(rows: list[dict], trust: float) -> list[dict]:
-    left_s, left_c = rows[0]["_ls"], rows[0]["_lc"]
+def _fix_outliers(rows: Iterable[dict], trust: float) -> Iterator[dict]:
+    left = None
     for r in rows:
+        left_s, left_c = left or (r["_ls"], r["_lc"])
         if (r["_inner"] and r["conf"] >= trust and abs(left_s - r["_rs"]) <= 1.0 and abs(r["score"] - left_s) > 1.5):
             r["score"], r["_fixed"] = (left_s if left_c >= r["_rc"] else r["_rs"]), True
             r["conf"] = min(r["conf"], 0.6)
-        left_s, left_c = r["score"], r["conf"]
-    return rows
+        left = r["score"], r["conf"]
+        yield r
 
 
 def smooth_neighbours(rows: DataFrame, keys: list[str], order: list[str], trust: float = TRUST) -> DataFrame:
@@ -190,7 +178,7 @@ def smooth_neighbours(rows: DataFrame, keys: list[str], order: list[str], trust:
     still = parts.groupBy(*keys, "_part").agg((F.count_if(~F.col("_frozen")) == 0).alias("_still"))
     tagged = parts.join(still, [*keys, "_part"])
     quiet = tagged.where("_still").select(*parts.columns)
-    busy = _bundled(tagged.where("NOT _still").select(*parts.columns), keys, "_rn", lambda rows: _fix_outliers(rows, trust))
+    busy = _streamed(tagged.where("NOT _still").select(*parts.columns), keys, "_rn", lambda rows: _fix_outliers(rows, trust))
     out = quiet.unionByName(busy)
     mode = F.when(F.col("_filled") | F.col("_fixed"), F.bround("score").cast("int")).otherwise(F.col("mode"))
     return out.withColumn("mode", mode).select(*rows.columns)
@@ -247,34 +235,118 @@ def quota_mismatches(rows: DataFrame, quotas: DataFrame, keys: list[str]) -> Dat
     return sizes.join(wanted, keys, "full_outer").where(~F.col("units").eqNullSafe(F.col("quota_units")))
 
 
-def _calibrate(group: pd.DataFrame, order: str, cls: str) -> pd.DataFrame:
-    g = group.sort_values(order).reset_index(drop=True)
-    classes = [c if c >= 0 else 0 for c in g[cls]]
-    want = list(g["quota"].iloc[0])
-    have = [classes.count(k) for k in range(5)]
-    while have != want:
-        spare = max((have[k] - want[k], -k) for k in range(5))
-        short = max((want[k] - have[k], -k) for k in range(5))
-        source, target = -spare[1], -short[1]
-        anchors = [i for i, c in enumerate(classes) if c == target]
-        movable = [i for i, c in enumerate(classes) if c == source]
-        pick = min(movable, key=lambda i: min(abs(i - j) for j in anchors)) if anchors else movable[0]
-        classes[pick] = target
-        have[source] -= 1
-        have[target] += 1
-    return g.assign(**{cls: classes})
-
-
-def calibrate_to_quota(rows: DataFrame, quotas: DataFrame, keys: list[str], order: str, cls: str, max_group: int = 5000) -> DataFrame:
-    """Move units from the most overfull class to the most underfull one, nearest in sequence first.
-
-    Greedy and sequential inside a group, so groups must be small: a group whose size
-    differs from its quota, or exceeds ``max_group``, fails the job instead of being cut.
+class _Marks:
+    """Places of one class from 1 on, with the nearest one on either side: words of 64 bits, and above them words that say which are in use."""
+
+    def __init__(self, flags: np.ndarray):
+        self.levels = []
+        while True:
+            bits = np.zeros(-(-len(flags) // 64) * 64, bool)
+            bits[:len(flags)] = flags
+            words = np.packbits(bits, bitorder="little").view("<u8")
+            self.levels.append(array("Q", words.tobytes()))
+            if len(words) == 1:
+                return
+            flags = words != 0
+
+    def add(self, i: int) -> None:
+        for words in self.levels:
+            words[i >> 6] |= 1 << (i & 63)
+            i >>= 6
+
+    def remove(self, i: int) -> None:
+        for words in self.levels:
+            words[i >> 6] &= ~(1 << (i & 63))
+            if words[i >> 6]:
+                return
+            i >>= 6
+
+    def after(self, i: int) -> int | None:
+        for depth, words in enumerate(self.levels):
+            if w := words[i >> 6] >> (i & 63) + 1:
+                i += (w & -w).bit_length()
+                for lower in reversed(self.levels[:depth]):
+                    i = (i << 6) + (lower[i] & -lower[i]).bit_length() - 1
+                return i
+            i >>= 6
+        return None
+
+    def before(self, i: int) -> int | None:
+        for depth, words in enumerate(self.levels):
+            if w := words[i >> 6] & (1 << (i & 63)) - 1:
+                i = (i >> 6 << 6) + w.bit_length() - 1
+                for lower in reversed(self.levels[:depth]):
+                    i = (i << 6) + lower[i].bit_length() - 1
+                return i
+            i >>= 6
+        return None
+
+
+def _balance(classes: np.ndarray, over: list[int]) -> None:
+    """Move places between classes 0..4 in ``classes`` (place 0 is unused) until ``over``, the surplus of each class, is all zero.
+
+    Each step takes the fullest and the emptiest class (the lower one on a tie) and moves the place of the first that is nearest to one of the
+    second (the lower one on a tie; the first place while there is none). A full class only loses places and an empty one only gains them, so a heap for each
+    pair holds every border between the two, and a move adds the borders that it opens.
+    """
+    n = len(classes)
+    full, empty = [k for k in range(5) if over[k] > 0], [k for k in range(5) if over[k] < 0]
+    marks = {k: _Marks(classes == k) for k in full + empty}
+    borders = {}
+    for s in full:
+        for t in empty:
+            at = np.flatnonzero((classes == s) | (classes == t))
+            kind = classes[at]
+            met = kind[1:] != kind[:-1]
+            places = np.where(kind[1:] == s, at[1:], at[:-1])
+            borders[s, t] = np.sort(((at[1:] - at[:-1]) * n + places)[met]).tolist()
+    while any(over):
+        s, t = over.index(max(over)), over.index(min(over))
+        heap = borders[s, t]
+        while heap and classes[heap[0] % n] != s:
+            heappop(heap)
+        i = heap[0] % n if heap else marks[s].after(0)
+        classes[i] = t
+        over[s] -= 1
+        over[t] += 1
+        marks[s].remove(i)
+        marks[t].add(i)
+        for o in full:
+            left, right = marks[o].before(i), marks[o].after(i)
+            for u in empty if o == s else [t]:
+                if left and (a := marks[u].after(left)):
+                    heappush(borders[o, u], (a - left) * n + left)
+                if right and (a := marks[u].before(right)):
+                    heappush(borders[o, u], (right - a) * n + right)
+
+
+def _moved(group: pd.DataFrame, keys: list[str]) -> pd.DataFrame:
+    """Places of one group that change their class, from its blocks of digits."""
+    parts = group.sort_values("_first")
+    digits = np.frombuffer("".join(parts["_digits"]).encode(), np.uint8).astype(np.int8) - 48
+    key = {k: group[k].iloc[0] for k in keys}
+    want = parts["quota"].iloc[0]
+    if want is None or len(want) != 5 or sum(want) != len(digits):
+        raise ValueError(f"group size does not fit its quota: {key}")
+    classes = np.concatenate([np.array([-1], np.int8), digits])
+    _balance(classes, [int(c) - int(w) for c, w in zip(np.bincount(digits, minlength=5), want)])
+    at = np.flatnonzero(classes[1:] != digits)
+    return pd.DataFrame(key | {"_rn": at + 1, "_new": classes[at + 1].astype(np.int32)}, columns=[*keys, "_rn", "_new"])
+
+
+def calibrate_to_quota(rows: DataFrame, quotas: DataFrame, keys: list[str], order: str, cls: str) -> DataFrame:
+    """Move units from the most overfull class to the most underfull one, nearest in sequence first, until every class 0..4 has its quota.
+
+    Null and negative classes count as 0, a class over 4 is an error. ``order`` is unique inside a group; ``quotas`` has one row for each group, and a group
+    whose size differs from its quota fails the job. Each move depends on the one before, so the moves of a group are made one after another: for that its
+    classes, one digit a row, go to one task. The rows stay in their blocks and pick their new class up by number.
     """
-    size = F.aggregate("quota", F.lit(0), lambda a, x: a + x)
-    counted = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    checked = counted.join(quotas.select(*keys, "quota"), keys, "left").withColumn(
-        "quota", F.when((F.col("_n") == size) & (F.col("_n") <= max_group), F.col("quota")).otherwise(
-            F.raise_error(F.concat(F.lit("group size does not fit its quota: "), F.to_json(F.struct(*keys)))).cast("array<int>")))
-    joined = rows.join(checked.drop("_n"), keys)
-    return joined.groupBy(*keys).applyInPandas(lambda g: _calibrate(g, order, cls), joined.schema).drop("quota")
+    known = F.greatest(F.coalesce(F.col(cls), F.lit(0)), F.lit(0)).cast("int")
+    digit = F.when(known <= 4, known.cast("string")).otherwise(F.raise_error(F.lit("a class over 4 has no quota")).cast("string"))
+    blocks = OrderedBlocks.of(rows, keys, [order]).extend({"_rn": ("sum", F.lit(1).cast("long"), True)}).rows
+    ordered = F.array_sort(F.collect_list(F.struct("_rn", digit.alias("d"))))
+    packed = blocks.groupBy(*keys, BLOCK).agg(F.min("_rn").alias("_first"), F.array_join(F.transform(ordered, lambda x: x["d"]), "").alias("_digits"))
+    wanted = packed.join(quotas.select(*keys, "quota"), keys, "left")
+    schema = T.StructType([rows.schema[k] for k in keys] + [T.StructField("_rn", T.LongType()), T.StructField("_new", T.IntegerType())])
+    moved = wanted.groupBy(*keys).applyInPandas(lambda g: _moved(g, keys), schema)
+    return blocks.join(moved, [*keys, "_rn"], "left").withColumn(cls, F.coalesce("_new", known).cast(rows.schema[cls].dataType)).select(*rows.columns)

@@ -3,6 +3,8 @@
 import random
 from collections import Counter
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from rainrisk.operators import intervals, scale, sequences
@@ -129,6 +131,64 @@ def test_calibration_reaches_the_quota(spark):
     assert [r.cls for r in sequences.calibrate_to_quota(two, q2, ["k"], "pos", "cls").orderBy("pos").collect()] == [3, 1, 1]
 
 
+def moved_one_by_one(classes, want):
+    """Quota calibration with every distance looked at in every step."""
+    classes = [max(c or 0, 0) for c in classes]
+    while True:
+        over = [classes.count(k) - want[k] for k in range(5)]
+        s, t = over.index(max(over)), over.index(min(over))
+        if not over[s]:
+            return classes
+        far = lambda i: min((abs(i - j) for j, c in enumerate(classes) if c == t), default=0)
+        classes[min((i for i, c in enumerate(classes) if c == s), key=far)] = t
+
+
+def test_calibration_equals_single_steps(spark):
+    rng = random.Random(9)
+    rows, quotas, want = [], [], {}
+    for g in range(60):
+        n = rng.choice([1, 2, 5, 63, 64, 65, 150])
+        few = rng.sample([None, -1, 0, 1, 2, 3, 4], rng.randint(1, 5))
+        classes = [c for c in (rng.choice(few) for _ in range(n)) for _ in range(rng.choice([1, 1, 4]))][:n]
+        cuts = sorted(rng.randint(0, n) for _ in range(4))
+        quota = [b - a for a, b in zip([0, *cuts], [*cuts, n])]
+        rows += [(f"g{g}", i * 3, c, "x") for i, c in enumerate(classes)]
+        quotas.append((f"g{g}", quota))
+        want[f"g{g}"] = moved_one_by_one(classes, quota)
+    df = spark.createDataFrame(rows, "k string, pos int, cls int, more string").repartition(5)
+    out = sequences.calibrate_to_quota(df, spark.createDataFrame(quotas, "k string, quota array<int>"), ["k"], "pos", "cls")
+    assert out.columns == df.columns
+    got = {}
+    for r in out.orderBy("k", "pos").collect():
+        got.setdefault(r.k, []).append(r.cls)
+    assert got == want
+
+
+def test_calibration_of_a_large_group(spark):
+    n = 50_000
+    df = spark.range(n).select(F.lit("g").alias("k"), "id", (F.xxhash64("id") % 5).cast("int").alias("cls"))
+    quotas = spark.createDataFrame([("g", [n // 5] * 5)], "k string, quota array<int>")
+    out = sequences.calibrate_to_quota(df, quotas, ["k"], "id", "cls")
+    assert {r.cls: r["count"] for r in out.groupBy("cls").count().collect()} == {k: n // 5 for k in range(5)}
+    with pytest.raises(Exception, match="does not fit its quota"):
+        sequences.calibrate_to_quota(df.limit(9), quotas, ["k"], "id", "cls").collect()
+
+
+def test_outliers_in_long_stretches(spark):
+    """Rows that alternate between far values make one stretch of the whole road; it is streamed."""
+    rng = random.Random(2)
+    n = 3000
+    rows = [("a", i, float(rng.choice([0, 1, 4, 5])), rng.choice([0.4, 0.7, 0.9]), 0) for i in range(n)]
+    df = spark.createDataFrame(rows, "k string, i int, score double, conf double, mode int")
+    score, conf = [r[2] for r in rows], [r[3] for r in rows]
+    for i in range(1, n - 1):
+        if abs(score[i - 1] - score[i + 1]) <= 1 and abs(score[i] - score[i - 1]) > 1.5:
+            score[i] = score[i - 1] if conf[i - 1] >= conf[i + 1] else score[i + 1]
+            conf[i] = min(conf[i], 0.6)
+    got = sequences.smooth_neighbours(df, ["k"], ["i"]).orderBy("i").collect()
+    assert [(r.score, r.conf) for r in got] == list(zip(score, conf))
+
+
 def test_quota_by_rank(spark):
     df = spark.createDataFrame([("g", i, s) for i, s in enumerate([None, 4, 1, 4, 2, 0])], "k string, pos int, sug int")
     q = spark.createDataFrame([("g", [2, 1, 1, 1, 1])], "k string, quota array<int>")
