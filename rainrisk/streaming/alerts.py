@@ -94,33 +94,38 @@ def read_state(spark: SparkSession, root: str, before: int) -> DataFrame:
     return newest.where("NOT _s.cleared").select(*KEYS, "_s.level", "_s.sent_at")
 
 
-def run(spark: SparkSession, cycles: DataFrame, root: str, checkpoint: str, send: Callable[[DataFrame, int], None], whole_every: int = 100):
-    """Judge a stream of risk rows that carry their ``cycle_at``; a micro-batch may hold any number of cycles.
+def judge(spark: SparkSession, batch: DataFrame, root: str, batch_id: int, send: Callable[[DataFrame, int], None], whole_every: int = 100) -> None:
+    """Judge the cycles of one batch and write the units it changed as version ``batch_id``, every ``whole_every``-th time the whole state.
 
-    Each batch writes the units it changed as its own version, every ``whole_every``-th one the whole state, after which older versions go. A replayed
-    batch starts from the versions before it, so it gives the same alerts again.
+    Versions that a whole state replaces go with the next batch: by then the whole state is committed and is not computed again. The same batch id starts from
+    the versions before it, so it gives the same alerts again.
     """
+    if batch_id and batch_id % whole_every == 0:
+        remove_versions(spark, root, batch_id - 1)
+    state = read_state(spark, root, batch_id)
+    alerts, changes = steps(batch, state)
+    send(alerts, batch_id)
+    whole = batch_id % whole_every == whole_every - 1
+    if whole:
+        kept = state.join(changes, KEYS, "left_anti").withColumn("cleared", F.lit(False)).unionByName(changes.where("NOT cleared"))
+        # a row without a unit marks the version as whole even if no unit is in alert
+        mark = spark.range(1).select(*[F.lit(None).cast(t).alias(c) for c, t in kept.dtypes])
+        changes = kept.unionByName(mark)
+    changes.withColumn("whole", F.lit(whole)).write.mode("overwrite").parquet(f"{root}/version={batch_id}")
+
+
+def run(spark: SparkSession, cycles: DataFrame, root: str, checkpoint: str, send: Callable[[DataFrame, int], None], whole_every: int = 100):
+    """Judge a stream of risk rows that carry their ``cycle_at``; a micro-batch may hold any number of cycles."""
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.persist()
-        state = read_state(spark, root, batch_id)
-        alerts, changes = steps(batch, state)
-        send(alerts, batch_id)
-        whole = batch_id % whole_every == whole_every - 1
-        if whole:
-            kept = state.join(changes, KEYS, "left_anti").withColumn("cleared", F.lit(False)).unionByName(changes.where("NOT cleared"))
-            # a row without a unit marks the version as whole even if no unit is in alert
-            mark = spark.range(1).select(*[F.lit(None).cast(t).alias(c) for c, t in kept.dtypes])
-            changes = kept.unionByName(mark)
-        changes.withColumn("whole", F.lit(whole)).write.mode("overwrite").parquet(f"{root}/version={batch_id}")
-        if whole:
-            remove_versions(spark, root, batch_id)
+        judge(spark, batch, root, batch_id, send, whole_every)
         batch.unpersist()
 
     return (cycles.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
 
 
 def remove_versions(spark: SparkSession, root: str, before: int) -> None:
-    """Delete the versions of a state log below ``before``."""
+    """Delete the versions of a log below ``before``."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
     fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     for status in fs.listStatus(path):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -41,8 +42,8 @@ def store_hours(cells: DataFrame, store: str) -> None:
     batch = checkpointed(cells.select(*[f.name for f in T.StructType.fromDDL(CELL_SCHEMA)]).withColumns(_partition()))
     if exists(spark, store):
         touched = batch.select(*PARTITION).distinct()
-        # the touched folders alone are read: their names are few, one per hour of the batch
-        stored = read_hours(spark, store).join(F.broadcast(touched), PARTITION, "left_semi")
+        # small batches prune the folders at run time; a long backfill joins by the hour
+        stored = read_hours(spark, store).join(touched, PARTITION, "left_semi")
         batch = batch.unionByName(stored)
     # the merged hours must be complete before their folders are replaced
     merged = checkpointed(newest_publication(batch).withColumns(_partition()))
@@ -69,16 +70,17 @@ def valid_hours(hourly: DataFrame, target: Column) -> DataFrame:
 
 
 def ingest(spark: SparkSession, source: str, store: str, checkpoint: str, on_batch: Callable[[DataFrame, int], None] | None = None,
-           once: bool = True) -> StreamingQuery:
-    """Stream landed cell files into the hour store; ``on_batch`` runs after each stored batch."""
+           once: bool = True, every: str = INGEST_EVERY) -> StreamingQuery:
+    """Stream landed cell files into the hour store; ``on_batch`` gets the 96 hours up to the newest stored one after each stored batch."""
     def write(batch: DataFrame, batch_id: int) -> None:
         store_hours(batch, store)
-        if on_batch:
-            on_batch(read_hours(spark, store), batch_id)
+        newest = newest_hour(spark, store)
+        if on_batch and newest:
+            on_batch(read_hours(spark, store, F.lit(newest)), batch_id)
 
     writer = (spark.readStream.schema(CELL_SCHEMA).parquet(source)
               .writeStream.foreachBatch(write).option("checkpointLocation", checkpoint))
-    return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=INGEST_EVERY)).start()
+    return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)).start()
 
 
 def when_ready(target: Column, emit: Callable[[DataFrame, int], None], no_data: Callable[[int], None] | None = None):
@@ -110,6 +112,19 @@ def hourly_totals_stream(readings: DataFrame, delay: str = "24 hours") -> DataFr
             .select("station_id", F.col("w.start").alias("hr"), (F.col("_t") / F.lit(float(rain.TICKS_PER_MM))).alias("mm"), "qtd"))
 
 
+def newest_hour(spark: SparkSession, store: str) -> datetime | None:
+    """Newest stored hour by folder names; None for a store without hours."""
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(store)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(root):
+        return None
+    under = lambda path, prefix: sorted((s.getPath() for s in fs.listStatus(path) if s.getPath().getName().startswith(prefix)), key=lambda p: p.getName())
+    for day in reversed(under(root, "day=2")):
+        if hours := under(day, f"{HOUR_KEY}="):
+            return datetime.strptime(hours[-1].getName().split("=")[1], "%Y%m%d%H")
+    return None
+
+
 def prune_hours(spark: SparkSession, store: str, now: str, days: int = REFETCH["ttl_days"]) -> list[str]:
     """Drop hour partitions older than ``days`` (0 keeps all); only folder names are listed."""
     if days == 0:

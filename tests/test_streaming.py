@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rainrisk.operators import rain
-from rainrisk.streaming import alerts, gauges, history, ingest
+from rainrisk.streaming import alerts, cycles, gauges, history, ingest
 
 T0 = datetime(2026, 1, 10, 12)
 TARGET = F.lit(str(T0)).cast("timestamp")
@@ -245,3 +245,89 @@ def test_last_good_is_kept(spark, tmp_path):
     assert history.keep_last_good(spark.range(3), out)
     assert not history.keep_last_good(spark.range(0), out)
     assert spark.read.parquet(out).count() == 3
+
+
+def test_gauge_log_follows_the_batch(spark, tmp_path):
+    """A version holds its batch only, a whole one all hours; old versions go and the readings stay the same."""
+    import random
+
+    src, store, chk = (str(tmp_path / n) for n in ("src", "store", "chk"))
+    rnd, log = random.Random(5), []
+    for batch in range(5):
+        size = 1 if batch == 1 else 150
+        log.append([(f"s{rnd.randrange(8)}", T0 + timedelta(hours=rnd.randrange(40) + 20 * batch), float(rnd.randrange(9)), batch * 1000 + i) for i in range(size)])
+        spark.createDataFrame(log[-1], gauges.READING_SCHEMA).coalesce(1).write.mode("append").parquet(src)
+        gauges.run(spark, src, store, chk, whole_every=4).awaitTermination()
+        if batch == 1:
+            assert spark.read.parquet(f"{store}/version=1").count() == 1
+        best = {}
+        for station, hr, mm, seq in (r for rows in log for r in rows):
+            best[station, hr] = max(best.get((station, hr), (0, 0)), (seq, mm))
+        newest = max(hr for _, hr in best)
+        want = {k: v[1] for k, v in best.items() if newest - k[1] < timedelta(hours=96)}
+        assert {(r.station_id, r.hr): r.mm for r in gauges.read(spark, store, batch).collect()} == want
+    assert sorted(p.name for p in (tmp_path / "store").iterdir()) == ["version=3", "version=4"]
+
+
+def test_gauge_refresh_reads_what_it_needs(spark, tmp_path):
+    store, marks, asked = str(tmp_path / "store"), str(tmp_path / "marks"), []
+
+    def fetch(hours):
+        asked.append(hours)
+        return spark.createDataFrame([("a", T0, 1.0, len(asked))], gauges.READING_SCHEMA)
+
+    hour = timedelta(hours=1)
+    for version, (after, mesh) in enumerate([(0, "m"), (1, "m"), (2, "m"), (3, "n"), (4, "n"), (9, "n")]):
+        gauges.refresh(spark, store, marks, fetch, T0 + after * hour, T0 + after * hour, mesh, version)
+    assert asked == [96, 6, 6, 96, 6, 96]
+
+
+def test_cycles_equal_the_batch_twin(spark, tmp_path):
+    """Three cycles and one without enough hours: risk, history and alerts of the stream are those of one step after the other."""
+    src, root, chk = (str(tmp_path / n) for n in ("src", "root", "chk"))
+    hour = timedelta(hours=1)
+
+    def evaluate(hours, target):
+        w = rain.trailing_windows(hours, ["lat_idx", "lon_idx"], target)
+        return w.select(F.lit("geo").alias("hazard"), F.format_string("u%d", "lon_idx").alias("ua_id"), F.least(F.lit(4), F.floor(F.col("intensity_mmh"))).cast("int").alias("rd"),
+                        F.lit("SATELLITE").alias("source"), "ac96h_mm", "ac24h_mm")
+
+    grid = lambda h, mm, published: [(0, i, T0 + h * hour, float(mm[i]), T0 + published * hour) for i in range(3)]
+    landed = [grid(0, (4, 4, 4), 0), [r for h in range(-30, 1) for r in grid(h, (3, 1, 2) if h == 0 else (0, 0, 0), 1)],
+              grid(1, (4, 3, 0), 2), grid(0, (0, 0, 0), 3) + grid(2, (4, 4, 4), 3)]
+    sent, want, state, seen = [], [], spark.createDataFrame([], alerts.STATE_SCHEMA), []
+    key = lambda r: (r.cycle_at, r.ua_id, r.rd, r.reason, r.ac96h_mm)
+    for batch, rows in enumerate(landed):
+        cells(spark, rows).coalesce(1).write.mode("append").parquet(src)
+        cycles.run(spark, src, root, chk, evaluate, lambda a, i: sent.extend(map(key, a.collect())), whole_every=2).awaitTermination()
+        seen += rows
+        if batch:
+            target = F.lit(max(r[2] for r in seen))
+            points = evaluate(ingest.newest_publication(cells(spark, seen)), target).withColumn("cycle_at", target)
+            out, after = alerts.step(points, state, target)
+            want += map(key, out.collect())
+            state = spark.createDataFrame(after.collect(), alerts.STATE_SCHEMA)
+    assert sorted(sent) == sorted(want) and {w[3] for w in want} == {"new", "escalated"}
+    told = {(r.cycle_id, r.ua_id): (r.ts, r.rd, r.rd_geo) for r in spark.read.schema(history.HISTORY_SCHEMA).parquet(f"{root}/history").collect()}
+    assert len(told) == 9 and told[3, "u1"] == (T0 + 2 * hour, 4, None)
+    outcome = {r.batch_id: r.outcome for r in spark.read.schema(history.RECORD_SCHEMA).json(f"{root}/log").collect()}
+    assert outcome == {0: "skipped", 1: "ok", 2: "ok", 3: "ok"}
+    # the last batch once more, as after a failure: the same alerts, the same state
+    before = list(sent)
+    points = spark.read.parquet(f"{root}/risk/batch_id=3")
+    alerts.judge(spark, points, f"{root}/alerts", 3, lambda a, i: sent.extend(map(key, a.collect())), 2)
+    assert sorted(sent[len(before):]) == sorted(k for k in before if k[0] == T0 + 2 * hour)
+
+
+def test_product_poll(spark, tmp_path):
+    landing, marker, chk, made = tmp_path / "landing", str(tmp_path / "marker"), str(tmp_path / "chk"), []
+    landing.mkdir()
+
+    def poll():
+        cycles.poll_products(spark, str(landing), r"^observed_", marker, chk, lambda name, i: made.append(name)).awaitTermination()
+
+    for names in (["observed_20260105.nc", "observed_20260110.nc"], ["other.txt"], ["observed_20260111.nc"]):
+        for n in names:
+            (landing / n).write_bytes(b"x")
+        poll()
+    assert made == ["observed_20260110.nc", "observed_20260111.nc"]
