@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..constants import SAME_ROAD_CUTOFF_KM
+from . import sweep
 from .scale import OrderedBlocks, attach, numbered
 from .spatial import overlap_length, range_pairs
 
@@ -16,23 +17,38 @@ def _ranges(df: DataFrame, road: str, a: str, b: str) -> DataFrame:
     return df.select(road, a, b).distinct()
 
 
+def _taken(left: DataFrame, hit: DataFrame, on: list[str], take: list[str]) -> DataFrame:
+    return attach(left, hit, on).select(*left.columns, *[F.col(f"_row.{c}").alias(c) for c in take])
+
+
+def _best_rows(right: DataFrame, road: str, right_range: tuple[str, str], order: str, take: list[str]) -> DataFrame:
+    """Distinct ranges with their first row; a range that ends before it starts holds nothing."""
+    a, b = right_range
+    return right.where(F.col(a) <= F.col(b)).groupBy(road, a, b).agg(F.min(F.struct(order, *[c for c in take if c != order])).alias("_row"))
+
+
 def first_overlap(left: DataFrame, right: DataFrame, order: str, take: list[str], road: str = "road",
-                  left_range: tuple[str, str] = ("km0", "km1"), right_range: tuple[str, str] = ("r0", "r1"),
-                  width: float = 5.0) -> DataFrame:
-    """Left join with the first right row (by ``order``) whose closed range overlaps."""
-    places = right.groupBy(road, *right_range).agg(F.min(F.struct(order, *[c for c in take if c != order])).alias("_row"))
-    hit = (range_pairs(_ranges(left, road, *left_range), places, road, left_range, right_range, width)
-           .groupBy(road, *left_range).agg(F.min("_row").alias("_row")))
-    return attach(left, hit, [road, *left_range]).select(*left.columns, *[F.col(f"_row.{c}").alias(c) for c in take])
+                  left_range: tuple[str, str] = ("km0", "km1"), right_range: tuple[str, str] = ("r0", "r1")) -> DataFrame:
+    """Left join with the first right row (by ``order``) whose closed range overlaps: one that holds the start, or one that starts inside."""
+    ranges = _best_rows(right, road, right_range, order, take)
+    a, b = left_range
+    spans = _ranges(left, road, a, b).where(F.col(a) <= F.col(b))
+    spots = spans.select(road, F.explode(F.array(a, b)).alias("_x")).distinct()
+    places = sweep.Places(ranges, spots, road, *right_range)
+    starts = spans.select(road, F.col(a).alias("_x")).distinct()
+    held = sweep.first_holding(places, ranges, starts, *right_range, "_row").withColumnRenamed("_x", a)
+    inside = sweep.first_starting(places, ranges, spans, right_range[0], "_row", a, b)
+    hit = spans.join(held, [road, a]).select(road, a, b, "_row").unionByName(inside).groupBy(road, a, b).agg(F.min("_row").alias("_row"))
+    return _taken(left, hit, [road, a, b], take)
 
 
 def first_containing(left: DataFrame, right: DataFrame, order: str, take: list[str], at: str, road: str = "road",
-                     right_range: tuple[str, str] = ("r0", "r1"), width: float = 5.0) -> DataFrame:
+                     right_range: tuple[str, str] = ("r0", "r1")) -> DataFrame:
     """Left join with the first right row whose closed range holds the position."""
-    spots = left.select(road, at).distinct().withColumn("_at2", F.col(at))
-    places = right.groupBy(road, *right_range).agg(F.min(F.struct(order, *[c for c in take if c != order])).alias("_row"))
-    hit = range_pairs(spots, places, road, (at, "_at2"), right_range, width).groupBy(road, at).agg(F.min("_row").alias("_row"))
-    return attach(left, hit, [road, at]).select(*left.columns, *[F.col(f"_row.{c}").alias(c) for c in take])
+    ranges = _best_rows(right, road, right_range, order, take)
+    spots = left.select(road, F.col(at).alias("_x")).distinct()
+    hit = sweep.first_holding(sweep.Places(ranges, spots, road, *right_range), ranges, spots, *right_range, "_row")
+    return _taken(left, hit.withColumnRenamed("_x", at), [road, at], take)
 
 
 def longest_overlap(left: DataFrame, right: DataFrame, label: str, road: str = "road",
@@ -63,29 +79,33 @@ def majority_class(left: DataFrame, right: DataFrame, cls: str, road: str = "roa
 
 def nearest_on_road(units: DataFrame, segments: DataFrame, segment_id: str, road: str = "road",
                     unit_range: tuple[str, str] = ("km0", "km1"), segment_range: tuple[str, str] = ("r0", "r1"),
-                    cutoff_km: float = SAME_ROAD_CUTOFF_KM, width: float = 5.0) -> DataFrame:
+                    cutoff_km: float = SAME_ROAD_CUTOFF_KM) -> DataFrame:
     """Left join with the closest segment of the same road within the cutoff, by the middle of the unit.
 
     Adds ``segment_id`` and ``dist_km`` (0 inside the segment); smallest id on a tie.
     """
     mid = (F.col(unit_range[0]) + F.col(unit_range[1])) / F.lit(2.0)
-    spots = units.select(road, mid.alias("_m")).distinct().withColumn("_m2", F.col("_m"))
-    places = segments.groupBy(road, *segment_range).agg(F.min(segment_id).alias("_seg"))
-    gap = F.greatest(F.lit(0.0), F.col(segment_range[0]) - F.col("_m"), F.col("_m") - F.col(segment_range[1]))
-    best = (range_pairs(spots, places, road, ("_m", "_m2"), segment_range, width, pad=cutoff_km)
-            .withColumn("_d", gap).where(F.col("_d") <= cutoff_km)
-            .groupBy(road, "_m").agg(F.min(F.struct("_d", "_seg")).alias("_b")))
-    return attach(units.withColumn("_m", mid), best, [road, "_m"]).select(
-        *units.columns, F.col("_b._seg").alias(segment_id), F.col("_b._d").alias("dist_km"))
+    a, b = segment_range
+    ranges = segments.where(F.col(a) <= F.col(b)).groupBy(road, a, b).agg(F.min(segment_id).alias("_seg"))
+    spots = units.select(road, mid.alias("_x")).distinct()
+    inside = sweep.first_holding(sweep.Places(ranges, spots, road, a, b), ranges, spots, a, b, "_seg")
+    beside = sweep.nearest_ends(ranges, spots, road, a, b, "_seg").join(inside, [road, "_x"], "left")
+    option = lambda d, seg: F.when(seg.isNotNull() & (d <= cutoff_km), F.struct(d.alias("d"), seg.alias("seg")))
+    x, left, right = F.col("_x"), F.col("_left"), F.col("_right")
+    best = F.least(option(F.lit(0.0), F.col("_seg")), option(x - left["at"], left["row"]), option(right["at"] - x, right["row"]))
+    found = beside.select(road, F.col("_x").alias("_m"), best.alias("_b")).where("_b IS NOT NULL")
+    return attach(units.withColumn("_m", mid), found, [road, "_m"]).select(
+        *units.columns, F.col("_b.seg").alias(segment_id), F.col("_b.d").alias("dist_km"))
 
 
 def count_inside(areas: DataFrame, units: DataFrame, road: str = "road", area_range: tuple[str, str] = ("r0", "r1"),
-                 at: str = "km0", pad: float = 0.5, width: float = 5.0) -> DataFrame:
+                 at: str = "km0", pad: float = 0.5) -> DataFrame:
     """Units per area whose position lies in the range widened by ``pad``; zero when none."""
-    spots = units.groupBy(road, at).agg(F.count(F.lit(1)).alias("_n")).withColumn("_at2", F.col(at))
-    n = (range_pairs(_ranges(areas, road, *area_range), spots, road, area_range, (at, "_at2"), width, pad)
-         .groupBy(road, *area_range).agg(F.sum("_n").alias("observed")))
-    return attach(areas, n, [road, *area_range]).fillna(0, ["observed"])
+    spots = units.groupBy(road, F.col(at).alias("_x")).agg(F.count(F.lit(1)).alias("observed"))
+    a, b = area_range
+    spans = _ranges(areas, road, a, b).select(road, a, b, (F.col(a) - F.lit(pad)).alias("_lo"), (F.col(b) + F.lit(pad)).alias("_hi"))
+    n = sweep.count_between(spots, spans.select(road, "_lo", "_hi").distinct(), road, "observed", "_lo", "_hi")
+    return attach(areas, spans.join(n, [road, "_lo", "_hi"]).select(road, a, b, "observed"), [road, a, b]).fillna(0, ["observed"])
 
 
 def union_intervals(intervals: DataFrame, keys: list[str], a: str = "a", b: str = "b", kind: str = "kind") -> DataFrame:

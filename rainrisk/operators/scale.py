@@ -62,8 +62,8 @@ class OrderedBlocks:
         """Add running values.
 
         ``columns`` maps a new name to (how, value, inclusive); how is ``sum``,
-        ``max``, ``last`` (latest non-null), ``prev`` or ``next`` (the adjacent row, null
-        included) or ``total`` (sum over the whole key); only the first three heed inclusive.
+        ``max``, ``last`` (latest non-null), ``ahead`` (next non-null), ``prev`` or ``next`` (the
+        adjacent row, null included) or ``total`` (sum over the whole key); the first four heed inclusive.
         """
         order = [F.col(c) for c in self.order]
         inside = Window.partitionBy(*self.keys, BLOCK).orderBy(*order)
@@ -93,6 +93,12 @@ class OrderedBlocks:
                 carries.append(F.last(edge, ignorenulls=True).over(before).alias(f"_carry_{name}"))
                 local[name] = F.last(value, ignorenulls=True).over(frame)
                 merged[name] = F.coalesce(F.col(name), carry)
+            elif how == "ahead":
+                edge_aggs.append(F.min(F.when(value.isNotNull(), F.struct(*order, value.alias("_v"))))["_v"].alias(edge))
+                after = Window.partitionBy(*self.keys).orderBy(BLOCK).rowsBetween(1, Window.unboundedFollowing)
+                carries.append(F.first(edge, ignorenulls=True).over(after).alias(f"_carry_{name}"))
+                local[name] = F.first(value, ignorenulls=True).over(inside.rowsBetween(0 if inclusive else 1, Window.unboundedFollowing))
+                merged[name] = F.coalesce(F.col(name), carry)
             elif how in ("prev", "next"):
                 row = F.struct(value.alias("v"))
                 pick, shift = (F.max, F.lag) if how == "prev" else (F.min, F.lead)
